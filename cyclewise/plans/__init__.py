@@ -1,6 +1,6 @@
 """Registered queries (one per SURVEY §2 operator or operator family)."""
 
-from . import feature_queries, quality_queries  # noqa: F401  (registers)
+from . import feature_queries, fleet_queries, quality_queries  # noqa: F401  (registers)
 from .registry import REGISTRY, Query, conform, register, wrap_sql
 
 __all__ = ["REGISTRY", "Query", "conform", "register", "wrap_sql"]

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import out_double
 
-# kind codes: l = BIGINT, d = DOUBLE rounded to 6 dp, s = string, b = boolean,
+# kind codes: l = BIGINT, d = DOUBLE rounded to 6 dp (dN: N dp, for values
+# whose magnitude leaves fewer stable decimals), s = string, b = boolean,
 # r = raw (left as built; only for rows-only queries)
 KINDS = {"l", "d", "s", "b", "r"}
 
@@ -21,20 +22,24 @@ def parse_spec(spec: str) -> list[tuple[str, str]]:
     out = []
     for item in spec.split():
         name, kind = item.rsplit(":", 1)
-        if kind not in KINDS:
+        if kind[0] not in KINDS or (len(kind) > 1 and not (kind[0] == "d" and kind[1:].isdigit())):
             raise ValueError(f"bad kind {kind} for {name}")
         out.append((name, kind))
     return out
 
 
+def _digits(kind: str) -> int:
+    return int(kind[1:]) if len(kind) > 1 else 6
+
+
 def conform(df: DataFrame, spec: str) -> DataFrame:
     cols = []
     for name, kind in parse_spec(spec):
         c = F.col(f"`{name}`")
         if kind == "l":
             cols.append(c.cast("bigint").alias(name))
-        elif kind == "d":
-            cols.append(out_double(c).alias(name))
+        elif kind[0] == "d":
+            cols.append(out_double(c, _digits(kind)).alias(name))
         elif kind == "s":
             cols.append(c.cast("string").alias(name))
         elif kind == "b":
@@ -50,8 +55,8 @@ def wrap_sql(inner: str, spec: str) -> str:
         q = f'q."{name}"'
         if kind == "l":
             cols.append(f'CAST({q} AS BIGINT) AS "{name}"')
-        elif kind == "d":
-            cols.append(f'round(CAST({q} AS DOUBLE), 6) + 0.0 AS "{name}"')
+        elif kind[0] == "d":
+            cols.append(f'round(CAST({q} AS DOUBLE), {_digits(kind)}) + 0.0 AS "{name}"')
         elif kind == "s":
             cols.append(f'CAST({q} AS VARCHAR) AS "{name}"')
         elif kind == "b":
