@@ -33,6 +33,9 @@ def get_session(master: str | None = None, app: str = "cyclewise", conf: dict |
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            builder = builder.config("spark.driver.memory", os.environ.get("CYCLEWISE_DRIVER_MEMORY", "16g"))
     for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
