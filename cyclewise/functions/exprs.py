@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
@@ -60,3 +60,11 @@ def epoch_seconds(ts: ColumnOrName) -> Column:
 def fixed_decimals(c: ColumnOrName, digits: int = 3) -> Column:
     """``f'{x:.3f}'`` text."""
     return F.format_string(f"%.{digits}f", col(c))
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row table — a global aggregate (``agg``
+    without ``groupBy``) — to every row of ``df``. The single row is
+    broadcast, so the result has exactly ``len(df)`` rows and ``df`` is not
+    shuffled."""
+    return df.crossJoin(F.broadcast(one_row))

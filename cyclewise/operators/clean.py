@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import inf_to_null, is_bad_number
+from ..functions.exprs import attach_row, inf_to_null, is_bad_number
 from ..schema import CYCLE, ENGINE, TARGET, feature_columns
 from .features import forward_fill
 
@@ -71,7 +71,7 @@ def median_impute(df: DataFrame, cols: Sequence[str], medians: DataFrame | None
     clean = df.select(*[inf_to_null(c).alias(c) if c in cols else F.col(c) for c in df.columns])
     med = medians if medians is not None else clean.agg(
         *[F.percentile(F.col(c), F.lit(0.5)).alias(f"_med_{i}") for i, c in enumerate(cols)])
-    out = clean.crossJoin(F.broadcast(med))
+    out = attach_row(clean, med)
     idx = {c: i for i, c in enumerate(cols)}
     return out.select(*[F.coalesce(F.col(c), F.col(f"_med_{idx[c]}")).alias(c) if c in idx else F.col(c)
                         for c in df.columns])

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp, epoch_seconds, inf_to_null, safe_div
+from ..functions.exprs import attach_row, clamp, epoch_seconds, inf_to_null, safe_div
 from ..schema import CYCLE, ENGINE, SensorSchema
 from .ordering import DEFAULT_CHUNK_ROWS, engine_windows, rows_back
 
@@ -96,7 +96,7 @@ def cycle_transforms(cycle: str = CYCLE) -> list[Column]:
 def add_global_cycle_norm(df: DataFrame, cycle: str = CYCLE, out: str = "cycle_norm") -> DataFrame:
     """cycle / global max cycle (one-row aggregate, broadcast)."""
     top = df.agg(F.max(cycle).alias("_gmax"))
-    return df.crossJoin(F.broadcast(top)).withColumn(out, safe_div(F.col(cycle).cast("double"), F.col("_gmax"))).drop("_gmax")
+    return attach_row(df, top).withColumn(out, safe_div(F.col(cycle).cast("double"), F.col("_gmax"))).drop("_gmax")
 
 
 def ratio_pairs(sensors: Sequence[str]) -> list[tuple[str, str]]:
@@ -140,7 +140,8 @@ def add_engine_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, fil
     out = engine_windows(
         df, lambda w: short_window_columns(w, sensors), halo=SHORT_WINDOW - 1,
         engine_aggs=[F.max(CYCLE).alias("_emax")], chunk_rows=chunk_rows,
-    ).crossJoin(F.broadcast(top))
+    )
+    out = attach_row(out, top)
     c = F.col(CYCLE)
     derived = (
         [safe_div(c.cast("double"), F.col("_gmax")).alias("cycle_norm")]
@@ -215,7 +216,7 @@ def completion_percent(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> D
 def stream_time(df: DataFrame, ts: str = "ts", out: str = "stream_time") -> DataFrame:
     """W12 (batch form): seconds since the first reading of the table."""
     first = df.agg(F.min(epoch_seconds(ts)).alias("_t0"))
-    return df.crossJoin(F.broadcast(first)).withColumn(out, epoch_seconds(ts) - F.col("_t0")).drop("_t0")
+    return attach_row(df, first).withColumn(out, epoch_seconds(ts) - F.col("_t0")).drop("_t0")
 
 
 def clip_score(score: Column | str, lo: float = 0.0, hi: float = 5.0) -> Column:

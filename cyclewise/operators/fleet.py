@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import safe_div
+from ..functions.exprs import attach_row, safe_div
 from ..schema import CYCLE, ENGINE
 from .ordering import DEFAULT_CHUNK_ROWS, engine_aggregates
 
@@ -84,7 +84,7 @@ def fleet_summary_v1(readings: DataFrame, alerts: DataFrame, preds: DataFrame, t
     al = a.agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("alert_type").contains("anomaly")).alias("critical_alerts"))
     pr = p.agg(F.count(F.lit(1)).alias("predictions"),
                F.coalesce(F.avg("predicted_rul"), F.lit(0.0)).alias("avg_predicted_rul"))
-    return total_engines.crossJoin(rs).crossJoin(al).crossJoin(pr)
+    return attach_row(attach_row(attach_row(total_engines, rs), al), pr)
 
 
 def fleet_summary_v2(status: DataFrame, alerts: DataFrame, preds: DataFrame, stream_stats: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def fleet_summary_v2(status: DataFrame, alerts: DataFrame, preds: DataFrame, str
         F.sum(F.col("predicted_rul") * F.col("confidence")).alias("_w"), F.sum("confidence").alias("_c"),
         F.count(F.lit(1)).alias("predictions"))
     wavg = F.when(F.col("_c") > 0, F.col("_w") / F.col("_c")).otherwise(F.lit(0.0))
-    out = st.crossJoin(a).crossJoin(p).crossJoin(stream_stats)
+    out = attach_row(attach_row(attach_row(st, a), p), stream_stats)
     return out.select("total_engines", "active_engines", "critical_alerts", "medium_alerts", "total_alerts",
                       F.round(wavg, 1).alias("avg_predicted_rul"), "predictions", "total_streamed", "errors",
                       (F.col("errors").cast("double") / F.greatest(F.lit(1), F.col("total_streamed"))).alias("error_rate"),

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import attach_row
+
 RECENT_REQUESTS = 1000  # latency stats cover the last 1000 requests
 ERROR_STATUS = 400
 
@@ -20,7 +22,7 @@ def request_stats(log: DataFrame, order: tuple[str, ...] = ("ts", "request_id"),
     lat = last.agg(F.coalesce(F.avg("response_time"), F.lit(0.0)).alias("avg_response_time"),
                    F.coalesce(F.median("response_time"), F.lit(0.0)).alias("median_response_time"),
                    F.coalesce(F.max("response_time"), F.lit(0.0)).alias("max_response_time"))
-    return totals.crossJoin(lat)
+    return attach_row(totals, lat)
 
 
 def level_stats(log: DataFrame, level: str = "level", ts: str = "ts") -> DataFrame:

@@ -88,11 +88,25 @@ def number_rows(
     )
 
 
+_SPLITS: dict = {}
+
+
 def _split_points(df: DataFrame, key: str, order: list[str], n_buckets: int, sample_rows: int) -> DataFrame | None:
     """Per key, the sorted split points (structs of ``order``) that fall inside
-    it; ``None`` when nothing needs splitting."""
+    it; ``None`` when nothing needs splitting.
+
+    Split points only steer balance — any set gives the same numbering — so
+    they are memoised per (session, input plan) and reused by later queries
+    over the same input."""
     if n_buckets <= 1:
         return None
+    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), key, tuple(order), n_buckets, sample_rows)
+    if memo not in _SPLITS:
+        _SPLITS[memo] = _sample_split_points(df, key, order, n_buckets, sample_rows)
+    return _SPLITS[memo]
+
+
+def _sample_split_points(df: DataFrame, key: str, order: list[str], n_buckets: int, sample_rows: int):
     cols = [key] + order
     total = df.count()
     if total <= n_buckets:
@@ -119,6 +133,16 @@ def spark_rows(spark, rows, schema):
     return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
+def with_positions(df: DataFrame, key: str = ENGINE, order: Sequence[str] = (CYCLE,), out: str = "_pos") -> DataFrame:
+    """Dense 1-based positions for a table whose ``cycle`` may have gaps or
+    duplicates (e.g. files read with S1). Ties are broken by a hash of the
+    whole row, so the numbering is repeatable (equal rows are
+    interchangeable)."""
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    staged = df.withColumn("_tie", tie)
+    return number_rows(staged, key, list(order) + ["_tie"], out=out).drop("_tie")
+
+
 def chunk_window(key: str = ENGINE, seq: str = CYCLE) -> WindowSpec:
     """Window over one bounded chunk of one engine, ordered by position."""
     return Window.partitionBy(key, _CHUNK).orderBy(seq)
@@ -138,6 +162,7 @@ def engine_windows(
     halo: int = 0,
     engine_aggs: Sequence[Column] = (),
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    dense: bool = True,
 ) -> DataFrame:
     """Evaluate bounded per-engine windows and whole-engine aggregates.
 
@@ -145,10 +170,16 @@ def engine_windows(
     ``seq`` inside the engine); none of them may look back more than ``halo``
     rows or forward at all. ``engine_aggs`` are aliased aggregate expressions
     over the whole engine; their values are attached to every row.
-    ``seq`` must be the dense 1-based position (see :func:`number_rows`).
+    ``seq`` must be the dense 1-based position (see :func:`number_rows`);
+    with ``dense=False`` positions are derived first (:func:`with_positions`).
     """
     if halo >= chunk_rows:
         raise ValueError("halo must be smaller than chunk_rows")
+    if not dense:
+        pos = with_positions(df, key, [seq])
+        out = engine_windows(pos, window_cols, key=key, seq="_pos", halo=halo, engine_aggs=engine_aggs,
+                             chunk_rows=chunk_rows)
+        return out.drop("_pos")
     base_cols = df.columns
     pos = F.col(seq) - 1
     chunk = F.floor(pos / F.lit(chunk_rows)).cast("bigint")

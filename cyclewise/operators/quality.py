@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import attach_row
 from ..schema import CYCLE, ENGINE, SensorSchema
 from .ordering import DEFAULT_CHUNK_ROWS, engine_aggregates
 
@@ -71,7 +72,7 @@ def validate(df: DataFrame, ranges: DataFrame | None = None, required: Sequence[
     schema = SensorSchema.of(df)
     sensors = list(sensors if sensors is not None else schema.sensors)
     settings = list(settings if settings is not None else schema.settings)
-    src = df.crossJoin(F.broadcast(ranges)) if ranges is not None else df
+    src = attach_row(df, ranges) if ranges is not None else df
     ranged = {c for c in sensors if ranges is not None and f"{c}__lo" in ranges.columns}
 
     issues: list[Column] = []

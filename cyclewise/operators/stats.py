@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import safe_div
+from ..functions.exprs import attach_row, safe_div
 
 
 def _safe(name: str) -> str:
@@ -42,7 +42,7 @@ def zscore(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None, s
     """F8 / M1: ``(x - mean) / std`` with stored (or freshly fitted) stats;
     std of 0 was already replaced by 1."""
     stats = stats if stats is not None else feature_stats(df, cols)
-    joined = df.crossJoin(F.broadcast(stats))
+    joined = attach_row(df, stats)
     scaled = {f"{c}{suffix}": (F.col(c) - F.col(f"{_safe(c)}__mean")) / F.col(f"{_safe(c)}__std") for c in cols}
     keep = [F.col(c) for c in df.columns if c not in scaled]
     return joined.select(*keep, *[v.alias(k) for k, v in scaled.items()])
@@ -70,7 +70,7 @@ def robust_stats(df: DataFrame, cols: Sequence[str], exact: bool = True, accurac
 def robust_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
     """M2 transform: ``(x - median) / IQR``."""
     stats = stats if stats is not None else robust_stats(df, cols)
-    joined = df.crossJoin(F.broadcast(stats))
+    joined = attach_row(df, stats)
     scaled = {c: (F.col(c) - F.col(f"{_safe(c)}__median")) / F.col(f"{_safe(c)}__iqr") for c in cols}
     return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
@@ -91,7 +91,7 @@ def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
     rng = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     b = F.least(F.floor(F.coalesce(safe_div(F.col(c) - F.col("_lo"), width), F.lit(0.0)) * bins), F.lit(bins - 1))
-    return (df.where(F.col(c).isNotNull()).crossJoin(F.broadcast(rng)).groupBy(b.cast("bigint").alias("bin"))
+    return (attach_row(df.where(F.col(c).isNotNull()), rng).groupBy(b.cast("bigint").alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.first("_lo").alias("lo"), F.first("_hi").alias("hi"))
             .select("bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_start"), "n"))
 

@@ -11,7 +11,7 @@ from ..operators import features as fe
 from ..operators import labels as lb
 from ..operators.ordering import engine_windows, rows_back
 from ..operators.stats import feature_stats, zscore
-from ..sources.tables import event_readings
+from ..sources.tables import event_base, event_readings
 from .common import W, WE, dbl, frame, with_readings
 from .registry import register
 
@@ -32,7 +32,8 @@ def engine_health_summary(spark: SparkSession, sf_dir: str, alert_threshold: flo
         r, lambda w: [F.avg("sensor_1").over(rows_back(w, 5)).alias("sensor_1_rolling_mean_5")],
         halo=4, engine_aggs=[F.max("cycle").alias("_max_cycle")],
     ).withColumn("RUL", F.col("_max_cycle") - F.col("cycle"))
-    z = zscore(feats, ["sensor_1", "sensor_2"], feature_stats(r, ["sensor_1", "sensor_2"]), suffix="_z")
+    stats = feature_stats(event_base(spark, sf_dir), ["sensor_1", "sensor_2"])  # needs no ordering
+    z = zscore(feats, ["sensor_1", "sensor_2"], stats, suffix="_z")
     alert = (F.abs("sensor_1_z") > alert_threshold) | (F.abs("sensor_2_z") > alert_threshold)
     out = z.groupBy("engine_id").agg(
         F.count(F.lit(1)).alias("total_cycles"), F.max("RUL").alias("max_rul"), F.min("RUL").alias("min_rul"),
@@ -166,7 +167,7 @@ def zscore_readings(spark, sf_dir):
     """A1 + F8 (= M1 with population std): standard scaling of all measures."""
     r = event_readings(spark, sf_dir)
     cols = SENSORS + ["setting_1"]
-    return zscore(r.select("engine_id", "cycle", *cols), cols)
+    return zscore(r.select("engine_id", "cycle", *cols), cols, feature_stats(event_base(spark, sf_dir), cols))
 
 
 @register("feature_stats", "feature:s mean:d std:d", """

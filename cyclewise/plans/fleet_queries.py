@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import attach_row
+
 from ..operators import evaluate as ev
 from ..operators import fleet as fl
 from ..operators import labels as lb
@@ -13,7 +15,7 @@ from ..operators import rules as ru
 from ..operators import stats as st
 from ..operators.clean import chosen_engines
 from ..operators.stats import zscore
-from ..sources.tables import event_readings, table, with_timestamp
+from ..sources.tables import event_base, event_readings, table, with_timestamp
 from .common import WE, dbl, with_readings
 from .quality_queries import RANGES_SQL, RAW_SQL, VALIDATED_BODY, VALIDATED_SQL, faulty_readings, FAULTY_SQL, validated
 from .registry import register
@@ -26,7 +28,7 @@ def scored(spark, sf_dir):
     """Readings with RUL, epoch timestamp and z-scored sensors (what the live
     path sees: normalised readings)."""
     r = with_timestamp(lb.add_rul(event_readings(spark, sf_dir)))
-    return zscore(r, SENSORS)
+    return zscore(r, SENSORS, st.feature_stats(event_base(spark, sf_dir), SENSORS))
 
 
 Z_SQL = f"""stats AS (SELECT
@@ -251,7 +253,7 @@ def system_health(spark, sf_dir):
     evaluated at the time of the last event."""
     s = fl.stream_stats(validated(spark, sf_dir))
     now = table(spark, sf_dir, "events").agg((F.unix_micros(F.max("ts").cast("timestamp")) / 1e6).alias("now"))
-    s = s.crossJoin(now)
+    s = attach_row(s, now)
     err = ru.error_rate_issue(F.col("errors"), F.col("total_streamed"))
     idle = ru.idle_issue(F.col("last_activity"), F.col("now"))
     return s.select("total_streamed", "errors", "uptime", "streaming_rate",
@@ -270,7 +272,7 @@ def engine_staleness(spark, sf_dir):
     r = with_timestamp(event_readings(spark, sf_dir, columns=[]))
     last = r.groupBy("engine_id").agg(F.max("timestamp").alias("last_seen"))
     now = r.agg(F.max("timestamp").alias("now"))
-    out = last.crossJoin(F.broadcast(now))
+    out = attach_row(last, now)
     return out.select("engine_id", "last_seen", (F.col("now") - F.col("last_seen")).alias("idle_seconds"),
                       ru.idle_issue(F.col("last_seen"), F.col("now")).alias("idle_issue"))
 
@@ -372,7 +374,7 @@ def score_percentiles(spark, sf_dir):
     s = scored(spark, sf_dir).select(F.abs("sensor_1").alias("s"))
     nr = st.nearest_rank_percentile(s, "s", 0.95).withColumnRenamed("p", "p95_nearest_rank")
     li = st.linear_percentile(s, "s", 0.95).withColumnRenamed("p", "p95_linear")
-    return nr.crossJoin(li)
+    return attach_row(nr, li)
 
 
 # ---------------------------------------------------------------- logs
@@ -479,7 +481,7 @@ def best_estimator(spark, sf_dir):
     """K6 + M11: compare three baseline estimators by RMSE, keep the best."""
     e = rule_estimates(spark, sf_dir)
     mean = e.agg(F.avg("RUL").alias("m"))
-    e = e.crossJoin(F.broadcast(mean))
+    e = attach_row(e, mean)
     res = e.agg(F.sqrt(F.avg((F.col("RUL") - F.col("pred")) ** 2)).alias("rule"),
                 F.sqrt(F.avg((F.col("RUL") - F.col("m")) ** 2)).alias("mean"),
                 F.sqrt(F.avg(F.col("RUL").cast("double") * F.col("RUL"))).alias("zero"))

@@ -10,6 +10,8 @@ import uuid
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from ..functions.exprs import attach_row
+
 from ..operators import clean as cl
 from ..operators import evaluate as ev
 from ..operators import features as fe
@@ -134,7 +136,7 @@ def detector_evaluation(spark, sf_dir):
     d = det.detect(r).withColumn("truth", F.col("label") == 1)
     conf = ev.confusion(d, "truth", "is_anomaly")
     auc = ev.roc_auc(d, "truth", "reconstruction_error", "event_id").select("auc")
-    return conf.crossJoin(auc)
+    return attach_row(conf, auc)
 
 
 @register("model_roundtrip", "engine_id:l cycle:l predicted_rul:r reloaded_rul:r", None, "S6 M9")

@@ -13,7 +13,7 @@ from ..operators.stats import feature_stats, stats_long
 from ..sources import readers as rd
 from ..sources import records as rc
 from ..sources import sinks as sk
-from ..sources.tables import event_readings, with_timestamp
+from ..sources.tables import event_base, event_readings, with_timestamp
 from ..streaming.stream import shared_dir
 from .common import WE, with_readings
 from .registry import REGISTRY, register
@@ -121,7 +121,7 @@ ZCOLS = SENSORS + ["setting_1"]
 def feature_zscore_long(spark, sf_dir):
     """Readings unpivoted to (feature, value) and joined to the
     per-feature stats table (broadcast: one row per feature)."""
-    r = event_readings(spark, sf_dir)
+    r = event_base(spark, sf_dir)  # no positions needed
     stats = stats_long(feature_stats(r, ZCOLS), ZCOLS)
     long = r.unpivot(["event_id"], ZCOLS, "feature", "value")
     j = long.join(F.broadcast(stats), "feature")
@@ -134,7 +134,7 @@ def merged_maps(spark, sf_dir):
     """Request settings merged into the sensor map, later keys win
     (the settings carry a ``sensor_2`` override)."""
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    r = event_readings(spark, sf_dir)
+    r = event_base(spark, sf_dir)
     sensors = F.create_map(F.lit("sensor_1"), F.col("sensor_1"), F.lit("sensor_2"), F.col("sensor_2"))
     settings = F.create_map(F.lit("setting_1"), F.col("setting_1"), F.lit("sensor_2"), F.col("sensor_3"))
     m = r.select("event_id", fl.merge_settings(sensors, settings).alias("m"))

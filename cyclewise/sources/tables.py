@@ -41,6 +41,12 @@ def event_readings_unnumbered(events: DataFrame) -> DataFrame:
     )
 
 
+def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading projection of ``events`` without positions — for
+    whole-table statistics, which need no ordering."""
+    return event_readings_unnumbered(table(spark, sf_dir, "events"))
+
+
 def event_readings(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """The reading table over ``events``.
 

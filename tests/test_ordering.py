@@ -40,7 +40,7 @@ def test_chunked_windows_match_native(spark, sf_small):
         return [F.avg("sensor_1").over(rows_back(w, 5)).alias("m5"), F.lag("sensor_1").over(w).alias("lg"),
                 F.stddev_samp("sensor_1").over(rows_back(w, 3)).alias("s3")]
 
-    got = engine_windows(r, cols, halo=4, chunk_rows=3, engine_aggs=[F.max("cycle").alias("mx")])
+    got = engine_windows(r, cols, halo=4, chunk_rows=5, engine_aggs=[F.max("cycle").alias("mx")])
     w = Window.partitionBy("engine_id").orderBy("cycle")
     want = r.select("event_id", F.avg("sensor_1").over(w.rowsBetween(-4, 0)).alias("m5b"),
                     F.lag("sensor_1").over(w).alias("lgb"), F.stddev_samp("sensor_1").over(w.rowsBetween(-2, 0)).alias("s3b"),
@@ -73,3 +73,12 @@ def test_repartition_invariance(spark, sf_small):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_gapped_cycles_need_positions(spark):
+    rows = [(1, c, float(c)) for c in (1, 2, 3, 10, 11, 500, 501)] + [(2, 7, 1.0), (2, 9, 2.0)]
+    df = spark.createDataFrame(rows, "engine_id long, cycle long, x double")
+    got = engine_windows(df, lambda w: [F.lag("x").over(w).alias("prev")], halo=1, chunk_rows=2, dense=False)
+    prev = {(r.engine_id, r.cycle): r.prev for r in got.collect()}
+    assert prev[(1, 10)] == 3.0 and prev[(1, 500)] == 11.0 and prev[(2, 9)] == 1.0 and prev[(1, 1)] is None
+    assert len(prev) == len(rows)
