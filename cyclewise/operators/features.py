@@ -39,16 +39,22 @@ def _stat(stat: str, x: Column, frame: WindowSpec) -> Column:
     raise ValueError(stat)
 
 
+def _skip_nan(s: str) -> Column:
+    """NaN → NULL, so window aggregates skip it like pandas' rolling does."""
+    return F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double"))
+
+
 def rolling_columns(w: WindowSpec, sensors: Sequence[str], windows: Sequence[int] = ROLLING_WINDOWS,
                     stats: Sequence[str] = ROLLING_STATS) -> list[Column]:
-    """``{sensor}_rolling_{stat}_{n}`` over the last n rows (min_periods 1);
-    empty or single-row std becomes 0 as in the reference's ``fillna(0)``."""
+    """``{sensor}_rolling_{stat}_{n}`` over the last n rows (min_periods 1,
+    missing values skipped); empty or single-row std becomes 0 as in the
+    reference's ``fillna(0)``."""
     cols = []
     for n in windows:
         frame = rows_back(w, n)
         for s in sensors:
             for st in stats:
-                cols.append(F.coalesce(_stat(st, F.col(s), frame), F.lit(0.0)).alias(f"{s}_rolling_{st}_{n}"))
+                cols.append(F.coalesce(_stat(st, _skip_nan(s), frame), F.lit(0.0)).alias(f"{s}_rolling_{st}_{n}"))
     return cols
 
 
@@ -120,10 +126,10 @@ def short_window_columns(w: WindowSpec, sensors: Sequence[str], n: int = SHORT_W
     cols = []
     frame = rows_back(w, n)
     for s in sensors:
-        mean = F.avg(s).over(frame)
+        mean = F.avg(_skip_nan(s)).over(frame)
         cols += [
             mean.alias(f"{s}_rolling_mean"),
-            F.coalesce(F.stddev_samp(s).over(frame), F.lit(0.0)).alias(f"{s}_rolling_std"),
+            F.coalesce(F.stddev_samp(_skip_nan(s)).over(frame), F.lit(0.0)).alias(f"{s}_rolling_std"),
             (F.col(s) - mean).alias(f"{s}_trend"),
             F.coalesce(F.col(s) - F.lag(s).over(w), F.lit(0.0)).alias(f"{s}_rate"),
         ]

@@ -318,3 +318,31 @@ def formatted_readings(spark, sf_dir):
     return r.select("engine_id", "cycle", msg.alias("message"),
                     fe.clip_score(F.col("sensor_1") / 50.0).alias("score"),
                     F.round(non_negative(F.col("RUL").cast("double") - 10.0), 1).alias("rul_estimate"))
+
+
+# ---------------------------------------------------------------- wide variant (lineitem)
+
+LI_SENSORS = ["sensor_1", "sensor_2", "sensor_3", "sensor_4"]
+LI_SPEC = "engine_id:l cycle:l RUL:l " + " ".join(f"{s}_rolling_{st}_5:d" for s in LI_SENSORS for st in ("mean", "std"))
+
+
+@register("supplier_rolling_features", LI_SPEC, f"""
+WITH li AS (
+  SELECT CAST(l_suppkey AS BIGINT) AS engine_id, l_quantity AS sensor_1, l_extendedprice AS sensor_2,
+         l_discount AS sensor_3, l_tax AS sensor_4,
+         row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity,
+                            l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS cycle
+  FROM lineitem)
+SELECT engine_id, cycle, max(cycle) OVER ({WE}) - cycle AS RUL, """ + ", ".join(
+    f"avg({s}) OVER {frame(5)} AS {s}_rolling_mean_5, coalesce(stddev_samp({s}) OVER {frame(5)}, 0.0) AS {s}_rolling_std_5"
+    for s in LI_SENSORS) + " FROM li", "L1 W1 W2 K1")
+def supplier_rolling_features(spark, sf_dir):
+    """Wide variant: suppliers as units, line items as readings in ship-date
+    order (ties broken by every column) — RUL and 5-row rolling mean / std
+    of four measures."""
+    from ..sources.tables import lineitem_readings
+
+    r = lineitem_readings(spark, sf_dir).select("engine_id", "cycle", *LI_SENSORS)
+    out = engine_windows(r, lambda w: fe.rolling_columns(w, LI_SENSORS, (5,), ("mean", "std")), halo=4,
+                         engine_aggs=[F.max("cycle").alias("_max")])
+    return out.withColumn("RUL", F.col("_max") - F.col("cycle"))

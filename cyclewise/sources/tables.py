@@ -79,3 +79,20 @@ readings AS (
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS cycle
   FROM events
 )"""
+
+
+# lineitem as a wide reading table: suppliers are the units, line items their
+# readings in ship-date order; (l_orderkey, l_linenumber) is not unique, so
+# every column takes part in the order (whole rows are distinct).
+LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "sensor_1", "sensor_2", "sensor_3",
+                  "sensor_4", "l_returnflag", "l_linestatus"]
+
+
+def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    base = li.select(
+        F.col("l_suppkey").cast("bigint").alias(ENGINE), "l_shipdate", "l_orderkey", "l_partkey", "l_linenumber",
+        F.col("l_quantity").alias("sensor_1"), F.col("l_extendedprice").alias("sensor_2"),
+        F.col("l_discount").alias("sensor_3"), F.col("l_tax").alias("sensor_4"), "l_returnflag", "l_linestatus",
+    )
+    return number_rows(base, ENGINE, LINEITEM_ORDER, out=CYCLE)

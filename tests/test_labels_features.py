@@ -70,3 +70,10 @@ def test_zero_divisor_ratio_is_missing_then_filled(spark):
                                "engine_id long, cycle long, sensor_1 double, sensor_2 double, setting_1 double")
     out = {r.cycle: r for r in fe.add_engine_features(df.withColumn("RUL", F.lit(1))).collect()}
     assert out[1].sensor_1_sensor_2_ratio == 0.0  # missing → no earlier value → 0
+
+
+def test_rolling_skips_nan_like_pandas(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 2, float("nan")), (1, 3, 3.0)], "engine_id long, cycle long, sensor_1 double")
+    out = {r.cycle: r for r in fe.add_rolling_features(df, ["sensor_1"], windows=(3,)).collect()}
+    assert out[2].sensor_1_rolling_mean_3 == 1.0 and out[3].sensor_1_rolling_mean_3 == 2.0
+    assert out[3].sensor_1_rolling_max_3 == 3.0
