@@ -48,25 +48,43 @@ def number_rows(
     out: str = CYCLE,
     buckets: int | None = None,
     sample_rows: int = DEFAULT_SAMPLE_ROWS,
+    split_key: tuple | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1-based position of each row within ``key`` by ``order``.
 
     ``order`` (column names) must be a total order inside a key (end with a
-    unique id) so the numbering is repeatable.
+    unique id) so the numbering is repeatable. See :func:`running_sum`.
+    """
+    return running_sum(df, key, order, None, out, buckets, sample_rows, split_key)
+
+
+def running_sum(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    weight: str | None,
+    out: str,
+    buckets: int | None = None,
+    sample_rows: int = DEFAULT_SAMPLE_ROWS,
+    split_key: tuple | None = None,
+) -> DataFrame:
+    """Running sum of ``weight`` (1 per row when ``None``) within ``key`` in
+    ``order``, inclusive of the current row.
 
     Split points come from a bounded sample (at most ``sample_rows`` rows
     reach the driver) cut into ``buckets`` equal-row ranges; a key that spans
     split points is cut there. Each row's bucket is a pure function of its
     own values (a broadcast lookup of at most ``buckets`` split points), so a
-    recomputed task lands every row in the same bucket. Rows are then
-    numbered inside ``(key, bucket)`` — groups of about ``rows / buckets`` —
-    and shifted by the row count of the key's earlier buckets, taken from a
-    table of ``keys + buckets`` rows.
+    recomputed task lands every row in the same bucket. The sum runs inside
+    ``(key, bucket)`` — groups of about ``rows / buckets`` — and is shifted by
+    the total of the key's earlier buckets, taken from a table of
+    ``keys + buckets`` rows. ``split_key`` names the input for memoising the
+    split points across queries over the same source.
     """
     spark = df.sparkSession
     order = list(order)
     n_buckets = buckets or shuffle_partitions(spark)
-    bounds = _split_points(df, key, order, n_buckets, sample_rows)
+    bounds = _split_points(df, key, order, n_buckets, sample_rows, split_key)
     if bounds is None:
         staged = df.withColumn("_bucket", F.lit(0).cast("bigint"))
     else:
@@ -76,22 +94,29 @@ def number_rows(
             .withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b <= here)), F.lit(0)).cast("bigint"))
             .drop("_bounds")
         )
+    w = F.col(weight) if weight else F.lit(1)
     local = Window.partitionBy(key, "_bucket").orderBy(*order)
-    numbered = staged.withColumn("_rn", F.row_number().over(local))
-    sizes = staged.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    if weight:
+        local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        inside = F.sum(w).over(local)
+    else:
+        inside = F.row_number().over(local)
+    summed = staged.withColumn("_in", inside)
+    sizes = staged.groupBy(key, "_bucket").agg(F.sum(w).alias("_tot"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select(key, "_bucket", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_offset"))
     return (
-        numbered.join(offsets, [key, "_bucket"])
-        .withColumn(out, (F.col("_rn") + F.col("_offset")).cast("bigint"))
-        .drop("_bucket", "_rn", "_offset")
+        summed.join(offsets, [key, "_bucket"])
+        .withColumn(out, (F.col("_in") + F.col("_offset")).cast("bigint" if not weight else "double"))
+        .drop("_bucket", "_in", "_offset")
     )
 
 
 _SPLITS: dict = {}
 
 
-def _split_points(df: DataFrame, key: str, order: list[str], n_buckets: int, sample_rows: int) -> DataFrame | None:
+def _split_points(df: DataFrame, key: str, order: list[str], n_buckets: int, sample_rows: int,
+                  split_key: tuple | None = None) -> DataFrame | None:
     """Per key, the sorted split points (structs of ``order``) that fall inside
     it; ``None`` when nothing needs splitting.
 
@@ -100,7 +125,8 @@ def _split_points(df: DataFrame, key: str, order: list[str], n_buckets: int, sam
     over the same input."""
     if n_buckets <= 1:
         return None
-    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), key, tuple(order), n_buckets, sample_rows)
+    source = split_key if split_key is not None else df.semanticHash()
+    memo = (df.sparkSession.sparkContext.applicationId, source, key, tuple(order), n_buckets, sample_rows)
     if memo not in _SPLITS:
         _SPLITS[memo] = _sample_split_points(df, key, order, n_buckets, sample_rows)
     return _SPLITS[memo]

@@ -57,7 +57,7 @@ def event_readings(spark: SparkSession, sf_dir: str, columns: list[str] | None =
     if columns is not None:
         keep = [c for c in base.columns if c in set(columns) | {ENGINE, "ts", "event_id"}]
         base = base.select(*keep)
-    return number_rows(base, ENGINE, ["ts", "event_id"], out=CYCLE)
+    return number_rows(base, ENGINE, ["ts", "event_id"], out=CYCLE, split_key=("events", sf_dir))
 
 
 def with_timestamp(df: DataFrame) -> DataFrame:
@@ -95,4 +95,4 @@ def lineitem_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("sensor_1"), F.col("l_extendedprice").alias("sensor_2"),
         F.col("l_discount").alias("sensor_3"), F.col("l_tax").alias("sensor_4"), "l_returnflag", "l_linestatus",
     )
-    return number_rows(base, ENGINE, LINEITEM_ORDER, out=CYCLE)
+    return number_rows(base, ENGINE, LINEITEM_ORDER, out=CYCLE, split_key=("lineitem", sf_dir))
