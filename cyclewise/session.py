@@ -58,6 +58,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+# Runtime settings the operators rely on; safe to apply to a session someone
+# else built (the driver's, a notebook's).
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",  # TIMESTAMP_NTZ → epoch seconds must not shift
+}
+
+
+def apply_runtime_conf(spark: SparkSession) -> SparkSession:
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

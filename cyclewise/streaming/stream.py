@@ -20,11 +20,13 @@ Checkpoints and sink tables live under the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -349,3 +351,8 @@ def rolling_stream(readings: DataFrame, sensors: Sequence[str], windows=ROLLING_
 
     return readings.groupBy(ENGINE).applyInPandasWithState(fn, out_schema, state_schema, "append",
                                                            GroupStateTimeout.NoTimeout)
+
+
+# Stateful functions run in Python workers; ship this module's code with them
+# so executors do not need the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
