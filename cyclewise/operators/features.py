@@ -25,6 +25,7 @@ NORM_EPS = 1e-8
 RATIO_EPS = 1e-8
 RATIO_SENSORS = 10  # only the first ten sensors pair up
 RATIO_REACH = 2  # each sensor pairs with the next two
+CARRY_BLOCK = 4096  # chunks per block in the two-level forward-fill carry
 
 
 def _stat(stat: str, x: Column, frame: WindowSpec) -> Column:
@@ -166,7 +167,7 @@ def add_engine_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, fil
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str], key: str = ENGINE, seq: str = CYCLE, default: float = 0.0,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                 chunk_rows: int = DEFAULT_CHUNK_ROWS, carry_block: int = CARRY_BLOCK) -> DataFrame:
     """±inf/NaN → missing → last seen value of the engine → ``default``.
 
     The carry can reach arbitrarily far back, so it is done in two bounded
@@ -183,12 +184,23 @@ def forward_fill(df: DataFrame, cols: Sequence[str], key: str = ENGINE, seq: str
     w = Window.partitionBy(key, "_chunk").orderBy(seq)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = staged.select("*", *[F.last(c, ignorenulls=True).over(running).alias(f"_in_{c}") for c in cols])
-    # last non-missing value per chunk, then carried over earlier chunks
+    # last non-missing value per chunk, then carried over earlier chunks in two
+    # levels (chunks inside a block of CARRY_BLOCK chunks, then earlier blocks),
+    # so no window sees more than CARRY_BLOCK rows of one engine
     per_chunk = staged.groupBy(key, "_chunk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_end_{c}") for c in cols]
-    )
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select(key, "_chunk", *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in cols])
+    ).withColumn("_block", F.floor(F.col("_chunk") / carry_block).cast("bigint"))
+    in_block = Window.partitionBy(key, "_block").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = per_chunk.groupBy(key, "_block").agg(
+        *[F.max_by(f"_end_{c}", F.when(F.col(f"_end_{c}").isNotNull(), F.col("_chunk"))).alias(f"_bend_{c}")
+          for c in cols])
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    block_carry = per_block.select(key, "_block", *[F.last(f"_bend_{c}", ignorenulls=True).over(earlier)
+                                                    .alias(f"_bc_{c}") for c in cols])
+    carry = per_chunk.select(key, "_chunk", "_block", *[F.last(f"_end_{c}", ignorenulls=True).over(in_block)
+                                                         .alias(f"_cc_{c}") for c in cols])
+    carry = carry.join(block_carry, [key, "_block"], "left").select(
+        key, "_chunk", *[F.coalesce(f"_cc_{c}", f"_bc_{c}").alias(f"_carry_{c}") for c in cols])
     joined = inner.join(carry, [key, "_chunk"], "left")
     filled = [F.coalesce(F.col(c), F.col(f"_in_{c}"), F.col(f"_carry_{c}"), F.lit(default)).alias(c) if c in cols else F.col(c)
               for c in df.columns]

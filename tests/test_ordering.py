@@ -55,8 +55,8 @@ def test_forward_fill_across_chunks(spark):
     rows = [(1, c, v) for c, v in [(1, 1.0), (2, None), (3, float("inf")), (4, None), (5, 5.0), (6, None), (7, None)]]
     rows += [(2, 1, None), (2, 2, 3.0)]
     df = spark.createDataFrame(rows, "engine_id long, cycle long, x double")
-    for chunk in (2, 3, 100):
-        got = {(r.engine_id, r.cycle): r.x for r in forward_fill(df, ["x"], chunk_rows=chunk).collect()}
+    for chunk, block in ((1, 2), (2, 1), (2, 2), (3, 4096), (100, 4096)):
+        got = {(r.engine_id, r.cycle): r.x for r in forward_fill(df, ["x"], chunk_rows=chunk, carry_block=block).collect()}
         assert got[(1, 2)] == 1.0 and got[(1, 3)] == 1.0 and got[(1, 4)] == 1.0
         assert got[(1, 6)] == 5.0 and got[(1, 7)] == 5.0
         assert got[(2, 1)] == 0.0 and got[(2, 2)] == 3.0
