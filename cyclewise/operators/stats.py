@@ -122,13 +122,10 @@ def missing_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def nearest_rank_percentile(df: DataFrame, c: str, q: float = 0.95) -> DataFrame:
     """Element ⌊q·n⌋ (0-based) of the ascending values, i.e. the
     ``(k - 0.5)/n`` discrete percentile with k = ⌊q·n⌋ + 1, clamped to the
-    last element."""
-    return _nearest_rank(df, c, q)
+    last element.
 
-
-def _nearest_rank(df: DataFrame, c: str, q: float) -> DataFrame:
-    # percentile_disc needs a literal fraction, so it is computed from n on the
-    # driver (one scalar from an aggregate; nothing row-sized is collected).
+    ``percentile_disc`` needs a literal fraction, so n is fetched first (one
+    scalar from an aggregate; nothing row-sized reaches the driver)."""
     n = df.agg(F.count(c)).first()[0]
     if not n:
         return df.sparkSession.createDataFrame([(None,)], "p double")
