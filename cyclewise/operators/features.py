@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.exprs import attach_row, clamp, epoch_seconds, inf_to_null, safe_div
+from ..functions.exprs import attach_row, clamp, epoch_seconds, inf_to_null, is_bad_number, safe_div
 from ..schema import CYCLE, ENGINE, SensorSchema
 from .ordering import DEFAULT_CHUNK_ROWS, engine_windows, rows_back
 
@@ -137,10 +137,34 @@ def short_window_columns(w: WindowSpec, sensors: Sequence[str], n: int = SHORT_W
     return cols
 
 
-def add_engine_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, fill: bool = True) -> DataFrame:
+# Largest magnitude for which squares and window statistics stay finite.
+SAFE_MAGNITUDE = 1e150
+
+
+def fill_needed(raw: DataFrame, sensors: Sequence[str], settings: Sequence[str]) -> bool:
+    """Whether the engine features can hold a missing or non-finite value.
+
+    They are built from the raw sensors / settings by sums, differences,
+    squares, window statistics and the neighbour ratios; with every raw value
+    present, finite and below ``SAFE_MAGNITUDE`` and every ratio finite, none
+    of them can be missing or non-finite, so the forward fill would change
+    nothing. One aggregate over the raw columns (no ordering needed)."""
+    bad = [F.col(c).isNull() | is_bad_number(c) | (F.abs(F.col(c)) > SAFE_MAGNITUDE) for c in list(sensors) + list(settings)]
+    bad += [r.isNull() | is_bad_number(r) for r in ratio_columns(sensors)]
+    if not bad:
+        return False
+    flag = F.max(F.greatest(*[b.cast("int") for b in bad]) if len(bad) > 1 else bad[0].cast("int"))
+    return bool(raw.agg(flag).first()[0])
+
+
+def add_engine_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, fill: bool = True,
+                        fill_check: DataFrame | None = None) -> DataFrame:
     """The remaining-life feature builder: F1, F2, F3, F5, F6, F7, W5–W7 per
     engine (the reference's engine-boundary leak is not reproduced), then
-    ±inf → missing → forward fill per engine → 0 (P6)."""
+    ±inf → missing → forward fill per engine → 0 (P6).
+
+    ``fill_check``: the same raw readings without positions; when given and
+    :func:`fill_needed` proves the fill a no-op, it is skipped."""
     schema = SensorSchema.of(df)
     sensors, settings = list(schema.sensors), list(schema.settings)
     top = df.agg(F.max(CYCLE).alias("_gmax"))
@@ -160,7 +184,7 @@ def add_engine_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, fil
     )
     base = [x for x in out.columns if not x.startswith("_")]
     out = out.select(*base, *derived)
-    if not fill:
+    if not fill or (fill_check is not None and not fill_needed(fill_check, sensors, settings)):
         return out
     fill_cols = [x for x in out.columns if x not in (ENGINE, CYCLE, "RUL") and dict(out.dtypes)[x] in ("double", "float")]
     return forward_fill(out, fill_cols, chunk_rows=chunk_rows)

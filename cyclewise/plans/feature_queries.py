@@ -271,7 +271,7 @@ def _engine_features_sql() -> str:
 def engine_features(spark, sf_dir):
     """The remaining-life feature builder per engine, with ±inf → ffill → 0."""
     r = event_readings(spark, sf_dir).select("engine_id", "cycle", *SENSORS, "setting_1")
-    return fe.add_engine_features(r)
+    return fe.add_engine_features(r, fill_check=event_base(spark, sf_dir))
 
 
 @register("sequence_windows",

@@ -19,7 +19,7 @@ from ..operators import fleet as fl
 from ..operators import labels as lb
 from ..operators import models as md
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import event_readings
+from ..sources.tables import event_base, event_readings
 from .common import with_readings
 from .registry import register
 
@@ -30,7 +30,7 @@ DETECTOR_FEATURES = SENSORS + ["setting_1"]
 def model_table(spark, sf_dir):
     """Engineered features + RUL target + train/test side (by engine)."""
     r = lb.add_rul(event_readings(spark, sf_dir)).select("engine_id", "cycle", *SENSORS, "setting_1", "RUL")
-    f = fe.add_engine_features(r)
+    f = fe.add_engine_features(r, fill_check=event_base(spark, sf_dir))
     # iterative fitting rescans its input many times: materialise it once in
     # the shared checkpoint folder (reliable, survives executor loss)
     ensure_checkpoint_dir(spark)

@@ -77,3 +77,16 @@ def test_rolling_skips_nan_like_pandas(spark):
     out = {r.cycle: r for r in fe.add_rolling_features(df, ["sensor_1"], windows=(3,)).collect()}
     assert out[2].sensor_1_rolling_mean_3 == 1.0 and out[3].sensor_1_rolling_mean_3 == 2.0
     assert out[3].sensor_1_rolling_max_3 == 3.0
+
+
+def test_fill_skipped_only_when_provably_clean(spark):
+    clean = spark.createDataFrame([(1, 1, 1.0, 2.0, 0.0), (1, 2, 2.0, 3.0, 1.0)],
+                                  "engine_id long, cycle long, sensor_1 double, sensor_2 double, setting_1 double")
+    assert not fe.fill_needed(clean, ["sensor_1", "sensor_2"], ["setting_1"])
+    zero_div = clean.withColumn("sensor_2", F.lit(-1e-8))
+    assert fe.fill_needed(zero_div, ["sensor_1", "sensor_2"], ["setting_1"])
+    missing = clean.withColumn("sensor_1", F.when(F.col("cycle") == 2, F.lit(None)).otherwise(F.col("sensor_1")))
+    assert fe.fill_needed(missing, ["sensor_1", "sensor_2"], ["setting_1"])
+    a = fe.add_engine_features(clean.withColumn("RUL", F.lit(1)), fill_check=clean)
+    b = fe.add_engine_features(clean.withColumn("RUL", F.lit(1)))
+    assert a.exceptAll(b).count() == 0
