@@ -43,8 +43,11 @@ def main() -> None:
     from cyclewise.session import get_session
 
     spark = get_session(f"local[{cpus}]", conf={"spark.sql.shuffle.partitions": str(int(cpus) * 2)})
-    # warm-up: JVM start, parquet footers, codegen caches
+    # setup, timed apart: JVM warm-up and the one-time numbered reading table
+    # (written once per session to the checkpoint folder, read by every query)
+    t0 = time.perf_counter()
     REGISTRY["rul_label"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    setup = round(time.perf_counter() - t0, 3)
 
     times = {}
     for name in names:
@@ -56,7 +59,7 @@ def main() -> None:
     flagship = times.get("engine_health_summary")
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": int(cpus), "readings": readings,
+                      "cpus": int(cpus), "readings": readings, "setup_sec": setup,
                       # the reference claims 1000+ readings / minute for its live path
                       "flagship_readings_per_sec": round(readings / flagship, 1) if flagship else None}))
 

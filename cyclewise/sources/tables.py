@@ -9,12 +9,16 @@ event's position inside its user by ``(ts, event_id)``, ``sensor_1 = value``,
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import epoch_seconds
 from ..operators.ordering import number_rows
 from ..schema import CYCLE, ENGINE
+from ..session import ensure_checkpoint_dir
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -47,13 +51,36 @@ def event_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_readings_unnumbered(table(spark, sf_dir, "events"))
 
 
+_MATERIALISED: dict = {}
+
+
+def materialise_readings() -> bool:
+    """Whether the numbered reading table is written once per session and
+    source (default) instead of being renumbered inside every query."""
+    return os.environ.get("CYCLEWISE_MATERIALISE_READINGS", "1") != "0"
+
+
 def event_readings(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """The reading table over ``events``.
 
-    ``columns`` narrows the projection before the ordering exchange so only
-    what a query needs is shuffled (the parquet scan is pruned either way).
+    By default the numbered table is written once (per session and source) as
+    Parquet in the shared checkpoint folder — a reliable, lineage-free input
+    that every later query reads with column pruning, instead of repeating
+    the numbering shuffle. Otherwise ``columns`` narrows the projection
+    before the ordering exchange so only what a query needs is shuffled.
     """
     base = event_readings_unnumbered(table(spark, sf_dir, "events"))
+    if materialise_readings():
+        key = (spark.sparkContext.applicationId, "events", sf_dir)
+        if key not in _MATERIALISED:
+            path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cyclewise/readings-{uuid.uuid4().hex[:12]}"
+            number_rows(base, ENGINE, ["ts", "event_id"], out=CYCLE, split_key=("events", sf_dir)).write.parquet(path)
+            _MATERIALISED[key] = path
+        out = spark.read.parquet(_MATERIALISED[key]).select(*base.columns, CYCLE)
+        if columns is not None:
+            keep = [c for c in out.columns if c in set(columns) | {ENGINE, "ts", "event_id", CYCLE}]
+            out = out.select(*keep)
+        return out
     if columns is not None:
         keep = [c for c in base.columns if c in set(columns) | {ENGINE, "ts", "event_id"}]
         base = base.select(*keep)
