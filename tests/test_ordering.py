@@ -82,3 +82,12 @@ def test_gapped_cycles_need_positions(spark):
     prev = {(r.engine_id, r.cycle): r.prev for r in got.collect()}
     assert prev[(1, 10)] == 3.0 and prev[(1, 500)] == 11.0 and prev[(2, 9)] == 1.0 and prev[(1, 1)] is None
     assert len(prev) == len(rows)
+
+
+def test_renumbering_path_equals_materialised(spark, sf_small, monkeypatch):
+    from cyclewise.sources.tables import event_readings
+
+    a = event_readings(spark, sf_small, columns=["sensor_1"]).select("event_id", "cycle")
+    monkeypatch.setenv("CYCLEWISE_MATERIALISE_READINGS", "0")
+    b = event_readings(spark, sf_small, columns=["sensor_1"]).select("event_id", "cycle")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
