@@ -265,3 +265,24 @@ def stream_time(df: DataFrame, ts: str = "ts", out: str = "stream_time") -> Data
 def clip_score(score: Column | str, lo: float = 0.0, hi: float = 5.0) -> Column:
     """score clipped to [0, 5]."""
     return clamp(score, lo, hi)
+
+
+def add_preprocessing_features(df: DataFrame, sensors: Sequence[str] | None = None,
+                               windows: Sequence[int] = ROLLING_WINDOWS,
+                               chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """W1–W4 rolling statistics, F4 ``cycle_norm``, W8 trends and W7
+    differences in one pass: every frame shares the chunk window, so the
+    whole family costs one exchange and one sort."""
+    sensors = list(sensors or SensorSchema.of(df).sensors)
+    aggs = [F.min(CYCLE).alias("_cmin"), F.max(CYCLE).alias("_cmax")]
+    aggs += [F.min_by(s, CYCLE).alias(f"_first_{s}") for s in sensors]
+
+    def cols(w: WindowSpec) -> list[Column]:
+        return rolling_columns(w, sensors, windows) + [
+            F.coalesce(F.col(s) - F.lag(s).over(w), F.lit(0.0)).alias(f"{s}_diff") for s in sensors]
+
+    out = engine_windows(df, cols, halo=max(windows) - 1, engine_aggs=aggs, chunk_rows=chunk_rows)
+    keep = [c for c in out.columns if not c.startswith("_") and not c.endswith("_diff")]
+    norm = ((F.col(CYCLE) - F.col("_cmin")) / (F.col("_cmax") - F.col("_cmin") + F.lit(NORM_EPS))).alias("cycle_norm")
+    trends = [(F.col(s) - F.col(f"_first_{s}")).alias(f"{s}_trend") for s in sensors]
+    return out.select(*keep, norm, *trends, *[F.col(f"{s}_diff") for s in sensors])

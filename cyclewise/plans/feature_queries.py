@@ -346,3 +346,42 @@ def supplier_rolling_features(spark, sf_dir):
     out = engine_windows(r, lambda w: fe.rolling_columns(w, LI_SENSORS, (5,), ("mean", "std")), halo=4,
                          engine_aggs=[F.max("cycle").alias("_max")])
     return out.withColumn("RUL", F.col("_max") - F.col("cycle"))
+
+
+# ---------------------------------------------------------------- batch preparation (entry 1)
+
+PREP_FEATURES = (["setting_1"] + SENSORS
+                 + [f"{s}_rolling_{st}_{n}" for n in fe.ROLLING_WINDOWS for s in SENSORS for st in fe.ROLLING_STATS]
+                 + ["cycle_norm"] + [f"{s}_trend" for s in SENSORS] + [f"{s}_diff" for s in SENSORS])
+PREP_SPEC = "engine_id:l cycle:l RUL:l " + " ".join(f"{c}:d" for c in PREP_FEATURES) + " max_rul:l is_anomaly:l"
+
+
+def _prep_sql() -> str:
+    fn = {"mean": "avg", "std": "stddev_samp", "max": "max", "min": "min"}
+    roll = [f"coalesce({fn[st]}({s}) OVER {frame(n)}, 0.0) AS {s}_rolling_{st}_{n}"
+            for n in fe.ROLLING_WINDOWS for s in SENSORS for st in fe.ROLLING_STATS]
+    deg = [f"(cycle - min(cycle) OVER ({WE})) / (max(cycle) OVER ({WE}) - min(cycle) OVER ({WE}) + {dbl(1e-8)}) AS cycle_norm"]
+    deg += [f"{s} - first_value({s}) OVER ({W}) AS {s}_trend" for s in SENSORS]
+    deg += [f"coalesce({s} - lag({s}) OVER ({W}), 0.0) AS {s}_diff" for s in SENSORS]
+    f = ("f AS (SELECT engine_id, cycle, max(cycle) OVER (" + WE + ") - cycle AS RUL, setting_1, "
+         + ", ".join(SENSORS) + ", " + ", ".join(roll + deg) + " FROM readings)")
+    stats = ("st AS (SELECT " + ", ".join(
+        f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1.0 END AS s_{c}"
+        for c in PREP_FEATURES) + " FROM f)")
+    scaled = ("sc AS (SELECT engine_id, cycle, RUL, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in PREP_FEATURES)
+              + " FROM f CROSS JOIN st)")
+    body = (f"""SELECT sc.*, max(RUL) OVER ({WE}) AS max_rul,
+       CAST(coalesce(RUL / nullif(CAST(max(RUL) OVER ({WE}) AS DOUBLE), 0) < {dbl(1 - 0.8)}, false) AS BIGINT) AS is_anomaly
+FROM sc""")
+    return with_readings(body, f, stats, scaled)
+
+
+@register("training_preparation", PREP_SPEC, _prep_sql(), "L1 L2 W1 W2 W3 W4 W7 W8 F4 P5 M1 A1 S4")
+def training_preparation(spark, sf_dir):
+    """The reference's batch preparation as one lazy plan: RUL, 36 rolling
+    statistics, cycle_norm, trends and differences (one exchange), inf/NaN → 0,
+    standard scaling of all 47 features, life-fraction labels."""
+    from .preparation import prepare_training_tables
+
+    r = event_readings(spark, sf_dir).select("engine_id", "cycle", "setting_1", *SENSORS)
+    return prepare_training_tables(r).anomaly
