@@ -31,6 +31,7 @@ HEADLINE = [
     "rul_estimate_metrics",
     "sensor_correlation",
     "lifecycle_stats",
+    "training_preparation",
 ]
 
 

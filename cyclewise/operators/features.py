@@ -269,10 +269,14 @@ def clip_score(score: Column | str, lo: float = 0.0, hi: float = 5.0) -> Column:
 
 def add_preprocessing_features(df: DataFrame, sensors: Sequence[str] | None = None,
                                windows: Sequence[int] = ROLLING_WINDOWS,
-                               chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                               chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                               healthy_threshold: float | None = None) -> DataFrame:
     """W1–W4 rolling statistics, F4 ``cycle_norm``, W8 trends and W7
     differences in one pass: every frame shares the chunk window, so the
-    whole family costs one exchange and one sort."""
+    whole family costs one exchange and one sort.
+
+    With ``healthy_threshold`` the same pass also yields L1 ``RUL``, the
+    engine's ``max_rul`` (= max cycle − min cycle) and the L2 label."""
     sensors = list(sensors or SensorSchema.of(df).sensors)
     aggs = [F.min(CYCLE).alias("_cmin"), F.max(CYCLE).alias("_cmax")]
     aggs += [F.min_by(s, CYCLE).alias(f"_first_{s}") for s in sensors]
@@ -285,4 +289,10 @@ def add_preprocessing_features(df: DataFrame, sensors: Sequence[str] | None = No
     keep = [c for c in out.columns if not c.startswith("_") and not c.endswith("_diff")]
     norm = ((F.col(CYCLE) - F.col("_cmin")) / (F.col("_cmax") - F.col("_cmin") + F.lit(NORM_EPS))).alias("cycle_norm")
     trends = [(F.col(s) - F.col(f"_first_{s}")).alias(f"{s}_trend") for s in sensors]
-    return out.select(*keep, norm, *trends, *[F.col(f"{s}_diff") for s in sensors])
+    extra = []
+    if healthy_threshold is not None:
+        rul = F.col("_cmax") - F.col(CYCLE)
+        max_rul = F.col("_cmax") - F.col("_cmin")
+        flag = F.coalesce(safe_div(rul.cast("double"), max_rul.cast("double")) < F.lit(1 - healthy_threshold), F.lit(False))
+        extra = [rul.alias("RUL"), max_rul.alias("max_rul"), flag.cast("int").alias("is_anomaly")]
+    return out.select(*keep, *extra, norm, *trends, *[F.col(f"{s}_diff") for s in sensors])

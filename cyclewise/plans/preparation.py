@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 
 from ..operators import clean as cl
 from ..operators import features as fe
-from ..operators import labels as lb
 from ..operators import stats as st
 from ..schema import CYCLE, ENGINE, TARGET, SensorSchema
+from ..session import materialise
 from ..sources import sinks as sk
 
 SEQUENCE_LENGTH = 30  # what the reference's preparation asks for
@@ -36,12 +36,19 @@ def prepare_training_tables(readings: DataFrame, keep: tuple[str, ...] = (),
     carried along unscaled)."""
     schema = SensorSchema.of(readings)
     base = readings.select(ENGINE, CYCLE, *keep, *schema.settings, *schema.sensors)
-    f = fe.add_preprocessing_features(lb.add_rul(base), schema.sensors)
-    features = [c for c in f.columns if c not in (ENGINE, CYCLE, TARGET, *keep)]
+    # one chunk-window pass gives RUL, the label and every windowed feature
+    labels = ("max_rul", "is_anomaly")
+    f = fe.add_preprocessing_features(base, schema.sensors, healthy_threshold=HEALTHY_THRESHOLD)
+    features = [c for c in f.columns if c not in (ENGINE, CYCLE, TARGET, *keep, *labels)]
     f = cl.inf_to_zero(f, features)
+    # the scaler is fitted and applied on the same feature table: materialise it
+    # once in the shared checkpoint folder instead of evaluating the window
+    # stage for each consumer
+    f = materialise(f, "features")
     stats = st.feature_stats(f, features)
-    processed = st.zscore(f, features, stats)
-    anomaly = lb.life_fraction_label(processed, HEALTHY_THRESHOLD)
+    scaled = st.zscore(f, features, stats)
+    processed = scaled.select(ENGINE, CYCLE, TARGET, *keep, *features)
+    anomaly = scaled.select(ENGINE, CYCLE, TARGET, *keep, *features, *labels)
     sequences = fe.sequence_windows(processed, features, length=seq_len, target=TARGET)
     return TrainingTables(processed, anomaly, sequences, st.stats_long(stats, features), features)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -82,3 +83,14 @@ def env_int(name: str, default: int) -> int:
         return int(os.environ.get(name, default))
     except ValueError:
         return default
+
+
+def materialise(df, name: str = "table"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return it read back: lineage is cut, the input is computed once (a
+    ``checkpoint()`` without caching computes it twice), and later reads are
+    column-pruned."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cyclewise/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
