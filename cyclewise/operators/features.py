@@ -234,7 +234,7 @@ def forward_fill(df: DataFrame, cols: Sequence[str], key: str = ENGINE, seq: str
 def sequence_windows(df: DataFrame, features: Sequence[str], length: int = 50, target: str = "RUL",
                      chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Sliding fixed-length sequences per engine (default 50; the
-    reference's pipeline asks for 30), one per end row; the target is the end
+    reference's preparation asks for 30), one per end row; the target is the end
     row's target; engines shorter than ``length`` give none."""
     step = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
     out = engine_windows(

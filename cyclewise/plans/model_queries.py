@@ -141,7 +141,7 @@ def detector_evaluation(spark, sf_dir):
 
 @register("model_roundtrip", "engine_id:l cycle:l predicted_rul:r reloaded_rul:r", None, "S6 M9")
 def model_roundtrip(spark, sf_dir):
-    """Save the fitted pipeline under the shared checkpoint folder, load
+    """Save the fitted model (all stages) under the shared checkpoint folder, load
     it back and score with both."""
     t, _, res = fitted(spark, sf_dir, "linear", cv=True)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{uuid.uuid4().hex}"
