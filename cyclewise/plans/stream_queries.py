@@ -114,10 +114,15 @@ def stream_engine_progress(spark, sf_dir):
     return _upsert_run(spark, sm.engine_progress(stream), ["engine_id"], "progress")
 
 
-@register("stream_staleness", "engine_id:l last_seen:d issue:s", None, "T6 R9")
+@register("stream_staleness", "engine_id:l last_seen:d issue:s", with_readings(
+    """SELECT engine_id, epoch_us(ts) / 1e6 AS last_seen, 'No streaming activity in last 60 seconds' AS issue
+FROM (SELECT engine_id, ts, lead(ts) OVER (PARTITION BY engine_id ORDER BY cycle) AS nxt,
+             max(ts) OVER () AS t_end FROM readings) t
+WHERE (nxt IS NOT NULL AND epoch_us(nxt) / 1e6 - epoch_us(ts) / 1e6 > 60)
+   OR (nxt IS NULL AND epoch_ms(t_end) > epoch_ms(ts) + 60000)"""), "T6 R9")
 def stream_staleness(spark, sf_dir):
-    """Staleness events from event-time timers (one per silence of
-    more than 60 s of event time; depends on micro-batch cuts, rows-only)."""
+    """Staleness events — one per silence of more than 60 s of event
+    time, from gaps between readings or from event-time timers."""
     stream, _ = _source(spark, sf_dir)
     root = sm.shared_dir(spark, "stale")
     q = (sm.staleness_events(stream).writeStream.outputMode("append").format("parquet")

@@ -208,25 +208,32 @@ STALE_STATE = T.StructType([T.StructField("last_seen", T.DoubleType())])
 
 def staleness_events(readings: DataFrame, ts: str = "event_time", limit_s: int = IDLE_SECONDS,
                      watermark: str = "0 seconds") -> DataFrame:
-    """One event per silence — an engine with no reading for ``limit_s``
-    seconds of event time. An event-time timer is re-armed at every reading
-    (state: one double per engine)."""
+    """One event per silence — an engine with no reading for more than
+    ``limit_s`` seconds of event time. A silence is seen either as a gap
+    between two readings of the engine (sorted inside the batch, or against
+    the last reading kept in state) or, when no later reading comes, by the
+    event-time timer re-armed at every reading; so the events do not depend
+    on how the input is cut into micro-batches. State: one double per engine."""
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        issue = f"No streaming activity in last {limit_s} seconds"
         if state.hasTimedOut:
             (last,) = state.get
             state.remove()
-            yield pd.DataFrame({ENGINE: [key[0]], "last_seen": [last],
-                                "issue": [f"No streaming activity in last {limit_s} seconds"]})
+            yield pd.DataFrame({ENGINE: [key[0]], "last_seen": [last], "issue": [issue]})
             return
         last = state.get[0] if state.exists else None
-        for pdf in pdfs:
-            m = float(pdf["timestamp"].max())
-            last = m if last is None else max(last, m)
-        state.update((last,))
-        state.setTimeoutTimestamp(int(last * 1000) + limit_s * 1000)
-        yield pd.DataFrame({ENGINE: pd.Series([], dtype="int64"), "last_seen": pd.Series([], dtype="float64"),
-                            "issue": pd.Series([], dtype="object")})
+        silent = []
+        times = np.sort(np.concatenate([pdf["timestamp"].to_numpy(dtype=float) for pdf in pdfs]))
+        for t in times:
+            if last is not None and t - last > limit_s:
+                silent.append(last)
+            last = t if last is None else max(last, t)
+        state.update((float(last),))
+        state.setTimeoutTimestamp(int(np.floor(last * 1000)) + limit_s * 1000)
+        yield pd.DataFrame({ENGINE: pd.Series([key[0]] * len(silent), dtype="int64"),
+                            "last_seen": pd.Series(silent, dtype="float64"),
+                            "issue": pd.Series([issue] * len(silent), dtype="object")})
 
     return (readings.withWatermark(ts, watermark).groupBy(ENGINE)
             .applyInPandasWithState(fn, STALE_SCHEMA, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
