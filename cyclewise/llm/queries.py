@@ -9,6 +9,43 @@ from pyspark.sql import functions as F
 from .common import sha256, table
 
 
+def _spans_text(c: str):
+    """kind:start:end, comma-joined, of an array of spans."""
+    return F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def _count(c: str, kind: str):
+    return F.size(F.filter(c, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal_data import BASE, personal_data
+
+    out = personal_data(table(spark, sf_dir, "documents"))
+    base = out.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*BASE)))
+    return base.select("doc_id", *(_count("base", k) for k in BASE), sha256(_spans_text("base")).alias("base_sha256"), _spans_text("spans").alias("spans"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, r.key IS NULL OR k.doc_id = r.keeper AS stays FROM k LEFT JOIN r ON k.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +61,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_personal_data": op2_personal_data,
+    "op4_line_dedup": op4_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+}
