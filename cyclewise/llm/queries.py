@@ -46,6 +46,14 @@ FROM m GROUP BY doc_id
 """
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, secrets
+
+    out = secrets(table(spark, sf_dir, "documents"))
+    base = out.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*BASE)))
+    return base.select("doc_id", *(_count("base", k) for k in BASE), sha256(_spans_text("base")).alias("base_sha256"), _spans_text("spans").alias("spans"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +71,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_line_dedup": op4_line_dedup,
+    "op8_secrets": op8_secrets,
     "op9_sentencepiece": op9_sentencepiece,
 }
 ORACLE_SQL: dict[str, str] = {
