@@ -60,6 +60,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shard import shuffle_shards
+
+    out = shuffle_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -106,6 +122,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_shard": op7_shard,
     "op8_secrets": op8_secrets,
     "op9_sentencepiece": op9_sentencepiece,
 }
