@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from .common import sha256, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=0.85)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def _spans_text(c: str):
     """kind:start:end, comma-joined, of an array of spans."""
     return F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
@@ -119,6 +126,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_personal_data": op2_personal_data,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontaminate": op6_decontaminate,
