@@ -125,6 +125,21 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spot_signatures import fingerprint, likeness, with_next
+
+    out = with_next(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_chars"),
+        sha256(F.col("edited")).alias("edited_sha256"),
+        fingerprint(F.col("sigs")).alias("fingerprint"),
+        fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_personal_data": op2_personal_data,
@@ -133,6 +148,7 @@ QUERIES = {
     "op7_shard": op7_shard,
     "op8_secrets": op8_secrets,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_fingerprint": op10_fingerprint,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
