@@ -16,6 +16,19 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def fold(id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo 3; 1 is held out."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, learn(docs, fold() != 1))
+    return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def _spans_text(c: str):
     """kind:start:end, comma-joined, of an array of spans."""
     return F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
@@ -143,6 +156,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_personal_data": op2_personal_data,
+    "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_shard": op7_shard,
