@@ -80,6 +80,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import main_text
+
+    out = main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard import shuffle_shards
 
@@ -158,6 +165,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_language": op3_language,
     "op4_line_dedup": op4_line_dedup,
+    "op5_main_text": op5_main_text,
     "op6_decontaminate": op6_decontaminate,
     "op7_shard": op7_shard,
     "op8_secrets": op8_secrets,
