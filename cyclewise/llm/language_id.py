@@ -253,10 +253,14 @@ def learn(df: DataFrame, learn_from: Column, text_col: str = "text", label_col:
 _SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, batch_rows: int = 2000) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, whole_rows: bool = False, batch_rows: int = 2000) -> DataFrame:
     """One row per row of ``df``: the id column, ``lang_pred``, ``score`` and,
     if asked, ``spans``: runs of words of one language as (lang, start, end) in
-    code points of the text."""
+    code points of the text. With ``whole_rows`` a struct ``row`` of all columns
+    stands in place of the id."""
+    if whole_rows:
+        df, id_col = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), "row"
+        text_col = "text"
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([df.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("spans", _SPANS)] if spans else [])])
 
