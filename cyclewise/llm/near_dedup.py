@@ -55,13 +55,13 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
 #: scale and rate of the registers
 BASE, RATE = 1.1, 20.0
 #: factor (as a logarithm) by which a similarity must be unlikelier to be ruled out
 MARGIN = 16.0
-#: members of a bucket that may meet each other at the second level; four times
-#: as many at each level after it, when few members are left
+#: members of a bucket that may meet each other at the second level; 64 times as
+#: many at each level after it, when few members are left
 SMALL = 16
 MEMO = 300_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -214,19 +214,20 @@ def prove(pairs: DataFrame, vertices: DataFrame, shingle: int, threshold: float)
     return materialise(both.mapInArrow(run, _PROVEN), "near-proven")
 
 
-def centre_pairs(members: DataFrame, keys: list[str]) -> DataFrame:
+def centre_pairs(members: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """(a, b, crowd): each member of a bucket with the bucket's smallest set;
     the same pair from several buckets is one."""
     centres = members.groupBy(*keys).agg(F.count("*").alias("crowd"), F.min(F.struct("n", "vid")).alias("c")).where(F.col("crowd") > 1)
-    centres = centres.select(*keys, F.col("c.vid").alias("centre"), "crowd")
+    # at a later level a bucket keeps its extras even when a pair is left of it
+    crowd = F.greatest("crowd", F.lit(least)).alias("crowd")
+    centres = centres.select(*keys, F.col("c.vid").alias("centre"), crowd)
     pairs = members.select(*keys, F.col("vid").alias("a")).join(centres, keys).where(F.col("a") != F.col("centre"))
     return pairs.groupBy("a", F.col("centre").alias("b")).agg(F.max("crowd").alias("crowd"))
 
 
-def next_pairs(proven: DataFrame, pairs: DataFrame, label: DataFrame, small: int) -> DataFrame:
-    """Pairs that the last level leaves open, as (a, b, crowd)."""
-    # all members that were ever compared with the centres of that level
-    crowded = proven.where(F.col("crowd") > 2).join(pairs.where(F.col("crowd") > 2).select("b").distinct(), "b", "left_semi")
+def next_pairs(crowded: DataFrame, label: DataFrame, small: int) -> DataFrame:
+    """Pairs that a level leaves open, as (a, b, crowd), from the members that
+    were compared with its centres."""
     crowded = crowded.join(label.toDF("a", "comp"), "a", "left").select(F.col("a").alias("vid"), "n", "b", F.coalesce("comp", "a").alias("comp"), "need", "extras")
     two_comps = [F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")]
     apart = crowded.groupBy("b").agg(*two_comps).where("low < high").select("b")
@@ -234,29 +235,45 @@ def next_pairs(proven: DataFrame, pairs: DataFrame, label: DataFrame, small: int
     shared = each.groupBy("b", "extra").agg(*two_comps).where("low < high").select("b", "extra", "size")
     own = Window.partitionBy("b", "vid")
     members = each.join(shared, ["b", "extra"]).withColumn("have", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", "extra")))
-    members = members.where(F.col("rank") <= F.col("have") - F.col("need") + 1).drop("size")
-    sizes = members.groupBy("b", "extra").agg(*two_comps).where("low < high").select("b", "extra", "size")
-    members = materialise(members.join(sizes, ["b", "extra"]).select("vid", "n", "comp", "b", "extra", "size"), "near-members")
+    members = materialise(members.where(F.col("rank") <= F.col("have") - F.col("need") + 1).select("vid", "n", "comp", "b", "extra", "size"), "near-members")
     few = members.where(F.col("size") <= small)
     one, two = (few.select("b", "extra", F.col("vid").alias(v), F.col("comp").alias(c)) for v, c in (("x", "cx"), ("y", "cy")))
     meet = one.join(two, ["b", "extra"]).where("x < y AND cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(2).cast("long").alias("crowd"))
-    many = centre_pairs(members.where(F.col("size") > small), ["b", "extra"])
+    many = centre_pairs(members.where(F.col("size") > small), ["b", "extra"], least=3)
     return meet.unionByName(many).groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
 
 
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """Both directions of the links, and each vertex beside itself."""
+    ends = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e"))
+    return materialise(ends.select("e.*").distinct(), "near-edges")
+
+
+def _two_hops(beside: DataFrame, label: DataFrame) -> DataFrame:
+    for _ in range(2):
+        label = beside.join(label.toDF("b", "comp"), "b").groupBy(F.col("a").alias("vid")).agg(F.min("comp").alias("comp"))
+    return label
+
+
+def group_labels(edges: DataFrame) -> DataFrame:
+    """(vid, comp): vertices of one label are connected, though one component
+    may still have several labels. Enough to leave pairs out."""
+    beside = _neighbours(edges)
+    return materialise(_two_hops(beside, beside.groupBy(F.col("a").alias("vid")).agg(F.min("b").alias("comp"))), "near-labels")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(vid, comp) of all vertices with an edge: the least vertex reachable."""
-    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    label = materialise(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "vid"), "near-labels")
+    beside = _neighbours(edges)
+    label = beside.groupBy(F.col("a").alias("vid")).agg(F.min("b").alias("comp"))
+    total = None
     while True:
-        # the least label beside each vertex, then the label of that label
-        near = both.join(label.select(F.col("vid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("vid")).agg(F.min("comp").alias("near"))
-        least = label.join(near, "vid").select("vid", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = label.select(F.col("vid").alias("comp"), F.col("comp").alias("root"))
-        after = materialise(least.join(jump, "comp", "left").select("vid", "was", F.least("comp", "root").alias("comp")), "near-labels")
-        changed = after.where(F.col("was") != F.col("comp")).limit(1).count()
-        label = after.select("vid", "comp")
-        if not changed:
+        near = _two_hops(beside, label)
+        jump = near.select(F.col("vid").alias("comp"), F.col("comp").alias("root"))
+        label = materialise(near.join(jump, "comp").select("vid", F.col("root").alias("comp")), "near-labels")
+        # labels only ever fall, so an equal sum means that none has changed
+        before, total = total, label.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return label
 
 
@@ -279,17 +296,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     proven = prove(pairs, vertices, shingle, threshold)
     seen = pairs.select("a", "b", F.col("crowd").alias("met"))
-    small = SMALL
+    crowded, small = proven.where(F.col("crowd") > 2), SMALL
     while True:
-        label = components(proven.where("linked").select("a", "b"))
         # a pair met in a bucket of two has no extras yet
-        fresh = next_pairs(proven, pairs, label, small).join(seen, ["a", "b"], "left").where(F.col("met").isNull() | ((F.col("met") == 2) & (F.col("crowd") > 2)))
+        fresh = next_pairs(crowded, group_labels(proven.where("linked").select("a", "b")), small).join(seen, ["a", "b"], "left").where(F.col("met").isNull() | ((F.col("met") == 2) & (F.col("crowd") > 2)))
         pairs = materialise(fresh.select("a", "b", "crowd"), "near-pairs")
-        if pairs.isEmpty():
+        left, centres = pairs.agg(F.count("*"), F.count(F.when(F.col("crowd") > 2, 1))).first()
+        if left:
+            proven = proven.unionByName(prove(pairs, vertices, shingle, threshold))
+            seen = seen.unionByName(pairs.select("a", "b", F.col("crowd").alias("met"))).groupBy("a", "b").agg(F.max("met").alias("met"))
+        if not centres:  # every bucket was small: all its pairs have met
             break
-        small *= 4
-        proven = proven.unionByName(prove(pairs, vertices, shingle, threshold))
-        seen = seen.unionByName(pairs.select("a", "b", F.col("crowd").alias("met"))).groupBy("a", "b").agg(F.max("met").alias("met"))
+        # all members that were ever compared with the centres of this level
+        crowded = proven.where(F.col("crowd") > 2).join(pairs.where(F.col("crowd") > 2).select("b").distinct(), "b", "left_semi")
+        small *= 64
+    label = components(proven.where("linked").select("a", "b"))
 
     first = copies.join(label, "vid").groupBy("comp").agg(F.min("least").alias("first"))
     leads = copies.join(label.join(first, "comp").select("vid", "first"), "vid", "left").select("h1", "h2", F.coalesce("first", "least").alias("first"))
