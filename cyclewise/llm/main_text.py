@@ -14,7 +14,8 @@
    least ``min_tokens`` tokens that occur in at least ``min_pages`` distinct
    pages; their tokens are covered.
 3. *Keep.* Main blocks stay, as repeated passages of articles are text all the
-   same. Open blocks lose their covered words; unique runs stay.
+   same. Open blocks that are covered go, others lose their covered runs of
+   ``min_tokens`` words or more; unique runs stay.
 
 A host's pages are dealt by hash into groups of about ``group_pages`` pages, so
 a host with a third of all pages is many groups; a template that repeats within
@@ -172,6 +173,22 @@ def covered(streams: list[np.ndarray], min_tokens: int, min_pages: int) -> list[
     return [flags[e - n - 1 : e - 1] for e, n in zip(ends, sizes, strict=True)]
 
 
+def unique_runs(words: list[str], flags: np.ndarray, min_tokens: int) -> list[str]:
+    """Words of a block outside its covered runs; a short covered run stays
+    unless it is the whole block."""
+    if flags.all():
+        return []
+    out, i = [], 0
+    while i < len(words):
+        j = i
+        while j < len(words) and flags[j] == flags[i]:
+            j += 1
+        if not flags[i] or j - i < min_tokens:
+            out += words[i:j]
+        i = j
+    return out
+
+
 def _hash(words: list[str]) -> list[int]:
     import xxhash
 
@@ -234,8 +251,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     t = x["text"]
                     if x["kind"] == OPEN:
                         words = t.split(" ")
-                        gone = bits[spans[k] : spans[k] + len(words)]
-                        t = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+                        t = " ".join(unique_runs(words, bits[spans[k] : spans[k] + len(words)], min_tokens))
                         k += 1
                     if t:
                         lines.append(t)
