@@ -28,6 +28,8 @@ carried along, so no names can clash.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,14 +46,32 @@ ANCHORS = (
 CHAIN = 2
 
 
+def any_of(words: tuple | list) -> str:
+    """A pattern for any of the words, by common beginnings: a matcher tries
+    some twenty first letters instead of every word."""
+
+    def node(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            if w:
+                heads.setdefault(w[0], []).append(w[1:])
+        parts = [re.escape(c) + node(tails) for c, tails in sorted(heads.items())]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+        return f"(?:{body})?" if "" in rest else body
+
+    return node(sorted(set(words)))
+
+
 def signatures(df: DataFrame, text_col: str, out: str, anchors: tuple | list = ANCHORS, chain: int = CHAIN) -> DataFrame:
     """``df`` with the sorted, distinct signature hashes of a text as ``out``."""
-    # sorted by length, so that no word stands before one that it begins
-    a = "(?:" + "|".join(sorted(set(anchors), key=lambda w: (-len(w), w))) + ")(?![^ ])"
+    a = any_of(anchors) + "(?![^ ])"
     link = rf"(?: {a})*+ [^ ]++"
     pattern = F.lit(rf"(?<![^ ])(?=({a}(?:{link}){{{chain}}})){a}")
     # the anchor stays, common words inside the chain go
-    spots = F.transform("_found", lambda s: F.hash(F.regexp_replace(s, rf"(?<= ){a} ", "")))
+    plain_chains = F.split(F.regexp_replace(F.array_join("_found", "\n"), rf"(?<= ){a} ", ""), "\n")
+    spots = F.transform(plain_chains, lambda s: F.hash(s))
     plain = F.transform(F.filter(F.split("_words", " "), lambda w: w != ""), lambda w: F.hash(w))
     # one step each, so that no step is evaluated twice
     df = df.withColumn("_words", normalised(F.col(text_col))).withColumn("_found", F.regexp_extract_all("_words", pattern, F.lit(1)))
