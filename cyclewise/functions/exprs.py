@@ -63,8 +63,12 @@ def fixed_decimals(c: ColumnOrName, digits: int = 3) -> Column:
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row table — a global aggregate (``agg``
-    without ``groupBy``) — to every row of ``df``. The single row is
-    broadcast, so the result has exactly ``len(df)`` rows and ``df`` is not
-    shuffled."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a one-row table to every row of ``df``. The row
+    goes through a global aggregate, which makes it one row whatever comes in
+    and fails unless exactly one came in; so the broadcast is one row, the
+    result has ``len(df)`` rows and ``df`` is not shuffled."""
+    names = one_row.columns
+    row = one_row.agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in names])
+    refuse = F.raise_error(F.lit("attach_row needs a table of exactly one row"))
+    row = row.select(*[F.when(F.col("_rows") == 1, F.col(c)).otherwise(refuse).alias(c) for c in names])
+    return df.crossJoin(F.broadcast(row))

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import attach_row, inf_to_null, is_bad_number
+from ..functions.exprs import attach_row, inf_to_null
 from ..schema import CYCLE, ENGINE, TARGET, feature_columns
-from .features import forward_fill
+from .quantiles import linear_quantiles
 
 DEFAULT_ENGINE_COUNT = 5  # engines replayed when none are chosen
 
@@ -60,18 +60,15 @@ def inf_to_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                        for c in df.columns])
 
 
-def inf_ffill(df: DataFrame, cols: Sequence[str], **kw) -> DataFrame:
-    """±inf → missing → forward fill within the engine → 0."""
-    return forward_fill(df, cols, **kw)
-
-
 def median_impute(df: DataFrame, cols: Sequence[str], medians: DataFrame | None = None) -> DataFrame:
-    """±inf → missing, then missing → column median (exact, fitted in one
-    aggregate; the one-row result is broadcast)."""
+    """±inf → missing, then missing → column median (exact). ``medians``:
+    one row of earlier fitted ``_med_0``, ``_med_1``, ..."""
     clean = df.select(*[inf_to_null(c).alias(c) if c in cols else F.col(c) for c in df.columns])
-    med = medians if medians is not None else clean.agg(
-        *[F.percentile(F.col(c), F.lit(0.5)).alias(f"_med_{i}") for i, c in enumerate(cols)])
-    out = attach_row(clean, med)
+    if medians is None:
+        fitted = linear_quantiles(clean, cols, (0.5,))
+        out = clean.withColumns({f"_med_{i}": F.lit(fitted[c][0]).cast("double") for i, c in enumerate(cols)})
+    else:
+        out = attach_row(clean, medians)
     idx = {c: i for i, c in enumerate(cols)}
     return out.select(*[F.coalesce(F.col(c), F.col(f"_med_{idx[c]}")).alias(c) if c in idx else F.col(c)
                         for c in df.columns])
@@ -93,7 +90,3 @@ def fill_missing_features(df: DataFrame, features: Sequence[str], default: float
     cols = [F.coalesce(F.col(f).cast("double"), F.lit(default)).alias(f) if f in have else F.lit(default).alias(f)
             for f in features]
     return df.select(*keep, *cols)
-
-
-def bad_number_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.agg(*[F.count_if(is_bad_number(c) | F.col(c).isNull()).alias(c) for c in cols])

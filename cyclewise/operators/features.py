@@ -13,9 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.exprs import attach_row, clamp, epoch_seconds, inf_to_null, is_bad_number, safe_div
+from ..functions.exprs import attach_row, clamp, epoch_seconds, inf_to_null, safe_div
 from ..schema import CYCLE, ENGINE, SensorSchema
-from .ordering import DEFAULT_CHUNK_ROWS, engine_windows, rows_back
+from .ordering import DEFAULT_CHUNK_ROWS, KEYS, engine_windows, rows_back, with_keys
 
 # Fixed values used by the reference's feature builders.
 ROLLING_WINDOWS = (5, 10, 20)
@@ -45,6 +45,13 @@ def _skip_nan(s: str) -> Column:
     return F.nanvl(F.col(s).cast("double"), F.lit(None).cast("double"))
 
 
+def _difference(s: str, w: WindowSpec) -> Column:
+    """Difference from the reading before; 0 where there is none or a side
+    is missing (NULL or NaN)."""
+    x = F.col(s).cast("double")
+    return F.coalesce(F.nanvl(x - F.lag(x).over(w), F.lit(None).cast("double")), F.lit(0.0))
+
+
 def rolling_columns(w: WindowSpec, sensors: Sequence[str], windows: Sequence[int] = ROLLING_WINDOWS,
                     stats: Sequence[str] = ROLLING_STATS) -> list[Column]:
     """``{sensor}_rolling_{stat}_{n}`` over the last n rows (min_periods 1,
@@ -79,7 +86,7 @@ def add_degradation_features(df: DataFrame, sensors: Sequence[str] | None = None
     aggs += [F.min_by(s, CYCLE).alias(f"_first_{s}") for s in sensors]
     out = engine_windows(
         df,
-        lambda w: [F.coalesce(F.col(s) - F.lag(s).over(w), F.lit(0.0)).alias(f"{s}_diff") for s in sensors],
+        lambda w: [_difference(s, w).alias(f"{s}_diff") for s in sensors],
         halo=1, engine_aggs=aggs, chunk_rows=chunk_rows,
     )
     cols = [c for c in out.columns if not c.startswith("_") and not c.endswith("_diff")]
@@ -132,39 +139,15 @@ def short_window_columns(w: WindowSpec, sensors: Sequence[str], n: int = SHORT_W
             mean.alias(f"{s}_rolling_mean"),
             F.coalesce(F.stddev_samp(_skip_nan(s)).over(frame), F.lit(0.0)).alias(f"{s}_rolling_std"),
             (F.col(s) - mean).alias(f"{s}_trend"),
-            F.coalesce(F.col(s) - F.lag(s).over(w), F.lit(0.0)).alias(f"{s}_rate"),
+            _difference(s, w).alias(f"{s}_rate"),
         ]
     return cols
 
 
-# Largest magnitude for which squares and window statistics stay finite.
-SAFE_MAGNITUDE = 1e150
-
-
-def fill_needed(raw: DataFrame, sensors: Sequence[str], settings: Sequence[str]) -> bool:
-    """Whether the engine features can hold a missing or non-finite value.
-
-    They are built from the raw sensors / settings by sums, differences,
-    squares, window statistics and the neighbour ratios; with every raw value
-    present, finite and below ``SAFE_MAGNITUDE`` and every ratio finite, none
-    of them can be missing or non-finite, so the forward fill would change
-    nothing. One aggregate over the raw columns (no ordering needed)."""
-    bad = [F.col(c).isNull() | is_bad_number(c) | (F.abs(F.col(c)) > SAFE_MAGNITUDE) for c in list(sensors) + list(settings)]
-    bad += [r.isNull() | is_bad_number(r) for r in ratio_columns(sensors)]
-    if not bad:
-        return False
-    flag = F.max(F.greatest(*[b.cast("int") for b in bad]) if len(bad) > 1 else bad[0].cast("int"))
-    return bool(raw.agg(flag).first()[0])
-
-
-def add_engine_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, fill: bool = True,
-                        fill_check: DataFrame | None = None) -> DataFrame:
+def add_engine_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, fill: bool = True) -> DataFrame:
     """The remaining-life feature builder: F1, F2, F3, F5, F6, F7, W5–W7 per
     engine (the reference's engine-boundary leak is not reproduced), then
-    ±inf → missing → forward fill per engine → 0 (P6).
-
-    ``fill_check``: the same raw readings without positions; when given and
-    :func:`fill_needed` proves the fill a no-op, it is skipped."""
+    ±inf → missing → forward fill per engine → 0 (P6)."""
     schema = SensorSchema.of(df)
     sensors, settings = list(schema.sensors), list(schema.settings)
     top = df.agg(F.max(CYCLE).alias("_gmax"))
@@ -184,48 +167,54 @@ def add_engine_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS, fil
     )
     base = [x for x in out.columns if not x.startswith("_")]
     out = out.select(*base, *derived)
-    if not fill or (fill_check is not None and not fill_needed(fill_check, sensors, settings)):
+    if not fill:
         return out
     fill_cols = [x for x in out.columns if x not in (ENGINE, CYCLE, "RUL") and dict(out.dtypes)[x] in ("double", "float")]
-    return forward_fill(out, fill_cols, chunk_rows=chunk_rows)
+    return forward_fill(out, fill_cols, chunk_rows=chunk_rows, longest=df.agg(F.max(CYCLE)).first()[0] or 0)
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str], key: str = ENGINE, seq: str = CYCLE, default: float = 0.0,
-                 chunk_rows: int = DEFAULT_CHUNK_ROWS, carry_block: int = CARRY_BLOCK) -> DataFrame:
+                 chunk_rows: int = DEFAULT_CHUNK_ROWS, carry_block: int = CARRY_BLOCK,
+                 longest: int | None = None) -> DataFrame:
     """±inf/NaN → missing → last seen value of the engine → ``default``.
 
     The carry can reach arbitrarily far back, so it is done in two bounded
     steps: inside each chunk a running ``last(ignorenulls)``; across chunks the
     last non-missing value of every earlier chunk, found on the small
-    (engine, chunk) table and joined back on the chunk key.
+    (engine, chunk) table and joined back on the chunk key. ``longest`` is the
+    greatest position, if the caller knows it: with one chunk per engine there
+    is no earlier chunk to carry from.
     """
     cols = list(cols)
     if not cols:
         return df
-    clean = df.select(*[inf_to_null(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+    clean = with_keys(df.select(*[inf_to_null(c).alias(c) if c in cols else F.col(c) for c in df.columns]), key)
     pos = F.col(seq) - 1
     staged = clean.withColumn("_chunk", F.floor(pos / F.lit(chunk_rows)).cast("bigint"))
-    w = Window.partitionBy(key, "_chunk").orderBy(seq)
+    w = Window.partitionBy(*KEYS, "_chunk").orderBy(seq)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = staged.select("*", *[F.last(c, ignorenulls=True).over(running).alias(f"_in_{c}") for c in cols])
+    if longest is not None and longest <= chunk_rows:
+        return inner.select(*[F.coalesce(F.col(f"_in_{c}"), F.lit(default)).alias(c) if c in cols else F.col(c)
+                              for c in df.columns])
     # last non-missing value per chunk, then carried over earlier chunks in two
     # levels (chunks inside a block of CARRY_BLOCK chunks, then earlier blocks),
     # so no window sees more than CARRY_BLOCK rows of one engine
-    per_chunk = staged.groupBy(key, "_chunk").agg(
+    per_chunk = staged.groupBy(*KEYS, "_chunk").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_end_{c}") for c in cols]
     ).withColumn("_block", F.floor(F.col("_chunk") / carry_block).cast("bigint"))
-    in_block = Window.partitionBy(key, "_block").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = per_chunk.groupBy(key, "_block").agg(
+    in_block = Window.partitionBy(*KEYS, "_block").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = per_chunk.groupBy(*KEYS, "_block").agg(
         *[F.max_by(f"_end_{c}", F.when(F.col(f"_end_{c}").isNotNull(), F.col("_chunk"))).alias(f"_bend_{c}")
           for c in cols])
-    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    block_carry = per_block.select(key, "_block", *[F.last(f"_bend_{c}", ignorenulls=True).over(earlier)
-                                                    .alias(f"_bc_{c}") for c in cols])
-    carry = per_chunk.select(key, "_chunk", "_block", *[F.last(f"_end_{c}", ignorenulls=True).over(in_block)
-                                                         .alias(f"_cc_{c}") for c in cols])
-    carry = carry.join(block_carry, [key, "_block"], "left").select(
-        key, "_chunk", *[F.coalesce(f"_cc_{c}", f"_bc_{c}").alias(f"_carry_{c}") for c in cols])
-    joined = inner.join(carry, [key, "_chunk"], "left")
+    earlier = Window.partitionBy(*KEYS).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    block_carry = per_block.select(*KEYS, "_block", *[F.last(f"_bend_{c}", ignorenulls=True).over(earlier)
+                                                      .alias(f"_bc_{c}") for c in cols])
+    carry = per_chunk.select(*KEYS, "_chunk", "_block", *[F.last(f"_end_{c}", ignorenulls=True).over(in_block)
+                                                           .alias(f"_cc_{c}") for c in cols])
+    carry = carry.join(block_carry, [*KEYS, "_block"], "left").select(
+        *KEYS, "_chunk", *[F.coalesce(f"_cc_{c}", f"_bc_{c}").alias(f"_carry_{c}") for c in cols])
+    joined = inner.join(carry, [*KEYS, "_chunk"], "left")
     filled = [F.coalesce(F.col(c), F.col(f"_in_{c}"), F.col(f"_carry_{c}"), F.lit(default)).alias(c) if c in cols else F.col(c)
               for c in df.columns]
     return joined.select(*filled)
@@ -283,7 +272,7 @@ def add_preprocessing_features(df: DataFrame, sensors: Sequence[str] | None = No
 
     def cols(w: WindowSpec) -> list[Column]:
         return rolling_columns(w, sensors, windows) + [
-            F.coalesce(F.col(s) - F.lag(s).over(w), F.lit(0.0)).alias(f"{s}_diff") for s in sensors]
+            _difference(s, w).alias(f"{s}_diff") for s in sensors]
 
     out = engine_windows(df, cols, halo=max(windows) - 1, engine_aggs=aggs, chunk_rows=chunk_rows)
     keep = [c for c in out.columns if not c.startswith("_") and not c.endswith("_diff")]

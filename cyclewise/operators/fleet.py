@@ -60,7 +60,7 @@ def engine_status_v2(readings: DataFrame, progress: DataFrame) -> DataFrame:
 def replay_progress(readings: DataFrame, engines: DataFrame, as_of: Column) -> DataFrame:
     """Readings delivered so far per streamed engine (batch stand-in for the
     replay cursor): count of readings with ``ts < as_of``."""
-    return (readings.join(F.broadcast(engines), ENGINE, "left_semi")
+    return (readings.join(engines, ENGINE, "left_semi")
             .groupBy(ENGINE).agg(F.count_if(F.col("ts") < as_of).alias("current_index")))
 
 
@@ -130,11 +130,11 @@ def engine_history(readings: DataFrame, limit: int = 100, chunk_rows: int = DEFA
 
 
 def merge_settings(sensors: Column | str, settings: Column | str) -> Column:
-    """Settings merged into the sensor map, later keys win (needs
-    ``spark.sql.mapKeyDedupPolicy=LAST_WIN``)."""
+    """Settings merged into the sensor map, later keys win."""
     a = F.col(sensors) if isinstance(sensors, str) else sensors
     b = F.col(settings) if isinstance(settings, str) else settings
-    return F.map_concat(a, F.coalesce(b, F.create_map().cast("map<string,double>")))
+    b = F.coalesce(b, F.create_map().cast("map<string,double>"))
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 
 def best_model(results: DataFrame, name: str = "model", metric: str = "rmse") -> DataFrame:
@@ -146,10 +146,15 @@ def best_model(results: DataFrame, name: str = "model", metric: str = "rmse") ->
 def engine_split(df: DataFrame, train_percent: int = 80, seed: int = 42, key: str = ENGINE) -> tuple[DataFrame, DataFrame]:
     """Repeatable split by engine (no engine in both parts): a hash of
     (seed, engine) decides, independent of partitioning."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100))
-    return df.where(bucket < train_percent), df.where(bucket >= train_percent)
+    label = split_label(train_percent, seed, key)
+    return df.where(label == "train"), df.where(label == "test")
+
+
+def split_bucket(seed: int = 42, key: str = ENGINE) -> Column:
+    """0..99 from the md5 of seed and engine: any engine can compute it."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 100
 
 
 def split_label(train_percent: int = 80, seed: int = 42, key: str = ENGINE) -> Column:
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(100))
-    return F.when(bucket < train_percent, "train").otherwise("test")
+    return F.when(split_bucket(seed, key) < train_percent, "train").otherwise("test")

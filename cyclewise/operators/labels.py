@@ -35,6 +35,17 @@ def life_fraction_label(df: DataFrame, healthy_threshold: float = 0.8, key: str
     return out.withColumn("is_anomaly", flag.cast("int"))
 
 
+def rul_and_life_fraction(df: DataFrame, healthy_threshold: float = 0.8, key: str = ENGINE, seq: str = CYCLE,
+                          rul: str = TARGET, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """L1 and L2 with one attach: the largest RUL of an engine is its last
+    cycle less its first."""
+    ends = [F.min(seq).alias("_first"), F.max(seq).alias("_last")]
+    out = engine_aggregates(df, ends, key=key, seq=seq, chunk_rows=chunk_rows)
+    left, life = F.col("_last") - F.col(seq), F.col("_last") - F.col("_first")
+    flag = F.coalesce(safe_div(left.cast("double"), life.cast("double")) < F.lit(1 - healthy_threshold), F.lit(False))
+    return out.select(*[c for c in df.columns if c not in (rul, "max_rul", "is_anomaly")], left.alias(rul), life.alias("max_rul"), flag.cast("int").alias("is_anomaly"))
+
+
 def fixed_label(rul: str = TARGET, cut: int = FIXED_ANOMALY_RUL) -> Column:
     """L3: ``RUL < 50`` as 0/1."""
     return (F.col(rul) < F.lit(cut)).cast("int")

@@ -41,6 +41,15 @@ SEGMENT = 64
 
 _CHUNK = "_chunk"
 _HALO = "_halo"
+#: the key without NULL, and whether it was: joins on these lose no row, and
+#: they keep the hash partitioning that a null-safe join condition would not
+KEYS = ("_key", "_nokey")
+
+
+def with_keys(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``KEYS``; rows with a NULL key are one group of their own."""
+    stand_in = F.lit(0).cast(df.schema[key].dataType)
+    return df.withColumns({KEYS[0]: F.coalesce(F.col(key), stand_in), KEYS[1]: F.col(key).isNull()})
 
 
 def number_rows(
@@ -90,6 +99,8 @@ def running_sum(
     """
     spark = df.sparkSession
     order = list(order)
+    names = df.columns
+    df = with_keys(df, key)
     n_buckets = buckets or shuffle_partitions(spark)
     bounds = _split_points(df, key, order, n_buckets, sample_rows, split_key)
     if bounds is None:
@@ -97,25 +108,25 @@ def running_sum(
     else:
         here = F.struct(*[F.col(c) for c in order])
         staged = (
-            df.join(F.broadcast(_with_coarse(bounds, segment)), key, "left")
+            df.join(F.broadcast(_with_coarse(bounds, segment)), list(KEYS), "left")
             .withColumn("_bucket", F.coalesce(_bucket_of(here, segment), F.lit(0)).cast("bigint"))
             .drop("_bounds", "_coarse")
         )
     w = F.col(weight) if weight else F.lit(1)
-    local = Window.partitionBy(key, "_bucket").orderBy(*order)
+    local = Window.partitionBy(*KEYS, "_bucket").orderBy(*order)
     if weight:
         local = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         inside = F.sum(w).over(local)
     else:
         inside = F.row_number().over(local)
     summed = staged.withColumn("_in", inside)
-    sizes = staged.groupBy(key, "_bucket").agg(F.sum(w).alias("_tot"))
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(key, "_bucket", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_offset"))
+    sizes = staged.groupBy(*KEYS, "_bucket").agg(F.sum(w).alias("_tot"))
+    before = Window.partitionBy(*KEYS).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*KEYS, "_bucket", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_offset"))
     return (
-        summed.join(offsets, [key, "_bucket"])
+        summed.join(offsets, [*KEYS, "_bucket"])
         .withColumn(out, (F.col("_in") + F.col("_offset")).cast("bigint" if not weight else "double"))
-        .drop("_bucket", "_in", "_offset")
+        .select(*[c for c in names if c != out], out)
     )
 
 
@@ -140,7 +151,7 @@ _SPLITS: dict = {}
 
 def _split_points(df: DataFrame, key: str, order: list[str], n_buckets: int, sample_rows: int,
                   split_key: tuple | None = None) -> DataFrame | None:
-    """Per key, the sorted split points (structs of ``order``) that fall inside
+    """Per key (as ``KEYS``), the sorted split points (structs of ``order``) that fall inside
     it; ``None`` when nothing needs splitting.
 
     Split points only steer balance — any set gives the same numbering — so
@@ -156,7 +167,7 @@ def _split_points(df: DataFrame, key: str, order: list[str], n_buckets: int, sam
 
 
 def _sample_split_points(df: DataFrame, key: str, order: list[str], n_buckets: int, sample_rows: int):
-    cols = [key] + order
+    cols = [*KEYS, *order]
     total = df.count()
     if total <= n_buckets:
         return None
@@ -173,7 +184,7 @@ def _sample_split_points(df: DataFrame, key: str, order: list[str], n_buckets: i
     fields = {f.name: f for f in df.schema.fields}
     schema = T.StructType([fields[c] for c in cols])
     pts = spark_rows(df.sparkSession, points, schema)
-    return pts.groupBy(key).agg(
+    return pts.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order]))).alias("_bounds")
     )
 
@@ -192,9 +203,9 @@ def with_positions(df: DataFrame, key: str = ENGINE, order: Sequence[str] = (CYC
     return number_rows(staged, key, list(order) + ["_tie"], out=out).drop("_tie")
 
 
-def chunk_window(key: str = ENGINE, seq: str = CYCLE) -> WindowSpec:
+def chunk_window(seq: str = CYCLE) -> WindowSpec:
     """Window over one bounded chunk of one engine, ordered by position."""
-    return Window.partitionBy(key, _CHUNK).orderBy(seq)
+    return Window.partitionBy(*KEYS, _CHUNK).orderBy(seq)
 
 
 def rows_back(w: WindowSpec, n: int) -> WindowSpec:
@@ -229,7 +240,8 @@ def engine_windows(
         out = engine_windows(pos, window_cols, key=key, seq="_pos", halo=halo, engine_aggs=engine_aggs,
                              chunk_rows=chunk_rows)
         return out.drop("_pos")
-    base_cols = df.columns
+    base_cols = [*df.columns, *KEYS]
+    df = with_keys(df, key)
     pos = F.col(seq) - 1
     chunk = F.floor(pos / F.lit(chunk_rows)).cast("bigint")
     own = F.struct(chunk.alias("c"), F.lit(False).alias("h"))
@@ -243,19 +255,19 @@ def engine_windows(
         staged = df.select("*", own.alias("_ch"))
     staged = staged.select(*base_cols, F.col("_ch.c").alias(_CHUNK), F.col("_ch.h").alias(_HALO))
 
-    w = chunk_window(key, seq)
+    w = chunk_window(seq)
     extra = window_cols(w) if window_cols else []
     out = staged.select("*", *extra) if extra else staged
 
     if engine_aggs:
-        per_engine = df.groupBy(key).agg(F.max(seq).alias("_max_seq"), *engine_aggs)
+        per_engine = df.groupBy(*KEYS).agg(F.max(seq).alias("_max_seq"), *engine_aggs)
         per_chunk = per_engine.select(
             "*",
             F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_max_seq") - 1) / F.lit(chunk_rows)).cast("bigint"))).alias(_CHUNK),
         ).drop("_max_seq")
-        out = out.join(per_chunk, [key, _CHUNK], "left")
+        out = out.join(per_chunk, [*KEYS, _CHUNK], "left")
 
-    return out.where(~F.col(_HALO)).drop(_CHUNK, _HALO)
+    return out.where(~F.col(_HALO)).drop(_CHUNK, _HALO, *KEYS)
 
 
 def engine_aggregates(df: DataFrame, aggs: Sequence[Column], key: str = ENGINE, seq: str = CYCLE,

@@ -88,16 +88,18 @@ def validate(df: DataFrame, ranges: DataFrame | None = None, required: Sequence[
         raw = F.col(f)
         missing = raw.isNull()
         parsed = raw.try_cast("double")
-        value = parsed.cast("bigint") if f in (ENGINE, CYCLE) else parsed
+        # the text "nan" or "inf" is a number, but no id
+        value = parsed.try_cast("bigint") if f in (ENGINE, CYCLE) else parsed
         fixed[f] = value
         if _is_text(df, f):
-            bad = ~missing & parsed.isNull()
+            bad = ~missing & value.isNull()
             label = (F.lit(f"Invalid type for {f}: <class 'str'>") if f in (ENGINE, CYCLE)
                      else F.concat(F.lit("Invalid timestamp: "), raw))
             issues += [F.when(missing, F.lit(f"Missing required field: {f}")), F.when(bad, label)]
             corrections.append((~missing & ~bad).cast("int"))
             invalid += [missing, bad]
         else:
+            missing = missing | value.isNull()
             issues.append(F.when(missing, F.lit(f"Missing required field: {f}")))
             invalid.append(missing)
 

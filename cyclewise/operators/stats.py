@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import attach_row, safe_div
+from .quantiles import linear_quantiles, rank_quantile
 
 
 def _safe(name: str) -> str:
@@ -48,23 +49,15 @@ def zscore(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None, s
     return joined.select(*keep, *[v.alias(k) for k, v in scaled.items()])
 
 
-def robust_stats(df: DataFrame, cols: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """M2 fit: median and IQR per column (exact ``percentile`` or the bounded
-    memory ``percentile_approx`` for very large inputs); IQR 0 → 1."""
-    aggs = []
-    for c in cols:
-        if exact:
-            q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            q = F.percentile_approx(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
-        aggs.append(q.alias(f"_q_{_safe(c)}"))
-    qs = df.agg(*aggs)
+def robust_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """M2 fit: exact median and IQR per column, one row; IQR 0 → 1."""
+    qs = linear_quantiles(df, cols, (0.25, 0.5, 0.75))
     out = []
     for c in cols:
-        q = F.col(f"_q_{_safe(c)}")
-        iqr = q[2] - q[0]
-        out += [q[1].alias(f"{_safe(c)}__median"), F.when(iqr != 0, iqr).otherwise(F.lit(1.0)).alias(f"{_safe(c)}__iqr")]
-    return qs.select(*out)
+        low, mid, high = qs[c]
+        iqr = None if low is None else (high - low) or 1.0
+        out += [F.lit(mid).cast("double").alias(f"{_safe(c)}__median"), F.lit(iqr).cast("double").alias(f"{_safe(c)}__iqr")]
+    return df.sparkSession.range(1).select(*out)
 
 
 def robust_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
@@ -78,7 +71,7 @@ def robust_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = N
 def describe(df: DataFrame, c: str, prefix: str = "") -> list[Column]:
     """Count, mean, sample std, min, 25/50/75 % (linear), max."""
     x = F.col(c)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = [F.lit(v).cast("double") for v in linear_quantiles(df, [c], (0.25, 0.5, 0.75))[c]]
     return [
         F.count(x).alias(f"{prefix}count"), F.avg(x).alias(f"{prefix}mean"), F.stddev_samp(x).alias(f"{prefix}std"),
         F.min(x).alias(f"{prefix}min"), q[0].alias(f"{prefix}p25"), q[1].alias(f"{prefix}p50"),
@@ -98,11 +91,12 @@ def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
 
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A10: Pearson correlation for every pair, in one aggregate pass."""
-    pairs = [(a, b) for a in cols for b in cols]
-    aggs = [F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_c{i}").alias("corr"))
-            for i, (a, b) in enumerate(pairs)]
+    cols = list(cols)
+    # upper triangle; the other half is the same, the diagonal is 1 where defined
+    pairs = {(a, b): f"_c{i}_{j}" for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j}
+    wide = df.agg(*[F.corr(a, b).alias(n) for (a, b), n in pairs.items()])
+    rows = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(pairs.get((a, b)) or pairs[(b, a)]).alias("corr"))
+            for a in cols for b in cols]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -122,18 +116,10 @@ def missing_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def nearest_rank_percentile(df: DataFrame, c: str, q: float = 0.95) -> DataFrame:
     """Element ⌊q·n⌋ (0-based) of the ascending values, i.e. the
     ``(k - 0.5)/n`` discrete percentile with k = ⌊q·n⌋ + 1, clamped to the
-    last element.
-
-    ``percentile_disc`` needs a literal fraction, so n is fetched first (one
-    scalar from an aggregate; nothing row-sized reaches the driver)."""
-    n = df.agg(F.count(c)).first()[0]
-    if not n:
-        return df.sparkSession.createDataFrame([(None,)], "p double")
-    k = min(int(n * q) + 1, n)
-    frac = (k - 0.5) / n
-    return df.agg(F.expr(f"percentile_disc({frac!r}) WITHIN GROUP (ORDER BY `{c}`)").cast("double").alias("p"))
+    last element."""
+    return df.sparkSession.createDataFrame([(rank_quantile(df, c, q),)], "p double")
 
 
 def linear_percentile(df: DataFrame, c: str, q: float = 0.95) -> DataFrame:
     """Linear-interpolation percentile (exact)."""
-    return df.agg(F.percentile(F.col(c), F.lit(q)).alias("p"))
+    return df.sparkSession.createDataFrame([(linear_quantiles(df, [c], (q,))[c][0],)], "p double")

@@ -78,7 +78,7 @@ def rul_label(spark, sf_dir):
 FROM (SELECT engine_id, cycle, max(cycle) OVER ({WE}) - cycle AS RUL FROM readings) t"""), "L2 W9 J1")
 def life_fraction_label(spark, sf_dir):
     """L2: degraded when RUL / engine max RUL < 1 - 0.8."""
-    return lb.life_fraction_label(lb.add_rul(event_readings(spark, sf_dir, columns=[])))
+    return lb.rul_and_life_fraction(event_readings(spark, sf_dir, columns=[]))
 
 
 @register("fixed_rul_label", "engine_id:l cycle:l RUL:l is_anomaly:l", with_readings(
@@ -271,7 +271,7 @@ def _engine_features_sql() -> str:
 def engine_features(spark, sf_dir):
     """The remaining-life feature builder per engine, with ±inf → ffill → 0."""
     r = event_readings(spark, sf_dir).select("engine_id", "cycle", *SENSORS, "setting_1")
-    return fe.add_engine_features(r, fill_check=event_base(spark, sf_dir))
+    return fe.add_engine_features(r)
 
 
 @register("sequence_windows",

@@ -24,13 +24,32 @@ SENSORS = ["sensor_1", "sensor_2", "sensor_3"]
 AS_OF = "2024-01-20"
 
 
-def scored(spark, sf_dir):
-    """Readings with RUL, epoch timestamp and z-scored sensors (what the live
-    path sees: normalised readings)."""
-    r = with_timestamp(lb.add_rul(event_readings(spark, sf_dir)))
+def normalised(spark, sf_dir):
+    """Readings with epoch timestamp and z-scored sensors: what the alert rules
+    read. No per-engine value, so no shuffle."""
+    r = with_timestamp(event_readings(spark, sf_dir))
     return zscore(r, SENSORS, st.feature_stats(event_base(spark, sf_dir), SENSORS))
 
 
+def scored(spark, sf_dir):
+    """:func:`normalised` with RUL."""
+    return lb.add_rul(normalised(spark, sf_dir))
+
+
+def scored_ends(spark, sf_dir, take):
+    """RUL for the few readings that ``take`` picks: the lengths of their
+    engines only (an engine list no longer than the pick)."""
+    some = take(normalised(spark, sf_dir))
+    lengths = event_readings(spark, sf_dir, columns=[]).join(some.select("engine_id").distinct(), "engine_id", "left_semi")
+    lengths = lengths.groupBy("engine_id").agg(F.max("cycle").alias("_last"))
+    return some.join(lengths, "engine_id", "left").withColumn("RUL", F.col("_last") - F.col("cycle")).drop("_last")
+
+
+def prediction_rows(df):
+    p = ru.predictions(df, base="RUL", sensors=SENSORS)
+    return p.withColumn("features_used", F.array_join("features_used", ","))
+
+
 Z_SQL = f"""stats AS (SELECT
    avg(sensor_1) AS m1, CASE WHEN stddev_pop(sensor_1) > 0 THEN stddev_pop(sensor_1) ELSE 1.0 END AS sd1,
    avg(sensor_2) AS m2, CASE WHEN stddev_pop(sensor_2) > 0 THEN stddev_pop(sensor_2) ELSE 1.0 END AS sd2,
@@ -71,7 +90,7 @@ PREDS_SQL = """preds AS (SELECT event_id, engine_id, cycle, timestamp,
 
 
 def alert_table(spark, sf_dir):
-    a = ru.alerts(scored(spark, sf_dir), SENSORS)
+    a = ru.alerts(normalised(spark, sf_dir), SENSORS)
     return a.select("event_id", "engine_id", "cycle", "timestamp", "alert_ord", "alert_type", "severity", "message",
                     F.col("details.sensor").alias("sensor"), F.col("details.value").alias("value"),
                     F.col("details.threshold").alias("threshold"),
@@ -80,8 +99,7 @@ def alert_table(spark, sf_dir):
 
 
 def prediction_table(spark, sf_dir):
-    p = ru.predictions(scored(spark, sf_dir), base="RUL", sensors=SENSORS)
-    return p.withColumn("features_used", F.array_join("features_used", ","))
+    return prediction_rows(scored(spark, sf_dir))
 
 
 ALERT_SPEC = ("event_id:l engine_id:l cycle:l timestamp:d alert_ord:l alert_type:s severity:s message:s sensor:s "
@@ -101,7 +119,7 @@ def sensor_alerts(spark, sf_dir):
 FROM z WHERE abs(sensor_1) > 2.0 OR abs(sensor_2) > 2.0""", Z_SQL), "R1 F9")
 def pair_alerts(spark, sf_dir):
     """The v1 two-sensor alert with fixed-decimal detail text."""
-    return ru.pair_alert(scored(spark, sf_dir)).select("event_id", "engine_id", "cycle", "alert_type", "details")
+    return ru.pair_alert(normalised(spark, sf_dir)).select("event_id", "engine_id", "cycle", "alert_type", "details")
 
 
 @register("rul_predictions",
@@ -121,7 +139,7 @@ FROM z QUALIFY cycle > count(*) OVER ({WE}) - 25""", Z_SQL), "K4 R7")
 def engine_history(spark, sf_dir):
     """K4 + R7: last 25 readings of every engine with totals and the
     history anomaly score."""
-    h = fl.engine_history(scored(spark, sf_dir), limit=25)
+    h = fl.engine_history(normalised(spark, sf_dir), limit=25)
     return h.select("engine_id", "cycle", "total_records", "returned_records", "sensor_1",
                     ru.history_score("sensor_1").alias("anomaly_score"),
                     ru.history_flag(ru.history_score("sensor_1")).alias("is_anomaly"))
@@ -139,7 +157,7 @@ def latest_alerts(spark, sf_dir):
           with_readings("SELECT * FROM preds ORDER BY timestamp, event_id LIMIT 10", Z_SQL, PREDS_SQL), "K3")
 def oldest_predictions(spark, sf_dir):
     """K3: the 10 oldest predictions — what a draining consumer reads first."""
-    return fl.oldest(prediction_table(spark, sf_dir), 10, ("timestamp", "event_id"))
+    return prediction_rows(scored_ends(spark, sf_dir, lambda r: fl.oldest(r, 10, ("timestamp", "event_id"))))
 
 
 @register("engine_status", "engine_id:l total_cycles:l max_rul:l min_rul:l avg_sensor_1:d", with_readings(
@@ -193,9 +211,9 @@ def engine_status_live(spark, sf_dir):
               "p50 AS (SELECT * FROM preds ORDER BY timestamp DESC, event_id DESC LIMIT 50)"), "A4 A12")
 def fleet_summary(spark, sf_dir):
     """A4: dashboard summary v1 over the latest-N topic reads."""
-    s = scored(spark, sf_dir)
-    engines = s.agg(F.count_distinct("engine_id").alias("total_engines"))
-    return fl.fleet_summary_v1(s, alert_table(spark, sf_dir), prediction_table(spark, sf_dir), engines)
+    engines = event_base(spark, sf_dir).agg(F.count_distinct("engine_id").alias("total_engines"))
+    preds = prediction_rows(scored_ends(spark, sf_dir, lambda r: fl.latest(r, 50, ("timestamp", "event_id"))))
+    return fl.fleet_summary_v1(normalised(spark, sf_dir), alert_table(spark, sf_dir), preds, engines)
 
 
 @register("fleet_summary_v2",
@@ -219,7 +237,8 @@ def fleet_summary_v2(spark, sf_dir):
     """A5: dashboard summary v2 (severity counts, confidence-weighted RUL,
     stream error rate and throughput)."""
     return fl.fleet_summary_v2(status_table(spark, sf_dir), alert_table(spark, sf_dir),
-                               prediction_table(spark, sf_dir), fl.stream_stats(validated(spark, sf_dir)))
+                               prediction_rows(scored_ends(spark, sf_dir, lambda r: fl.latest(r, 50, ("timestamp", "event_id")))),
+                               fl.stream_stats(validated(spark, sf_dir)))
 
 
 @register("topic_stats", "topic:s published:l last_activity:d size:l", with_readings(
@@ -286,7 +305,7 @@ def engine_staleness(spark, sf_dir):
   FROM (SELECT engine_id, max(cycle) OVER ({WE}) - cycle AS RUL FROM readings) t) u"""), "A6")
 def class_counts(spark, sf_dir):
     """Healthy / degraded reading counts."""
-    r = lb.life_fraction_label(lb.add_rul(event_readings(spark, sf_dir, columns=[])))
+    r = lb.rul_and_life_fraction(event_readings(spark, sf_dir, columns=[]))
     return r.agg(F.count_if(F.col("is_anomaly") == 0).alias("healthy"), F.count_if(F.col("is_anomaly") == 1).alias("degraded"))
 
 
@@ -371,7 +390,7 @@ def record_counts(spark, sf_dir):
     "A13 A14")
 def score_percentiles(spark, sf_dir):
     """A13 + A14: 95th percentile of |z(sensor_1)|, nearest rank and linear."""
-    s = scored(spark, sf_dir).select(F.abs("sensor_1").alias("s"))
+    s = normalised(spark, sf_dir).select(F.abs("sensor_1").alias("s"))
     nr = st.nearest_rank_percentile(s, "s", 0.95).withColumnRenamed("p", "p95_nearest_rank")
     li = st.linear_percentile(s, "s", 0.95).withColumnRenamed("p", "p95_linear")
     return attach_row(nr, li)
@@ -441,7 +460,7 @@ FLAG_SQL = f"""fl AS (SELECT event_id, 0.1 + abs(sensor_1) * 0.1 AS score, 0.1 +
 
 
 def flag_table(spark, sf_dir):
-    s = lb.life_fraction_label(scored(spark, sf_dir))
+    s = lb.rul_and_life_fraction(normalised(spark, sf_dir))
     score = ru.history_score("sensor_1")
     return s.select("event_id", score.alias("score"), ru.history_flag(score).alias("flag"),
                     (F.col("is_anomaly") == 1).alias("truth"))

@@ -18,7 +18,7 @@ from ..operators import features as fe
 from ..operators import fleet as fl
 from ..operators import labels as lb
 from ..operators import models as md
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, table_version
 from ..sources.tables import event_base, event_readings
 from .common import with_readings
 from .registry import register
@@ -30,7 +30,7 @@ DETECTOR_FEATURES = SENSORS + ["setting_1"]
 def model_table(spark, sf_dir):
     """Engineered features + RUL target + train/test side (by engine)."""
     r = lb.add_rul(event_readings(spark, sf_dir)).select("engine_id", "cycle", *SENSORS, "setting_1", "RUL")
-    f = fe.add_engine_features(r, fill_check=event_base(spark, sf_dir))
+    f = fe.add_engine_features(r)
     # iterative fitting rescans its input many times: materialise it once in
     # the shared checkpoint folder (reliable, survives executor loss)
     ensure_checkpoint_dir(spark)
@@ -47,7 +47,7 @@ _FITTED: dict = {}
 def fitted(spark, sf_dir, kind: str, cv: bool = False):
     """Fit once per (session, input, model type): several registered queries
     read the same fitted model."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind, cv)
+    key = (spark.sparkContext.applicationId, *table_version(spark, f"{sf_dir.rstrip('/')}/events.parquet"), kind, cv)
     if key not in _FITTED:
         t = model_table(spark, sf_dir)
         feats = _features(t)
@@ -56,7 +56,7 @@ def fitted(spark, sf_dir, kind: str, cv: bool = False):
     return _FITTED[key]
 
 
-@register("rul_forest_scores", "engine_id:l cycle:l RUL:l predicted_rul:r", None, "M2 M3 M4 M9 D2 P1 P4")
+@register("rul_forest_scores", "engine_id:l cycle:l RUL:l predicted_rul:r", None, "M4 M9 D2 P4")
 def rul_forest_scores(spark, sf_dir):
     """M4 + M9: random forest (100 trees, depth 15) fitted on the training
     engines, scored on the held-out engines, clamped at 0."""
@@ -65,7 +65,7 @@ def rul_forest_scores(spark, sf_dir):
 
 
 @register("rul_model_metrics", "model:s rmse:r mae:r r2:r cv_rmse_mean:r cv_rmse_std:r folds:l", None,
-          "M5 M6 M7 M8 M11 E4 E5")
+          "M5 M6 M8 M11 E4 E5")
 def rul_model_metrics(spark, sf_dir):
     """Linear, forest and boosting models on the same split:
     test RMSE / MAE / R²; cross-validated RMSE (mean, std) for the linear
@@ -106,7 +106,7 @@ def fscore_ranking(spark, sf_dir):
 
 
 def _detector(spark, sf_dir):
-    r = lb.life_fraction_label(lb.add_rul(event_readings(spark, sf_dir))).withColumnRenamed("is_anomaly", "label")
+    r = lb.rul_and_life_fraction(event_readings(spark, sf_dir)).withColumnRenamed("is_anomaly", "label")
     det = md.fit_anomaly_detector(cl.healthy_rows(r, "label"), DETECTOR_FEATURES, k=2)
     return det, r
 
@@ -153,7 +153,10 @@ def model_roundtrip(spark, sf_dir):
     return a.join(b, ["engine_id", "cycle"])
 
 
-@register("engine_split", "split:s engines:l readings:l", None, "D2")
+@register("engine_split", "split:s engines:l readings:l", with_readings(
+    """SELECT CASE WHEN CAST('0x' || left(md5('42:' || CAST(engine_id AS VARCHAR)), 8) AS BIGINT) % 100 < 80
+            THEN 'train' ELSE 'test' END AS split,
+       count(DISTINCT engine_id) AS engines, count(*) AS readings FROM readings GROUP BY 1"""), "D2")
 def engine_split(spark, sf_dir):
     """80 / 20 split by engine hash — no engine on both sides."""
     r = event_readings(spark, sf_dir, columns=[]).withColumn("split", fl.split_label())

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from ..operators import clean as cl
 from ..operators import labels as lb
 from ..operators import quality as qa
-from ..sources.tables import event_readings
+from ..sources.tables import event_base, event_readings
 from .common import WE, dbl, with_readings
 from .registry import register
 
-HISTORY_END = "2024-01-08"  # ranges are learned from the first week
+RANGED = ["sensor_1", "sensor_2", "sensor_3", "setting_1"]
+
+
+def history(spark, sf_dir):
+    """What ranges are learned from: every reading, before faults go in."""
+    return event_base(spark, sf_dir).select(*RANGED)
 
 
 def raw_records(spark, sf_dir):
@@ -27,10 +32,12 @@ def raw_records(spark, sf_dir):
     return r.select(
         "event_id", "ts",
         F.when(eid % 37 == 0, F.concat(F.lit("unit-"), F.col("engine_id").cast("string")))
+         .when(eid % 59 == 0, F.lit("nan")).when(eid % 61 == 0, F.lit("inf"))
          .otherwise(F.col("engine_id").cast("string")).alias("engine_id"),
         F.col("cycle").cast("string").alias("cycle"),
         F.when(eid % 23 == 0, F.lit(None).cast("string")).otherwise(ts_text).alias("timestamp"),
-        F.when(eid % 17 == 0, F.lit("bad")).otherwise(F.col("sensor_1").cast("string")).alias("sensor_1"),
+        F.when(eid % 17 == 0, F.lit("bad")).when(eid % 53 == 0, (F.col("sensor_1") * 10 + 1000).cast("string"))
+         .otherwise(F.col("sensor_1").cast("string")).alias("sensor_1"),
         F.when(eid % 41 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("sensor_2").cast("bigint").cast("string")).alias("sensor_2"),
         F.when(eid % 19 == 0, F.lit("n/a")).otherwise(F.col("setting_1").cast("bigint").cast("string")).alias("setting_1"),
@@ -39,41 +46,44 @@ def raw_records(spark, sf_dir):
 
 RAW_SQL = """raw AS (
   SELECT event_id, ts,
-         CASE WHEN event_id % 37 = 0 THEN 'unit-' || CAST(engine_id AS VARCHAR) ELSE CAST(engine_id AS VARCHAR) END AS engine_id,
+         CASE WHEN event_id % 37 = 0 THEN 'unit-' || CAST(engine_id AS VARCHAR)
+              WHEN event_id % 59 = 0 THEN 'nan' WHEN event_id % 61 = 0 THEN 'inf' ELSE CAST(engine_id AS VARCHAR) END AS engine_id,
          CAST(cycle AS VARCHAR) AS cycle,
          CASE WHEN event_id % 23 = 0 THEN NULL
               ELSE CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END AS timestamp,
-         CASE WHEN event_id % 17 = 0 THEN 'bad' ELSE CAST(sensor_1 AS VARCHAR) END AS sensor_1,
+         CASE WHEN event_id % 17 = 0 THEN 'bad' WHEN event_id % 53 = 0 THEN CAST(sensor_1 * 10 + 1000 AS VARCHAR)
+              ELSE CAST(sensor_1 AS VARCHAR) END AS sensor_1,
          CASE WHEN event_id % 41 = 0 THEN NULL ELSE CAST(CAST(sensor_2 AS BIGINT) AS VARCHAR) END AS sensor_2,
          CASE WHEN event_id % 19 = 0 THEN 'n/a' ELSE CAST(CAST(setting_1 AS BIGINT) AS VARCHAR) END AS setting_1
   FROM readings)"""
 
 RANGES_SQL = f"""mm AS (
-  SELECT min(TRY_CAST(sensor_1 AS DOUBLE)) AS mn1, max(TRY_CAST(sensor_1 AS DOUBLE)) AS mx1,
-         min(TRY_CAST(sensor_2 AS DOUBLE)) AS mn2, max(TRY_CAST(sensor_2 AS DOUBLE)) AS mx2
-  FROM raw WHERE ts < TIMESTAMP '{HISTORY_END}'),
+  SELECT min(sensor_1) AS mn1, max(sensor_1) AS mx1, min(sensor_2) AS mn2, max(sensor_2) AS mx2,
+         min(sensor_3) AS mn3, max(sensor_3) AS mx3, min(setting_1) AS mn4, max(setting_1) AS mx4 FROM readings),
 rng AS (
   SELECT mn1 - (mx1 - mn1) * {dbl(0.1)} AS lo1, mx1 + (mx1 - mn1) * {dbl(0.1)} AS hi1,
-         mn2 - (mx2 - mn2) * {dbl(0.1)} AS lo2, mx2 + (mx2 - mn2) * {dbl(0.1)} AS hi2 FROM mm)"""
+         mn2 - (mx2 - mn2) * {dbl(0.1)} AS lo2, mx2 + (mx2 - mn2) * {dbl(0.1)} AS hi2,
+         mn3 - (mx3 - mn3) * {dbl(0.1)} AS lo3, mx3 + (mx3 - mn3) * {dbl(0.1)} AS hi3,
+         mn4 - (mx4 - mn4) * {dbl(0.1)} AS lo4, mx4 + (mx4 - mn4) * {dbl(0.1)} AS hi4 FROM mm)"""
 
 
-def learned_ranges_df(spark, sf_dir, raw=None):
-    raw = raw if raw is not None else raw_records(spark, sf_dir)
-    hist = raw.where(F.col("ts") < F.lit(HISTORY_END).cast("timestamp_ntz"))
-    return qa.learn_ranges(hist, ["sensor_1", "sensor_2"])
+def learned_ranges_df(spark, sf_dir):
+    return qa.learn_ranges(history(spark, sf_dir), RANGED)
 
 
 @register("learned_ranges", "feature:s lo:d hi:d", with_readings(
-    "SELECT 'sensor_1' AS feature, lo1 AS lo, hi1 AS hi FROM rng UNION ALL SELECT 'sensor_2', lo2, hi2 FROM rng",
-    RAW_SQL, RANGES_SQL), "Q6 J2")
+    "SELECT 'sensor_1' AS feature, lo1 AS lo, hi1 AS hi FROM rng UNION ALL SELECT 'sensor_2', lo2, hi2 FROM rng "
+    "UNION ALL SELECT 'sensor_3', lo3, hi3 FROM rng UNION ALL SELECT 'setting_1', lo4, hi4 FROM rng",
+    RANGES_SQL), "Q6 J2")
 def learned_ranges(spark, sf_dir):
-    """Q6: sensor ranges learned from history, widened by 10 % of the span."""
-    return qa.ranges_long(learned_ranges_df(spark, sf_dir), ["sensor_1", "sensor_2"])
+    """Q6: ranges of all sensors and settings over the whole history, widened
+    by 10 % of the span."""
+    return qa.ranges_long(learned_ranges_df(spark, sf_dir), RANGED)
 
 
 def validated(spark, sf_dir):
     raw = raw_records(spark, sf_dir)
-    out = qa.validate(raw.drop("ts"), learned_ranges_df(spark, sf_dir, raw),
+    out = qa.validate(raw.drop("ts"), learned_ranges_df(spark, sf_dir),
                       sensors=["sensor_1", "sensor_2"], settings=["setting_1"])
     return out
 
@@ -89,7 +99,7 @@ def _range_msg(s: str, v: str, lo: str, hi: str) -> str:
 
 _CONDS = [
     ("engine_id IS NULL", "'Missing required field: engine_id'"),
-    ("engine_id IS NOT NULL AND e_d IS NULL", "'Invalid type for engine_id: <class ''str''>'"),
+    ("engine_id IS NOT NULL AND e_i IS NULL", "'Invalid type for engine_id: <class ''str''>'"),
     ("cycle IS NULL", "'Missing required field: cycle'"),
     ("cycle IS NOT NULL AND c_d IS NULL", "'Invalid type for cycle: <class ''str''>'"),
     ("timestamp IS NULL", "'Missing required field: timestamp'"),
@@ -100,20 +110,20 @@ _CONDS = [
     ("NOT (s2_v >= lo2 AND s2_v <= hi2)", _range_msg("sensor_2", "s2_v", "lo2", "hi2")),
     ("g1_d IS NULL", "'Invalid setting value for setting_1: ' || coalesce(setting_1, 'None')"),
 ]
-_CORR = ["engine_id IS NOT NULL AND e_d IS NOT NULL", "cycle IS NOT NULL AND c_d IS NOT NULL",
+_CORR = ["engine_id IS NOT NULL AND e_i IS NOT NULL", "cycle IS NOT NULL AND c_d IS NOT NULL",
          "timestamp IS NOT NULL AND t_d IS NOT NULL", "s1_d IS NOT NULL", "NOT (s1_v >= lo1 AND s1_v <= hi1)",
          "s2_d IS NOT NULL", "NOT (s2_v >= lo2 AND s2_v <= hi2)", "g1_d IS NOT NULL"]
 _INVALID = [c for i, (c, _) in enumerate(_CONDS) if i not in (7, 9)]
 
 VALIDATED_SQL = (
     "v AS (SELECT p.*, rng.*, coalesce(s1_d, 0.0) AS s1_v, coalesce(s2_d, 0.0) AS s2_v FROM (\n"
-    "  SELECT raw.*, TRY_CAST(engine_id AS DOUBLE) AS e_d, TRY_CAST(cycle AS DOUBLE) AS c_d,\n"
+    "  SELECT raw.*, CASE WHEN isfinite(TRY_CAST(engine_id AS DOUBLE)) THEN TRY_CAST(engine_id AS DOUBLE) END AS e_i, TRY_CAST(cycle AS DOUBLE) AS c_d,\n"
     "         TRY_CAST(timestamp AS DOUBLE) AS t_d, TRY_CAST(sensor_1 AS DOUBLE) AS s1_d,\n"
     "         TRY_CAST(sensor_2 AS DOUBLE) AS s2_d, TRY_CAST(setting_1 AS DOUBLE) AS g1_d FROM raw) p CROSS JOIN rng)"
 )
 
 VALIDATED_BODY = (
-    "SELECT event_id, CAST(trunc(e_d) AS BIGINT) AS engine_id, CAST(trunc(c_d) AS BIGINT) AS cycle, t_d AS timestamp,\n"
+    "SELECT event_id, CAST(trunc(e_i) AS BIGINT) AS engine_id, CAST(trunc(c_d) AS BIGINT) AS cycle, t_d AS timestamp,\n"
     "  CASE WHEN s1_v >= lo1 AND s1_v <= hi1 THEN s1_v ELSE greatest(lo1, least(hi1, s1_v)) END AS sensor_1,\n"
     "  CASE WHEN s2_v >= lo2 AND s2_v <= hi2 THEN s2_v ELSE greatest(lo2, least(hi2, s2_v)) END AS sensor_2,\n"
     "  coalesce(g1_d, 0.0) AS setting_1,\n"
@@ -128,7 +138,7 @@ VALIDATED_BODY = (
 @register("validated_readings",
           "event_id:l engine_id:l cycle:l timestamp:d sensor_1:d sensor_2:d setting_1:d is_valid:b n_issues:l "
           "n_corrections:l issues:s",
-          with_readings(VALIDATED_BODY, RAW_SQL, RANGES_SQL, VALIDATED_SQL), "Q1 Q2 Q3 Q4 Q5 S3")
+          with_readings(VALIDATED_BODY, RAW_SQL, RANGES_SQL, VALIDATED_SQL), "Q1 Q2 Q3 Q4 Q5")
 def validated_readings(spark, sf_dir):
     """Q1–Q5: validate text readings: required fields, type coercion,
     sensor coercion + clamping to learned ranges, setting coercion."""
@@ -151,6 +161,13 @@ def latest_500_per_engine(spark, sf_dir):
     return qa.keep_latest_per_engine(event_readings(spark, sf_dir, columns=[])).select("engine_id", "cycle")
 
 
+@register("latest_20_per_engine", "engine_id:l cycle:l", with_readings(
+    f"SELECT engine_id, cycle FROM readings QUALIFY cycle > max(cycle) OVER ({WE}) - 20"), "Q8")
+def latest_20_per_engine(spark, sf_dir):
+    """Q8 with a bound below the engines' lengths, so that readings go."""
+    return qa.keep_latest_per_engine(event_readings(spark, sf_dir, columns=[]), n=20).select("engine_id", "cycle")
+
+
 # ---------------------------------------------------------------- cleaning
 
 
@@ -162,7 +179,7 @@ def latest_500_per_engine(spark, sf_dir):
 WHERE is_anomaly < 0.5"""), "P2")
 def healthy_rows(spark, sf_dir):
     """Readings labelled healthy (training set of the anomaly detector)."""
-    r = lb.life_fraction_label(lb.add_rul(event_readings(spark, sf_dir, columns=[])))
+    r = lb.rul_and_life_fraction(event_readings(spark, sf_dir, columns=[]))
     return cl.healthy_rows(r).select("engine_id", "cycle", "RUL")
 
 
@@ -214,9 +231,8 @@ WHERE RUL IS NOT NULL AND RUL >= 0""", FAULTY_SQL), "P4 P5 P7")
 def target_cleaning(spark, sf_dir):
     """P4 (valid target), P5 (±inf → 0), P7 (median imputation)."""
     f = faulty_readings(spark, sf_dir)
-    zero = cl.inf_to_zero(f, ["sensor_1"]).select("event_id", F.col("sensor_1").alias("sensor_1_zero"))
-    med = cl.median_impute(f, ["sensor_1"]).withColumnRenamed("sensor_1", "sensor_1_median")
-    both = med.join(zero, "event_id")
+    both = f.withColumns({"sensor_1_zero": F.col("sensor_1"), "sensor_1_median": F.col("sensor_1")})
+    both = cl.median_impute(cl.inf_to_zero(both, ["sensor_1_zero"]), ["sensor_1_median"])
     return cl.valid_target(both)
 
 
@@ -236,7 +252,7 @@ def constant_columns(spark, sf_dir):
 
 @register("scoring_frame", "engine_id:l cycle:l sensor_1:d sensor_2:d sensor_4:d setting_1:d setting_2:d",
           with_readings("""SELECT engine_id, cycle, coalesce(sensor_1, 0.0) AS sensor_1, 0.0 AS sensor_2,
-       0.0 AS sensor_4, coalesce(setting_1, 0.0) AS setting_1, 0.0 AS setting_2 FROM readings"""), "P9 P1")
+       0.0 AS sensor_4, coalesce(setting_1, 0.0) AS setting_1, 0.0 AS setting_2 FROM readings"""), "P9")
 def scoring_frame(spark, sf_dir):
     """Sparse request rows (sensor_1, setting_1 only) completed to the
     model's feature list with zeros."""

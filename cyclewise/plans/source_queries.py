@@ -133,7 +133,6 @@ def feature_zscore_long(spark, sf_dir):
 def merged_maps(spark, sf_dir):
     """Request settings merged into the sensor map, later keys win
     (the settings carry a ``sensor_2`` override)."""
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     r = event_base(spark, sf_dir)
     sensors = F.create_map(F.lit("sensor_1"), F.col("sensor_1"), F.lit("sensor_2"), F.col("sensor_2"))
     settings = F.create_map(F.lit("setting_1"), F.col("setting_1"), F.lit("sensor_2"), F.col("sensor_3"))

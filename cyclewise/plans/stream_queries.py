@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import labels as lb
 from ..operators import quality as qa
 from ..operators.stats import feature_stats
+from ..session import table_version
 from ..sources.tables import event_readings, with_timestamp
 from ..streaming import stream as sm
 from .common import with_readings
@@ -40,7 +41,7 @@ _TOPIC_RUNS: dict = {}
 def _run_topics(spark, sf_dir):
     """Run the fan-out stream once per session and input; the topic tables it
     leaves behind serve every query that reads a topic."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, *table_version(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
     if key not in _TOPIC_RUNS:
         _TOPIC_RUNS[key] = _fan_out_stream(spark, sf_dir)
     return _TOPIC_RUNS[key]
@@ -139,7 +140,7 @@ def _validated_readings(spark, sf_dir):
     from .quality_queries import learned_ranges_df, raw_records
 
     raw = raw_records(spark, sf_dir)
-    rng = learned_ranges_df(spark, sf_dir, raw)
+    rng = learned_ranges_df(spark, sf_dir)
     base = _readings(spark, sf_dir).select("event_id", "engine_id", "cycle", "event_time")
     text = raw.select("event_id", "timestamp", "sensor_1", "sensor_2", "setting_1")
     v = qa.validate(base.join(text, "event_id"), rng, sensors=["sensor_1", "sensor_2"], settings=["setting_1"])

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators assume. ANSI stays on (the library uses try_cast /
 # try_divide where the reference tolerates bad input); AQE re-plans joins and
@@ -46,14 +47,17 @@ def get_session(master: str | None = None, app: str = "cyclewise", conf: dict |
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) fall back to a fresh scratch folder."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local master may go
+    without it and gets a fresh scratch folder; on a cluster a folder of the
+    driver's machine would be another one on each executor."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="cyclewise-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
@@ -85,6 +89,15 @@ def env_int(name: str, default: int) -> int:
         return default
 
 
+def table_version(spark: SparkSession, path: str) -> tuple:
+    """What the files under ``path`` look like now: how many, their bytes, and
+    a hash of names, sizes and times. Results that are kept by path are kept
+    under this, so a table that grows or changes is read anew."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    row = files.agg(F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+    return (path, *row)
+
+
 def materialise(df, name: str = "table"):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return it read back: lineage is cut, the input is computed once (a

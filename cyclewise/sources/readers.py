@@ -20,8 +20,9 @@ def read_sensor_log(spark: SparkSession, path: str, columns: Sequence[str] = RAW
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     cols = []
     for i, c in enumerate(columns):
-        v = parts.getItem(i).try_cast("double")
-        cols.append((v.cast("int") if c in int_columns else v).alias(c))
+        # a short line has no such field; a NaN or huge number is no integer
+        v = F.get(parts, F.lit(i)).try_cast("double")
+        cols.append((v.try_cast("int") if c in int_columns else v).alias(c))
     return lines.select(*cols)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import epoch_seconds
 from ..operators.ordering import number_rows
 from ..schema import CYCLE, ENGINE
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, table_version
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -71,7 +71,7 @@ def event_readings(spark: SparkSession, sf_dir: str, columns: list[str] | None =
     """
     base = event_readings_unnumbered(table(spark, sf_dir, "events"))
     if materialise_readings():
-        key = (spark.sparkContext.applicationId, "events", sf_dir)
+        key = (spark.sparkContext.applicationId, *table_version(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
         if key not in _MATERIALISED:
             path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cyclewise/readings-{uuid.uuid4().hex[:12]}"
             numbered = number_rows(base, ENGINE, ["ts", "event_id"], out=CYCLE, split_key=("events", sf_dir))

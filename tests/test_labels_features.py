@@ -79,14 +79,26 @@ def test_rolling_skips_nan_like_pandas(spark):
     assert out[3].sensor_1_rolling_max_3 == 3.0
 
 
-def test_fill_skipped_only_when_provably_clean(spark):
-    clean = spark.createDataFrame([(1, 1, 1.0, 2.0, 0.0), (1, 2, 2.0, 3.0, 1.0)],
-                                  "engine_id long, cycle long, sensor_1 double, sensor_2 double, setting_1 double")
-    assert not fe.fill_needed(clean, ["sensor_1", "sensor_2"], ["setting_1"])
-    zero_div = clean.withColumn("sensor_2", F.lit(-1e-8))
-    assert fe.fill_needed(zero_div, ["sensor_1", "sensor_2"], ["setting_1"])
-    missing = clean.withColumn("sensor_1", F.when(F.col("cycle") == 2, F.lit(None)).otherwise(F.col("sensor_1")))
-    assert fe.fill_needed(missing, ["sensor_1", "sensor_2"], ["setting_1"])
-    a = fe.add_engine_features(clean.withColumn("RUL", F.lit(1)), fill_check=clean)
-    b = fe.add_engine_features(clean.withColumn("RUL", F.lit(1)))
-    assert a.exceptAll(b).count() == 0
+def test_fill_is_always_planned_and_one_chunk_equals_many(spark):
+    rows = [(e, c, None if c % 3 == 0 else float(c), float("inf") if c % 4 == 0 else 2.0, 1.0)
+            for e in (1, None) for c in range(1, 12)]
+    df = spark.createDataFrame(rows, "engine_id long, cycle long, sensor_1 double, sensor_2 double, setting_1 double")
+    one = fe.add_engine_features(df)
+    many = fe.add_engine_features(df, chunk_rows=6)
+    assert one.exceptAll(many).count() == 0 and one.count() == len(rows)
+    got = {(r.engine_id, r.cycle): r for r in one.collect()}
+    for e in (1, None):
+        assert got[e, 3].sensor_1 == got[e, 2].sensor_1 == 2.0 and got[e, 4].sensor_2 == 2.0
+
+
+def test_nan_difference_is_zero(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 2, float("nan")), (1, 3, 3.0)], "engine_id long, cycle long, sensor_1 double")
+    out = {r.cycle: r for r in fe.add_degradation_features(df).collect()}
+    assert [out[c].sensor_1_diff for c in (1, 2, 3)] == [0.0, 0.0, 0.0]
+
+
+def test_rul_and_label_in_one_attach_equal_two(spark):
+    df = spark.createDataFrame([(e, c) for e in (1, 2, None) for c in range(1, (e or 3) * 4)], "engine_id long, cycle long")
+    one = lb.rul_and_life_fraction(df)
+    assert one.exceptAll(lb.life_fraction_label(lb.add_rul(df)).select(one.columns)).count() == 0
+    assert one.where("RUL IS NULL").count() == 0

@@ -26,9 +26,9 @@ def test_number_rows_matches_row_number(spark, sf_small):
 
 def test_hot_key_is_split(spark, sf_small):
     base = _base(spark, sf_small).withColumn("engine_id", F.lit(7))
-    from cyclewise.operators.ordering import _split_points
+    from cyclewise.operators.ordering import _split_points, with_keys
 
-    pts = _split_points(base, "engine_id", ["ts", "event_id"], 8, 100_000)
+    pts = _split_points(with_keys(base, "engine_id"), "engine_id", ["ts", "event_id"], 8, 100_000)
     assert pts is not None
     assert pts.select(F.size("_bounds")).first()[0] == 7  # 8 buckets for the single hot key
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cyclewise.operators.ordering import engine_windows, rows_back, running_sum
 
 rows_strategy = st.lists(
-    st.tuples(st.integers(0, 3), st.integers(0, 50), st.one_of(st.none(), st.floats(-100, 100, allow_nan=False))),
+    st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 50), st.one_of(st.none(), st.floats(-100, 100, allow_nan=False))),
     min_size=1, max_size=60,
 )
 
