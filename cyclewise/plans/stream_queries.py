@@ -83,6 +83,19 @@ def stream_latest_alerts(spark, sf_dir):
     return buf.orderBy(F.col("timestamp").desc(), F.col("event_id").desc(), F.col("alert_ord").desc()).limit(20)
 
 
+@register("stream_alert_buffer", ALERT_SPEC, with_readings(
+    "SELECT * FROM alerts ORDER BY timestamp DESC, event_id DESC, alert_ord DESC LIMIT 100", ALERTS_SQL), "T3")
+def stream_alert_buffer(spark, sf_dir):
+    """T3 with a bound of 100, far fewer than the alerts, read whole."""
+    stream, batch = _source(spark, sf_dir)
+    alerts = {"anomaly_alerts": sm.live_outputs(feature_stats(batch, SENSORS), SENSORS)["anomaly_alerts"]}
+    root = sm.shared_dir(spark, "buffer")
+    write = sm.fan_out(root, bound=100, topics=alerts, order=("timestamp", "event_id", "alert_ord"))
+    sm.run_available(stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/_checkpoint")
+                     .trigger(availableNow=True).start())
+    return sm.latest_version(spark, f"{root}/anomaly_alerts/latest")
+
+
 def _upsert_run(spark, agg_stream, keys, name):
     root = sm.shared_dir(spark, name)
     q = (agg_stream.writeStream.outputMode("update").foreachBatch(sm.upsert_log(f"{root}/log"))
@@ -126,7 +139,7 @@ def stream_staleness(spark, sf_dir):
     time, from gaps between readings or from event-time timers."""
     stream, _ = _source(spark, sf_dir)
     root = sm.shared_dir(spark, "stale")
-    q = (sm.staleness_events(stream).writeStream.outputMode("append").format("parquet")
+    q = (sm.staleness_events(stream, watermark="0 seconds").writeStream.outputMode("append").format("parquet")
          .option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     sm.run_available(q)

@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,46 +87,43 @@ def fan_out(root: str, bound: int = TOPIC_BOUND,
             topics: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
             order: Sequence[str] = ("timestamp", "event_id")) -> Callable[[DataFrame, int], None]:
     """T2 + T3: a ``foreachBatch`` function writing each derived topic to
-    ``root/<topic>/log/batch_id=<n>`` (idempotent) and refreshing the bounded
-    buffer ``root/<topic>/latest/v=<n>``."""
+    ``root/<topic>/log/batch_id=<n>`` (idempotent) and refreshing the topic's
+    buffer of the ``bound`` latest messages from what it has written, so a
+    topic is derived once per batch."""
     topics = topics or {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         for name, derive in topics.items():
-            out = derive(batch)
-            out.write.mode("overwrite").parquet(f"{root}/{name}/log/batch_id={batch_id}")
-            _refresh_latest(spark, out, f"{root}/{name}/latest", batch_id, bound, order)
+            log = f"{root}/{name}/log/batch_id={batch_id}"
+            derive(batch).write.mode("overwrite").parquet(log)
+            _refresh_latest(spark.read.parquet(log), f"{root}/{name}/latest", batch_id, bound, order)
 
     return write
 
 
-def _refresh_latest(spark, batch_out: DataFrame, path: str, batch_id: int, bound: int, order) -> None:
-    prev = latest_version(spark, path, before=batch_id)
-    merged = batch_out if prev is None else prev.unionByName(batch_out)
+def _refresh_latest(batch_out: DataFrame, path: str, batch_id: int, bound: int, order) -> None:
+    """Two slots, written in turn: batch n reads what batch n - 1 left in the
+    other slot, so a batch that runs again finds its input untouched, and no
+    older version remains."""
+    merged = batch_out
+    if batch_id > 0:
+        try:
+            prev = batch_out.sparkSession.read.parquet(f"{path}/slot={(batch_id - 1) % 2}")
+            merged = prev.drop("_batch").unionByName(batch_out)
+        except AnalysisException as e:  # the topic's first batch
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     cols = [c for c in order if c in batch_out.columns]
     keep = merged.orderBy(*[F.col(c).desc() for c in cols]).limit(bound)
-    keep.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-
-def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete buffer version (optionally older than ``before``)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    versions = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name[2:])
-            if before is None or v < before:
-                versions.append(v)
-    if not versions:
-        return None
-    return spark.read.parquet(f"{path}/v={max(versions)}")
+    keep.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+
+
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The buffer that the newest batch has left."""
+    both = spark.read.parquet(path)
+    newest = both.agg(F.max("_batch").alias("_newest"))
+    return both.join(newest, both["_batch"] == newest["_newest"], "left_semi").drop("_batch", "slot")
 
 
 def topic_log(spark: SparkSession, root: str, topic: str) -> DataFrame:
@@ -207,7 +205,7 @@ STALE_STATE = T.StructType([T.StructField("last_seen", T.DoubleType())])
 
 
 def staleness_events(readings: DataFrame, ts: str = "event_time", limit_s: int = IDLE_SECONDS,
-                     watermark: str = "0 seconds") -> DataFrame:
+                     *, watermark: str) -> DataFrame:
     """One event per silence — an engine with no reading for more than
     ``limit_s`` seconds of event time. A silence is seen either as a gap
     between two readings of the engine (sorted inside the batch, or against

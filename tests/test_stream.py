@@ -82,7 +82,7 @@ def test_staleness_timer(spark):
     df = df.withColumn("event_time", F.timestamp_seconds("timestamp"))
     stream = _stream_of(spark, df, slices=3)
     root = sm.shared_dir(spark, "stale")
-    q = (sm.staleness_events(stream).writeStream.format("parquet").option("path", f"{root}/out")
+    q = (sm.staleness_events(stream, watermark="0 seconds").writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
     sm.run_available(q)
     got = spark.read.schema(sm.STALE_SCHEMA).parquet(f"{root}/out").collect()
