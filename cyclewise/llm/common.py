@@ -27,3 +27,16 @@ def text_key(c: Column, salt: str = "k") -> list[Column]:
     """Two longs that stand for a text: a 128-bit key, so that chance
     collisions stay out of reach at any corpus size. Null and empty differ."""
     return [F.xxhash64(c), F.xxhash64(F.lit(salt), c)]
+
+
+ARROW_ROWS = 800
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``ARROW_ROWS``
+    rows: a batch is in memory whole on both sides, and rows here are texts.
+    (A session setting, as Spark reads it when the plan runs.)"""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df

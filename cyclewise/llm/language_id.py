@@ -37,9 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 BITS = 16  # n-gram features; as many again for whole words
 GRAMS = (1, 2, 3, 4)
-MEMO = 300_000
+MEMO = 150_000
 CELLS = 1 << 21
 words_of = re.compile(r"[^\W\d_]+").findall
 spans_of = re.compile(r"[^\W\d_]+").finditer
@@ -241,7 +243,7 @@ def learn(df: DataFrame, learn_from: Column, text_col: str = "text", label_col:
                 out.append([w for w in words[at : at + sample_words] if len(w) <= 100])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.string()))], ["label", "h", "words"])
 
-    got = picked.mapInArrow(cut, "label string, h long, words array<string>").collect()
+    got = bounded_batches(picked).mapInArrow(cut, "label string, h long, words array<string>").collect()
     sample: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r["label"], r["h"], r["words"])):
         if r["words"] and len(sample.setdefault(r["label"], [])) < sample_docs:
@@ -253,14 +255,14 @@ def learn(df: DataFrame, learn_from: Column, text_col: str = "text", label_col:
 _SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, whole_rows: bool = False, batch_rows: int = 2000) -> DataFrame:
+def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, whole_rows: bool = False, batch_rows: int = 800) -> DataFrame:
     """One row per row of ``df``: the id column, ``lang_pred``, ``score`` and,
     if asked, ``spans``: runs of words of one language as (lang, start, end) in
     code points of the text. With ``whole_rows`` a struct ``row`` of all columns
     stands in place of the id."""
-    if whole_rows:
-        df, id_col = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), "row"
-        text_col = "text"
+    inner = df.columns.index(text_col) if whole_rows else None
+    df = df.select(F.struct("*").alias("row")) if whole_rows else df.select(id_col, text_col)
+    id_col = df.columns[0]
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([df.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("spans", _SPANS)] if spans else [])])
 
@@ -271,7 +273,7 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
         for whole in batches:
             for at in range(0, whole.num_rows, batch_rows):
                 b = whole.slice(at, batch_rows)
-                texts = b.column(1).fill_null("").to_pylist()
+                texts = (b.column(1) if inner is None else b.column(0).field(inner)).fill_null("").to_pylist()
                 if spans:
                     found = [[x for x in spans_of(t) if any(map(str.isalpha, x.group()))] for t in texts]
                     words = [[x.group().lower() for x in f] for f in found]
@@ -289,6 +291,8 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                     known = np.concatenate([known, emissions(letters, m.weights)]) if letters else known
                     sizes = np.fromiter(map(len, words), np.int64, len(words))
                     place = np.fromiter(map(memo.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+                    if not spans:
+                        words = [None] * len(words)  # no longer needed
                     doc = np.repeat(np.arange(len(words)), sizes)[place >= 0]
                     place = place[place >= 0]
                     lengths = np.bincount(doc, minlength=len(words))
@@ -310,4 +314,4 @@ def identify(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
                     columns.append(pa.array(out, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, shuffle_partitions
-from .common import ascii_lower, text_key
+from .common import ascii_lower, bounded_batches, text_key
 
 WHITE = " \t\n\x0b\f\r"
 DROP, OPEN, EDGE = 0, 1, 2
@@ -192,7 +192,7 @@ def apply_bitmaps(df: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    out = rows.mapInArrow(cut, schema)
+    out = bounded_batches(rows).mapInArrow(cut, schema)
     return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns if c == text_col or c in others], "n_lines", "n_dropped")
 
 

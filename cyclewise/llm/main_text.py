@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
+from .common import bounded_batches
 
 # raw text elements first: what looks like a tag inside them is none
 _piece = re.compile(
@@ -224,7 +225,7 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.monotonically_increasing_id().alias("row"), F.col(html_col).alias("html"))
     fields = [T.StructField("id", df.schema[id_col].dataType), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("row", T.LongType())]
     schema = T.StructType([*fields, T.StructField("blocks", _BLOCKS), T.StructField("stream", T.ArrayType(T.LongType())), T.StructField("spans", T.ArrayType(T.IntegerType()))])
-    parsed = materialise(pages.mapInArrow(blocks, schema), "page-blocks")
+    parsed = materialise(bounded_batches(pages).mapInArrow(blocks, schema), "page-blocks")
 
     streams = parsed.where(F.size("stream") > 0).select("host", "row", "stream")
     groups = streams.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups"))

@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
+from .common import bounded_batches
 
 BANDS, ROWS = 40, 6
 #: scale and rate of the registers
@@ -63,7 +64,7 @@ MARGIN = 16.0
 #: members of a bucket that may meet each other at the second level; 64 times as
 #: many at each level after it, when few members are left
 SMALL = 16
-MEMO = 300_000
+MEMO = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
 
@@ -170,7 +171,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFra
 
     c = df.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("dk"), F.xxhash64(text_col).alias("th"), F.col(text_col))
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in ("dk", "th", "h1", "h2", "n")), T.StructField("registers", T.BinaryType())])
-    return c.mapInArrow(run, schema)
+    return bounded_batches(c).mapInArrow(run, schema)
 
 
 _PROVEN = "a long, b long, crowd long, n long, linked boolean, need long, extras array<long>"
@@ -211,7 +212,7 @@ def prove(pairs: DataFrame, vertices: DataFrame, shingle: int, threshold: float)
                     ["a", "b", "crowd", "n", "linked", "need", "extras"],
                 )
 
-    return materialise(both.mapInArrow(run, _PROVEN), "near-proven")
+    return materialise(bounded_batches(both).mapInArrow(run, _PROVEN), "near-proven")
 
 
 def centre_pairs(members: DataFrame, keys: list[str], least: int = 2) -> DataFrame:

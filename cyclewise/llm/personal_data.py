@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban", "account", "ssn")
 CUES = {"iban": ("iban",), "ssn": ("ssn", "social security"), "account": ("account", "acct")}
@@ -135,4 +137,4 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t, anchors)] if (t := v.as_py()) else [] for v in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(_SPAN_ARROW))], [id_col, "spans"])
 
-    return df.select(id_col, text_col).mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("spans", T.ArrayType(SPAN))]))
+    return bounded_batches(df).select(id_col, text_col).mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("spans", T.ArrayType(SPAN))]))

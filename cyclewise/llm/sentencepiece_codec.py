@@ -8,7 +8,7 @@ pair is left. A symbol that is no piece is spelled in byte pieces.
 A merge can only ever make a piece, so no merge crosses a place where no piece
 does: before a ``▁`` that follows another character, and around a newline when
 no piece holds one (both are checked on the vocabulary). The text is cut there
-and the ids of each segment are kept in a bounded memo per Python worker.
+and the ids of each segment are kept in a bounded memo per task.
 Decoding works on the ids alone, over a whole Arrow batch at once.
 
 Results are checked against the ``sentencepiece`` library in Arrow batches, the
@@ -34,9 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 SPACE = "▁"
-#: segments in the younger half of a worker's memo (at most about 100 MB a half)
-MEMO = 350_000
+#: segments in the younger half of a worker's memo (some 30 MB a half)
+MEMO = 120_000
 #: segments up to this length are merged in arrays, so many at a time
 LANE, ROWS = 40, 8192
 NONE = np.iinfo(np.int32).max
@@ -217,6 +219,9 @@ class BpeCodec:
         self.young.update(got)
         return got
 
+    def forget(self) -> None:
+        self.old, self.young = {}, {}
+
     def encode(self, texts: list[str]) -> pa.ListArray:
         cut = [self.segments(t) for t in texts]
         ids_of = self.learn(set(chain.from_iterable(cut))).__getitem__
@@ -237,7 +242,7 @@ class BpeCodec:
 _CODEC: dict[int, BpeCodec] = {}
 
 
-def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 1000, check_every: int = 16) -> DataFrame:
+def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 400, check_every: int = 32) -> DataFrame:
     """One row per row of ``df``: the id column, ``ids`` (array<int>) and
     ``decoded`` (string). ``model_path`` is read on the driver and its bytes
     (under 1 MB) are broadcast. ``check_every`` 1 checks every batch of
@@ -256,6 +261,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
             if k % check_every == 0:
                 codec.check(texts, ids, decoded)
             yield pa.RecordBatch.from_arrays([b.column(0), ids, decoded], [id_col, "ids", "decoded"])
+        codec.forget()  # a worker serves other stages after this task
 
     schema = T.StructType([df.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())])
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return bounded_batches(df).select(id_col, text_col).mapInArrow(run, schema)

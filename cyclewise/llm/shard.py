@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise, shuffle_partitions
+from .common import bounded_batches
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -152,7 +153,7 @@ def shuffle_shards(df: DataFrame, shards: int = 40, seed: int = 7, block_rows: i
             raise RuntimeError("the partitions changed since they were counted: write the input first (stable=False)")
 
     schema = T.StructType([T.StructField("row", keyed.schema["row"].dataType), T.StructField("b", T.LongType()), T.StructField("block", T.IntegerType())])
-    sent = keyed.sortWithinPartitions("a").select("row", "b").mapInArrow(send, schema)
+    sent = bounded_batches(keyed).sortWithinPartitions("a").select("row", "b").mapInArrow(send, schema)
     # blocks are few and even: hashing their numbers would put several into one task
     sent = sent.repartition(shuffle_partitions(spark), "block")
     place = F.row_number().over(Window.partitionBy("block").orderBy("b", F.xxhash64("row"))) - 1
