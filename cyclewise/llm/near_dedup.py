@@ -61,7 +61,7 @@ BANDS, ROWS = 40, 6
 BASE, RATE = 1.1, 20.0
 #: factor (as a logarithm) by which a similarity must be unlikelier to be ruled out
 MARGIN = 16.0
-#: members of a bucket that may meet each other at the second level; 64 times as
+#: members of a bucket that may meet each other at the second level; 8 times as
 #: many at each level after it, when few members are left
 SMALL = 16
 MEMO = 150_000
@@ -246,8 +246,8 @@ def next_pairs(crowded: DataFrame, label: DataFrame, small: int) -> DataFrame:
 
 def _neighbours(edges: DataFrame) -> DataFrame:
     """Both directions of the links, and each vertex beside itself."""
-    ends = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e"))
-    return materialise(ends.select("e.*").distinct(), "near-edges")
+    ways = [edges.select(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")]
+    return materialise(ways[0].unionByName(ways[1]).unionByName(ways[2]).unionByName(ways[3]).distinct(), "near-edges")
 
 
 def _two_hops(beside: DataFrame, label: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         # all members that were ever compared with the centres of this level
         crowded = proven.where(F.col("crowd") > 2).join(pairs.where(F.col("crowd") > 2).select("b").distinct(), "b", "left_semi")
-        small *= 64
+        small *= 8
     label = components(proven.where("linked").select("a", "b"))
 
     first = copies.join(label, "vid").groupBy("comp").agg(F.min("least").alias("first"))
