@@ -8,9 +8,9 @@ Forward-backward gives each word its probability of each language, also in text
 that switches languages; a document's language is the one with the largest mean
 probability over its words, and that mean is the score.
 
-*Fit.* On a bounded sample of labelled rows: up to ``sample_docs`` per label,
-chosen by a hash of the text, of each up to ``sample_words`` consecutive words
-from a place given by the hash. Sequences are pieced together from runs of
+*Fit.* On a bounded sample of labelled texts: up to ``sample_docs`` distinct ones
+per label, those with the least hashes, of each up to ``sample_words``
+consecutive words from a place given by the hash. Sequences are pieced together from runs of
 different labels, so that transitions are learned as well. Weights follow the
 gradient of the log-likelihood (Adagrad), on the driver, in arrays.
 
@@ -33,11 +33,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from ..session import materialise
+from .common import bounded_batches, text_key
 
 BITS = 16  # n-gram features; as many again for whole words
 GRAMS = (1, 2, 3, 4)
@@ -224,31 +225,41 @@ def _pairs(p: np.ndarray, i: np.ndarray, tr: np.ndarray) -> np.ndarray:
 
 def learn(df: DataFrame, learn_from: Column, text_col: str = "text", label_col: str = "lang", sample_docs: int = 400, sample_words: int = 150) -> Model | None:
     """Fit on a bounded sample of the labelled rows for which ``learn_from``
-    holds: at most ``sample_docs`` rows a label reach the driver."""
-    rows = df.where(learn_from & F.col(label_col).isNotNull() & (F.col(label_col) != "") & F.col(text_col).isNotNull())
-    counts = {r["label"]: r["n"] for r in rows.groupBy(F.col(label_col).alias("label")).agg(F.count("*").alias("n")).collect()}  # one row a label
+    holds: at most ``sample_docs`` distinct texts with letters a label, one row
+    each, reach the driver, and every label that has such a text is learned."""
+    rows = df.where(learn_from & F.col(label_col).isNotNull() & (F.col(label_col) != "") & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), *(k.alias(x) for x, k in zip(("h", "h2"), text_key(F.col(text_col), "sample"), strict=True)))
+    # copies count once, however many rows they have
+    keys = materialise(rows.select("label", "h", "h2").distinct(), "language-keys")
+    counts = {r["label"]: r["n"] for r in keys.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a label
     if not counts:
         return None
-    # a share by hash that yields a little more than is wanted, then the least hashes
+    # a share by hash that yields a little more than is wanted, so that no task ranks a whole label; then the least hashes
     share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, 1.2 * sample_docs / n + 20 / n))])
-    h = F.pmod(F.xxhash64(F.lit("sample"), F.col(text_col)), F.lit(1 << 30))
-    picked = rows.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), h.alias("h")).where(F.col("h") < F.element_at(share, F.col("label")) * (1 << 30))
-    # cut in the tasks: only the words that are learned from come back
+    place = F.pmod(F.col("h"), F.lit(1 << 60))
+    near = keys.where((F.element_at(share, F.col("label")) >= 1) | (place < F.element_at(share, F.col("label")) * float(1 << 60)))
+    least = near.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy(place, "h", "h2"))).where(F.col("at") <= sample_docs)
+    picked = rows.join(F.broadcast(least.drop("at")), ["label", "h", "h2"]).select("label", "text", "h", "h2")
+
+    # cut in the tasks: only the words that are learned from come back, once a task of all copies
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in batches:
-            out = []
-            for t, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = words_of(t.lower())
-                at = x % max(1, len(words) - sample_words + 1)
-                out.append([w for w in words[at : at + sample_words] if len(w) <= 100])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.string()))], ["label", "h", "words"])
+            new, out = [], []
+            for i, key in enumerate(zip(*(b.column(j).to_pylist() for j in (0, 2, 3)), strict=True)):
+                if key in seen:
+                    continue
+                seen.add(key)
+                words = [w for w in words_of(b.column(1)[i].as_py().lower()) if w.isalpha() or any(map(str.isalpha, w))]
+                at = key[1] % max(1, len(words) - sample_words + 1)
+                words = words[at : at + sample_words]
+                new.append(i)
+                out.append([w for w in words if len(w) <= 100] or [w[:100] for w in words])
+            kept = [b.column(j).take(pa.array(new, pa.int64())) for j in (0, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.string()))], ["label", "h", "h2", "words"])
 
-    got = bounded_batches(picked).mapInArrow(cut, "label string, h long, words array<string>").collect()
-    sample: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["label"], r["h"], r["words"])):
-        if r["words"] and len(sample.setdefault(r["label"], [])) < sample_docs:
-            sample[r["label"]].append(r["words"])
-    pairs = [(label, words) for label, docs in sample.items() for words in docs]
+    got = bounded_batches(picked).mapInArrow(cut, "label string, h long, h2 long, words array<string>").dropDuplicates(["label", "h", "h2"]).collect()
+    pairs = [(r["label"], r["words"]) for r in sorted(got, key=lambda r: (r["label"], r["h"] % (1 << 60), r["h"], r["h2"])) if r["words"]]
     return fit(pairs) if pairs else None
 
 

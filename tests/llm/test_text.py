@@ -51,6 +51,25 @@ def test_language_edges(spark, frame):
     assert {r.lang_pred for r in L.identify(asked, L.learn(docs.limit(0), Q.fold() != 1)).collect()} == {"und"}
 
 
+def test_language_sample_holds_every_label(frame, monkeypatch):
+    rng = random.Random(5)
+    text = lambda words, k: " ".join([rng.choice(words) for _ in range(30)]) + f" {chr(97 + k // 26)}{chr(97 + k % 26)}"
+    english, german = "the house of king and that is it".split(), "der hund und das haus ist nicht mit".split()
+    # copies: few texts in many rows, one of them a third of all, and a label that is mostly letterless
+    rows = [(text(english, k), "en") for k in range(60) for _ in range(10)] + [("la casa del rey", "es")] * 600
+    rows += [(t, "de") for t in (text(german, k) for k in range(3)) for _ in range(200)]
+    rows += [(f"{i} {i}", "fr") for i in range(600)] + [("le roi et la maison", "fr"), ("x" * 500, "long")]
+    docs = frame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = []
+    monkeypatch.setattr(L, "fit", lambda pairs: got.extend(pairs) or pairs)
+    L.learn(docs, Q.F.lit(True), sample_docs=25)
+    sample = {}
+    for label, words in got:
+        sample.setdefault(label, []).append(" ".join(words))
+    assert {k: len(v) for k, v in sample.items()} == {"en": 25, "es": 1, "de": 3, "fr": 1, "long": 1}
+    assert all(len(set(v)) == len(v) for v in sample.values())
+
+
 def brute_lines(docs, min_chars=40, min_docs=5):
     white = " \t\n\x0b\f\r"
     key = lambda x: x.strip(white).translate({i: i + 32 for i in range(65, 91)})
