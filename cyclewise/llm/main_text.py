@@ -18,8 +18,11 @@
    ``min_tokens`` words or more; unique runs stay.
 
 A host's pages are dealt by hash into groups of about ``group_pages`` pages, so
-a host with a third of all pages is many groups; a template that repeats within
-the host repeats in its groups. Only streams are shuffled. On pages whose markup
+a host with a third of all pages is many groups, each with its own array. Pages
+count over the whole host: the groups' counts per substring of ``min_tokens``
+tokens are summed in a shuffle by the substring's key, and each group covers what
+repeats in the host as well. The result does not depend on the groups. Only
+streams and these counts are shuffled. On pages whose markup
 names the article, the markup alone decides about text, and the suffix arrays
 show in ``n_repeated`` (covered tokens).
 
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,30 +149,62 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
             return order
 
 
-def covered(streams: list[np.ndarray], min_tokens: int, min_pages: int) -> list[np.ndarray]:
-    """Which tokens lie in a substring of ``min_tokens`` tokens or more that
-    occurs in at least ``min_pages`` distinct streams."""
-    if not streams:
-        return []
+_NONE = np.empty(0, np.dtype([("g1", np.int64), ("g2", np.int64)]))
+
+
+def _passages(streams: list[np.ndarray], min_tokens: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All substrings of ``min_tokens`` tokens: where they start in the streams
+    put together with a separator after each, the number of the substring at
+    each start, and per substring its 128-bit key and number of streams."""
     sizes = np.array([len(x) for x in streams])
     # separators are all different, so nothing repeats across a page's end
-    s = np.concatenate([np.append(x, -1 - i) for i, x in enumerate(streams)])
-    _, s = np.unique(s, return_inverse=True)
+    raw = np.concatenate([np.append(x, -1 - i) for i, x in enumerate(streams)])
+    _, s = np.unique(raw, return_inverse=True)
     owner = np.repeat(np.arange(len(streams)), sizes + 1)
+    ends = np.cumsum(sizes + 1)
     order = suffix_array(s)
     # neighbours in the array that agree in their first min_tokens tokens form a group
-    same = np.ones(max(0, len(order) - 1), bool)
+    same = np.ones(len(order) - 1, bool)
     for j in range(min_tokens):
         i = np.minimum(order + j, len(s) - 1)
         same &= (s[i[1:]] == s[i[:-1]]) & (order[1:] + j < len(s)) & (order[:-1] + j < len(s))
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.empty(0, np.int64)
-    pages = np.unique(group * len(streams) + owner[order])
-    many = np.bincount(pages // len(streams), minlength=int(group[-1]) + 1) >= min_pages
-    edge = np.zeros(len(s) + 1, np.int64)
+    group = np.concatenate([[0], np.cumsum(~same)])
+    whole = order + min_tokens < ends[owner[order]]
+    starts = order[whole]
+    _, first, number = np.unique(group[whole], return_index=True, return_inverse=True)
+    pages = np.bincount(np.unique(number * len(streams) + owner[starts]) // len(streams), minlength=len(first))
+    keys = np.empty(len(first), _NONE.dtype)
+    for name, factor in (("g1", 0x100000001B3), ("g2", 0x9E3779B97F4A7C15)):
+        h = np.full(len(first), salt & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for j in range(min_tokens):
+            h = (h ^ raw[starts[first] + j].astype(np.uint64)) * np.uint64(factor)
+            h ^= h >> np.uint64(29)
+        keys[name] = h.view(np.int64)
+    return starts, number, keys, pages
+
+
+def passages(streams: list[np.ndarray], min_tokens: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the distinct substrings of ``min_tokens`` tokens, salted with
+    what they are counted within, and in how many streams each occurs."""
+    return _passages(streams, min_tokens, salt)[2:] if streams else (_NONE, np.empty(0, np.int64))
+
+
+def covered(streams: list[np.ndarray], min_tokens: int, min_pages: int, salt: int = 0, elsewhere: np.ndarray = _NONE) -> list[np.ndarray]:
+    """Which tokens lie in a substring of ``min_tokens`` tokens or more that
+    occurs in at least ``min_pages`` distinct streams, or whose parts of
+    ``min_tokens`` tokens have keys in ``elsewhere``."""
+    if not streams:
+        return []
+    starts, number, keys, pages = _passages(streams, min_tokens, salt)
+    many = pages >= min_pages
+    likely = np.flatnonzero(~many & np.isin(keys["g1"], elsewhere["g1"]))
+    many[likely] = np.isin(keys[likely], elsewhere)
+    starts = starts[many[number]]
+    sizes = np.array([len(x) for x in streams])
     ends = np.cumsum(sizes + 1)
-    starts = order[many[group] & (order + min_tokens < ends[owner[order]])]
+    edge = np.zeros(ends[-1] + 1, np.int64)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + min_tokens, len(s)), -1)
+    np.add.at(edge, starts + min_tokens, -1)
     flags = np.cumsum(edge[:-1]) > 0
     return [flags[e - n - 1 : e - 1] for e, n in zip(ends, sizes, strict=True)]
 
@@ -229,13 +264,39 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
     streams = parsed.where(F.size("stream") > 0).select("host", "row", "stream")
     groups = streams.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups"))
-    dealt = streams.join(groups, "host").select("row", "stream", F.xxhash64("host", F.pmod(F.xxhash64("row"), F.col("groups"))).alias("group"))
+    group = F.xxhash64("host", F.pmod(F.xxhash64("row"), F.col("groups"))).alias("group")
+    dealt = streams.join(groups, "host").select("row", "stream", "groups", F.xxhash64("host").alias("salt"), group)
 
-    def repeats(table: pa.Table) -> pa.Table:
-        found = covered([x.values.to_numpy() for x in table.column("stream").combine_chunks()], min_tokens, min_pages)
+    def unpacked(table: pa.Table) -> list[np.ndarray]:
+        return [x.values.to_numpy() for x in table.column("stream").combine_chunks()]
+
+    def flagged(table: pa.Table, elsewhere: np.ndarray = _NONE) -> pa.Table:
+        salt = table.column("salt")[0].as_py() if table.num_rows else 0
+        found = covered(unpacked(table), min_tokens, min_pages, salt, elsewhere)
         return pa.table({"row": table.column("row"), "n_repeated": pa.array([int(f.sum()) for f in found], pa.int64()), "flags": pa.array([np.packbits(f).tobytes() for f in found], pa.binary())})
 
-    flags = dealt.groupBy("group").applyInArrow(repeats, "row long, n_repeated long, flags binary")
+    def repeats(table: pa.Table) -> pa.Table:
+        return flagged(table)
+
+    # hosts of several groups: what each group counts is summed over the host,
+    # and a group hears of the passages that only the sum makes repeated
+    def counts(table: pa.Table) -> pa.Table:
+        keys, n = passages(unpacked(table), min_tokens, table.column("salt")[0].as_py())
+        return pa.table({"group": pa.array(np.full(len(n), table.column("group")[0].as_py(), np.int64)), "g1": pa.array(keys["g1"]), "g2": pa.array(keys["g2"]), "n": pa.array(n.astype(np.int64))})
+
+    def together(table: pa.Table, heard: pa.Table) -> pa.Table:
+        elsewhere = np.empty(heard.num_rows, _NONE.dtype)
+        for name in ("g1", "g2"):
+            elsewhere[name] = heard.column(name).to_numpy()
+        return flagged(table, elsewhere)
+
+    flag_schema = "row long, n_repeated long, flags binary"
+    one, several = dealt.where(F.col("groups") == 1), dealt.where(F.col("groups") > 1)
+    found = several.groupBy("group").applyInArrow(counts, "group long, g1 long, g2 long, n long")
+    found = found.withColumn("total", F.sum("n").over(Window.partitionBy("g1", "g2")))
+    heard = found.where((F.col("total") >= min_pages) & (F.col("n") < min_pages)).select("group", "g1", "g2")
+    flags = one.groupBy("group").applyInArrow(repeats, flag_schema)
+    flags = flags.unionByName(several.groupBy("group").cogroup(heard.groupBy("group")).applyInArrow(together, flag_schema))
     # only pages with open blocks wait for their flags as text; the others need the count alone
     has_open = F.exists("blocks", lambda x: x["kind"] == OPEN)
     text = F.concat_ws("\n", F.transform("blocks", lambda x: x["text"]))

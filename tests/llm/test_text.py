@@ -141,6 +141,17 @@ def test_pages_operator(spark):
     assert M.main_text(empty).count() == 0
 
 
+def test_pages_repeat_across_groups(spark):
+    bar = "<div>home about contact all the same words here</div>"
+    story = lambda i: f"<div>unique story {i} of day {i} and more {i}</div>"
+    rows = [(i, f"http://{'ab'[i % 2]}.org/x", (bar if i < 16 else "") + story(i) + ("<div>only two pages have these words here</div>" if i < 4 else "")) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(M.main_text(pages.repartition(1)).collect())
+    for group_pages, parts in ((4, 1), (4, 7), (1, 3)):
+        assert sorted(M.main_text(pages.repartition(parts), group_pages=group_pages).collect()) == whole
+    assert all(r.text.startswith("unique story") and (r.n_repeated > 0) == (r.page_id < 16) for r in whole)
+
+
 def test_tokens_equal_library(spark, frame):
     import public_tokenizers
     import sentencepiece
