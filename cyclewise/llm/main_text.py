@@ -4,9 +4,12 @@
    comments in the markup and form controls are no text. A block is *marked* if
    it stands in an element that is boilerplate by its name (nav, header, footer,
    aside, form ...) or by a word of its class, id or role (ad, menu, sidebar,
-   cookie, comments ...); *main* if it stands in ``article`` or ``main`` and is
+   cookie, comments ...; inside an article only by a whole class or role, or an
+   id that is such a word); *main* if it stands in ``article`` or ``main`` and is
    not marked; else *open*. A page with main blocks has no open ones: what is
-   outside its article is marked.
+   outside its article is marked. An element that is never closed ends where
+   its parent does, or as HTML has it (a paragraph at the next block, an item at
+   the next item), so that it takes no more of the page with it.
 2. *Host suffix arrays.* What is not main is, as a stream of tokens (the
    element, then the words of each block), put together with the streams of
    other pages of its host, a separator after each page. A suffix array with
@@ -37,6 +40,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +54,11 @@ from .common import bounded_batches
 
 # raw text elements first: what looks like a tag inside them is none
 _piece = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|select|textarea|button|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<(script|style|textarea|iframe|title)\b[^>]*>.*?(?:</\1\s*>|$)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>",
     re.S | re.I,
 )
-_named = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_named = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _word = re.compile(r"[a-z]+")
 BOILERPLATE = frozenset("nav header footer aside form menu dialog head".split())
 MARKS = frozenset(
@@ -62,24 +66,57 @@ MARKS = frozenset(
     "cookie cookies consent notice popup modal newsletter subscribe signup login share sharing social related comment comments disqus pagination pager search skip toolbar widget".split()
 )
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = frozenset("svg button select object noscript template".split())
+# start tags that end open elements: which, and what they do not reach beyond
+_P = (frozenset(["p"]), frozenset("table caption td th template".split()))
+_ITEM = frozenset("ul ol dl menu table td th template article main section nav aside header footer form fieldset blockquote details dialog figure".split())
+ENDS = {
+    **dict.fromkeys("p address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre search section summary table ul".split(), _P),
+    "li": (frozenset(["li"]), _ITEM),
+    **dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd"]), _ITEM)),
+    **dict.fromkeys(("td", "th"), (frozenset(["td", "th"]), frozenset("tr table template".split()))),
+    "tr": (frozenset(["tr"]), frozenset("table template".split())),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset("tbody thead tfoot caption".split()), frozenset("table template".split()))),
+    **{x: (frozenset([x]), frozenset(["template"])) for x in ("button", "select")},
+    "body": (frozenset(["head"]), frozenset()),
+}
+# an end tag does not end what is beyond these
+_TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+WALLS = {**dict.fromkeys(("article", "main"), frozenset(["template"])), **dict.fromkeys(_TABLE, frozenset("article main template".split()))}
+WALL = frozenset("article main td th caption template".split())
+# start tags that cannot stand in svg and so end it
+HTML_ONLY = ENDS.keys() | frozenset(["br", "img"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MAIN, OPEN, MARKED = 0, 1, 2
+MAIN, OPEN, MARKED, SKIP = 0, 1, 2, 3
 
 
-def _is_marked(name: str, attributes: str) -> bool:
+def _is_marked(name: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element is boilerplate by its name or attributes. Inside an
+    article words of a name are no proof (``social-impact``): only whole tokens
+    of a class or role count, and ids and labels that are a mark."""
     if name in BOILERPLATE:
         return True
     if not attributes or "=" not in attributes or name in ("body", "html"):
         return False
-    return any(not MARKS.isdisjoint(_word.findall((a or b or c).lower())) for a, b, c in _named.findall(attributes))
+    for attribute, a, b, c in _named.findall(attributes):
+        value = (a or b or c).lower()
+        if inside or name in ("article", "main"):
+            tokens = value.split() if attribute.lower() in ("class", "role") else [value.strip()]
+        else:
+            tokens = _word.findall(value)
+        if not MARKS.isdisjoint(tokens):
+            return True
+    return False
 
 
 def parse(page: str) -> list[tuple[int, str, str]]:
     """(kind, element, text) of the blocks of a page, in page order."""
     blocks: list[tuple[int, str, str]] = []
     text: list[str] = []
-    # open elements that matter, as (name, kind); a kind holds until its element ends
+    # open elements, as (name, kind); a kind holds until its element ends, which
+    # is at the end of its parent at the latest
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     element, any_main = "body", False
 
     def flush() -> None:
@@ -88,46 +125,87 @@ def parse(page: str) -> list[tuple[int, str, str]]:
             t = " ".join(_html.unescape("".join(text)).split())
             text.clear()
             if t:
-                kind = stack[-1][1] if stack else OPEN
+                kind = next((k for _, k in reversed(stack) if k != SKIP), OPEN)
                 any_main |= kind == MAIN
                 blocks.append((kind, element, t))
 
+    def push(name: str, kind: int) -> None:
+        stack.append((name, kind))
+        opened[name] += 1
+
+    def leave(i: int) -> None:
+        opened.subtract(n for n, _ in stack[i:])
+        del stack[i:]
+
+    def end(names: frozenset[str], walls: frozenset[str]) -> bool:
+        """End the innermost open element of these names, and what is open inside it."""
+        if not any(opened[n] for n in names):
+            return False
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                if stack[i][1] != SKIP:
+                    flush()
+                leave(i)
+                return True
+            if stack[i][0] in walls:
+                break
+        return False
+
     at = 0
     for m in _piece.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not (stack and stack[-1][1] == SKIP):
             text.append(page[at : m.start()])
         at = m.end()
         name = m.group(3)
         if name is None:
             continue
-        name = name.lower()
+        name, closing, attributes = name.lower(), m.group(2), m.group(4)
+        skipped = bool(stack) and stack[-1][1] == SKIP
+        if closing:
+            # an end tag without a start still ends a block of text
+            if not end(frozenset([name]), WALLS.get(name, WALL)) and name not in INLINE and name not in SKIPPED and not skipped:
+                flush()
+            continue
+        if skipped and opened["svg"] and name in HTML_ONLY:
+            # svg ends where a page's own elements begin
+            inner = next(i for i in range(len(stack) - 1, -1, -1) if i == 0 or stack[i - 1][1] != SKIP)
+            if any(n == "svg" for n, _ in stack[inner:]) and not any(n.lower() in ("foreignobject", "template") for n, _ in stack[inner:]):
+                leave(next(i for i in range(inner, len(stack)) if stack[i][0] == "svg"))
+        if name in ("article", "main") and not opened["template"]:
+            # an element that was never closed does not swallow the article
+            while stack and stack[-1][1] == SKIP:
+                leave(len(stack) - 1)
+        if name in ENDS:
+            end(*ENDS[name])
+        skipped = bool(stack) and stack[-1][1] == SKIP
+        if name in SKIPPED or skipped:
+            if name not in VOID and not attributes.endswith("/"):
+                push(name, SKIP)
+            continue
+        inherited = stack[-1][1] if stack else OPEN
+        marked = _is_marked(name, attributes, inherited == MAIN)
         if name in INLINE:
             if name == "br":
                 text.append(" ")
-            if name in VOID or not (m.group(4) and not m.group(2) and _is_marked(name, m.group(4))) and not (m.group(2) and any(n == name for n, _ in stack)):
+            if name in VOID or not marked and not opened[name]:
                 continue
         flush()
-        if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            continue
-        if name in VOID or m.group(4).endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         element = name
-        inherited = stack[-1][1] if stack else OPEN
+        if name in ("body", "html"):
+            continue
         if name in ("article", "main"):
-            # an element that was never closed does not swallow the article
-            if inherited == MARKED and not _is_marked(name, m.group(4)) and not any(n in ("article", "main") for n, _ in stack):
-                stack.clear()
+            if inherited == MARKED and not marked and not opened["article"] and not opened["main"]:
+                leave(0)
                 inherited = OPEN
-            stack.append((name, MARKED if inherited == MARKED or _is_marked(name, m.group(4)) else MAIN))
-        elif inherited != MARKED and _is_marked(name, m.group(4)) and not (name == "header" and inherited == MAIN):
-            stack.append((name, MARKED))
-        elif any(n == name for n, _ in stack):
-            stack.append((name, inherited))  # so that its end does not end an outer one
-    text.append(page[at:])
+            push(name, MARKED if inherited == MARKED or marked else MAIN)
+        elif marked and not (name == "header" and inherited == MAIN):
+            push(name, MARKED)
+        else:
+            push(name, inherited)
+    if not (stack and stack[-1][1] == SKIP):
+        text.append(page[at:])
     flush()
     return [(MARKED if any_main and k == OPEN else k, e, t) for k, e, t in blocks]
 

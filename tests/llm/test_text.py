@@ -108,6 +108,20 @@ def test_pages_parse():
     assert [(k, t) for k, _, t in M.parse(page) if k == M.OPEN] == [(1, "open bold x y"), (1, "q <a> &amp;"), (1, "z")]
     page = '<nav>a<article><h1>t</h1><p>x<aside>no</aside>y</p><section class="comments">c</section></article> out'
     assert [t for k, _, t in M.parse(page) if k == M.MAIN] == ["t", "x", "y"]
+    # what is never closed, and names that only sound like boilerplate
+    main = lambda x: " ".join(t for k, _, t in M.parse(f"<article>{x}</article><div>out</div>") if k == M.MAIN)
+    for name in ("svg", "button", "select", "object", "noscript"):
+        assert main(f"<p>a</p><div><{name} class=x>no</div><p>b</p>") == "a b", name
+        assert main(f"<p>a<{name}><i>no</i></{name}> b</p>c") == "a b c", name
+        assert main(f"<p>a<{name}>no<p>b<p>c") == "a b c", name
+    assert main('<svg width="1" /><p>a</p><svg><path d=""/><title>no</title></svg><p>b</p><svg><g><p>c</p>') == "a b c"
+    assert main('a<p class="ad">no<p>b<ul><li class="share">no<li>c<li>d</ul><p class="ad">no<h2>e</h2><div><a class="share">no</div>f') == "a b c d e f"
+    assert main('<h2 id="social-impact">a</h2><section id="search-methods" aria-label="Share of ads">b</section><div class="post no-sidebar">c</div>') == "a b c"
+    assert main("<table><tr><td>a</div>b<tr><td class=ad>no<td>c</table>d</div>e") == "a b c d e"
+    assert [t for k, _, t in M.parse("<main><article><p>a</main><p>out") if k == M.MAIN] == ["a"]
+    assert main('a<div class="x share">no</div><div id=comments>no</div><div role="navigation">no</div><p>b</div>c') == "a b c"
+    assert [t for k, _, t in M.parse('<article class="post has-comments"><p>a</article>') if k == M.MAIN] == ["a"]
+    assert [t for k, _, t in M.parse("<head><title>no</title><body>a<div class=ad>no<p>no</div>b") if k == M.OPEN] == ["a", "b"]
     assert M.parse("") == [] and M.parse("a < b") == [(1, "body", "a < b")]
 
 
