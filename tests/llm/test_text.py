@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cyclewise.llm import language_id as L
@@ -166,6 +167,19 @@ def test_pages_repeat_across_groups(spark):
     assert all(r.text.startswith("unique story") and (r.n_repeated > 0) == (r.page_id < 16) for r in whole)
 
 
+def test_tokens_are_all_checked(frame, monkeypatch):
+    import public_tokenizers
+
+    docs = frame([(1, "x")])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    checked = []
+    monkeypatch.setattr(BpeCodec, "check", lambda self, texts, ids, decoded: checked.extend(texts))
+    texts = [f"text number {i}" for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts})
+    out = list(encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))(iter([batch])))
+    assert checked == texts and sum(b.num_rows for b in out) == 1000
+
+
 def test_tokens_equal_library(spark, frame):
     import public_tokenizers
     import sentencepiece
