@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +45,18 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(key)) <= ARROW_ROWS:
         conf.set(key, str(ARROW_ROWS))
     return df
+
+
+#: bytes of text that are worked on at once
+SLICE = 2 << 20
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of ``batch`` whose texts in ``column`` have at most ``most``
+    bytes together; a longer text comes alone."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + (most or SLICE), "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
