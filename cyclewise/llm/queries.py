@@ -167,6 +167,14 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256(F.col("output")).alias("output_sha256"), sha256(F.col("restored")).alias("restored_sha256"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, learn(docs, table(spark, sf_dir, "labels"), fold() != 1))
+    return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("hits").cast("long").alias("n_hits"))
+
+
 OP11_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
                   sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -194,6 +202,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_fingerprint": op10_fingerprint,
     "op11_fill_middle": op11_fill_middle,
+    "op12_toxicity": op12_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
