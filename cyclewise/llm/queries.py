@@ -175,6 +175,19 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("hits").cast("long").alias("n_hits"))
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align_tokens import align, pair_sizes, with_counts
+
+    files = [public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    out = align(table(spark, sf_dir, "documents"), *files)
+    # whole texts of groups are hashed before anything is written
+    digest = F.when(F.col("n_groups") > 0, sha256(F.col("groups"))).otherwise("")
+    out = with_counts(out.withColumn("groups_sha256", digest).drop("groups"), pair_sizes(*files)[1])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps", "n_shared")
+
+
 OP11_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
                   sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -203,6 +216,7 @@ QUERIES = {
     "op10_fingerprint": op10_fingerprint,
     "op11_fill_middle": op11_fill_middle,
     "op12_toxicity": op12_toxicity,
+    "op13_align": op13_align,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
