@@ -26,11 +26,14 @@ reach.
    that members of different components share count; a member with fewer of them
    than it needs is done with c, and of the others only a prefix in order of
    rarity is kept, as in a prefix-filtered join. (centre, extra) is the bucket
-   of the next level. In buckets of up to ``SMALL`` members those of different
-   components meet; larger ones get their smallest set as centre again, which
-   then leaves. Levels go on until no pair is left, so a group of g near copies
-   costs about g comparisons a band, not g * g.
-7. *Components* by repeated minimum labels over the links.
+   of the next level. Where a bucket of m members holds at most ``SMALL`` * m pairs
+   of different components, these meet; other buckets get their smallest set as
+   centre again, which then leaves. So every bucket costs at most ``SMALL`` pairs a
+   member whatever its size, and a group of g near copies about g comparisons a
+   band, not g * g. Levels go on until no pair is left.
+7. *Components* by repeated minimum labels over the links. Links of later levels
+   are kept as links between labels, and only where those differ, so that the
+   links of one group of copies are not carried from level to level.
 
 Sets are compared as 64-bit hashes of shingles. Nothing but table sizes and
 counts of changed labels reaches the driver; joins on hot vertices are plain
@@ -61,9 +64,8 @@ BANDS, ROWS = 40, 6
 BASE, RATE = 1.1, 20.0
 #: factor (as a logarithm) by which a similarity must be unlikelier to be ruled out
 MARGIN = 16.0
-#: members of a bucket that may meet each other at the second level; 8 times as
-#: many at each level after it, when few members are left
-SMALL = 16
+#: pairs a member up to which the components of a bucket meet at later levels
+SMALL = 8
 MEMO = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
@@ -226,7 +228,7 @@ def centre_pairs(members: DataFrame, keys: list[str], least: int = 2) -> DataFra
     return pairs.groupBy("a", F.col("centre").alias("b")).agg(F.max("crowd").alias("crowd"))
 
 
-def next_pairs(crowded: DataFrame, label: DataFrame, small: int) -> DataFrame:
+def next_pairs(crowded: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs that a level leaves open, as (a, b, crowd), from the members that
     were compared with its centres."""
     crowded = crowded.join(label.toDF("a", "comp"), "a", "left").select(F.col("a").alias("vid"), "n", "b", F.coalesce("comp", "a").alias("comp"), "need", "extras")
@@ -237,10 +239,13 @@ def next_pairs(crowded: DataFrame, label: DataFrame, small: int) -> DataFrame:
     own = Window.partitionBy("b", "vid")
     members = each.join(shared, ["b", "extra"]).withColumn("have", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", "extra")))
     members = materialise(members.where(F.col("rank") <= F.col("have") - F.col("need") + 1).select("vid", "n", "comp", "b", "extra", "size"), "near-members")
-    few = members.where(F.col("size") <= small)
-    one, two = (few.select("b", "extra", F.col("vid").alias(v), F.col("comp").alias(c)) for v, c in (("x", "cx"), ("y", "cy")))
-    meet = one.join(two, ["b", "extra"]).where("x < y AND cx != cy").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(2).cast("long").alias("crowd"))
-    many = centre_pairs(members.where(F.col("size") > small), ["b", "extra"], least=3)
+    per = members.groupBy("b", "extra", "comp").agg(F.count("*").alias("k"))
+    bucket = per.groupBy("b", "extra").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "comp"))["comp"].alias("major"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    placed = members.drop("size").join(bucket.select("b", "extra", "major", (F.col("all") * F.col("all") - F.col("same") <= 2 * SMALL * F.col("all")).alias("few")), ["b", "extra"])
+    # one side without the bucket's largest component, so that its members don't even meet
+    one, two = (placed.where(c).select("b", "extra", F.col("vid").alias(v), F.col("comp").alias(w)) for c, v, w in (("few AND comp != major", "x", "cx"), ("few", "y", "cy")))
+    meet = one.join(two, ["b", "extra"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).cast("long").alias("crowd"))
+    many = centre_pairs(placed.where("NOT few"), ["b", "extra"], least=3)
     return meet.unionByName(many).groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
 
 
@@ -263,6 +268,14 @@ def group_labels(edges: DataFrame) -> DataFrame:
     return materialise(_two_hops(beside, beside.groupBy(F.col("a").alias("vid")).agg(F.min("b").alias("comp"))), "near-labels")
 
 
+def contracted(links: DataFrame, label: DataFrame) -> DataFrame:
+    """New links between what they connect: labels that differ, each pair once.
+    A vertex without a label yet stands for itself."""
+    for v in ("a", "b"):
+        links = links.join(label.select(F.col("vid").alias(v), F.col("comp").alias("to")), v, "left").withColumn(v, F.coalesce("to", v)).drop("to")
+    return links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(vid, comp) of all vertices with an edge: the least vertex reachable."""
     beside = _neighbours(edges)
@@ -297,21 +310,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     proven = prove(pairs, vertices, shingle, threshold)
     seen = pairs.select("a", "b", F.col("crowd").alias("met"))
-    crowded, small = proven.where(F.col("crowd") > 2), SMALL
+    crowded = proven.where(F.col("crowd") > 2)
+    edges = proven.where("linked").select("a", "b")
+    label = group_labels(edges)
     while True:
         # a pair met in a bucket of two has no extras yet
-        fresh = next_pairs(crowded, group_labels(proven.where("linked").select("a", "b")), small).join(seen, ["a", "b"], "left").where(F.col("met").isNull() | ((F.col("met") == 2) & (F.col("crowd") > 2)))
+        fresh = next_pairs(crowded, label).join(seen, ["a", "b"], "left").where(F.col("met").isNull() | ((F.col("met") == 2) & (F.col("crowd") > 2)))
         pairs = materialise(fresh.select("a", "b", "crowd"), "near-pairs")
         left, centres = pairs.agg(F.count("*"), F.count(F.when(F.col("crowd") > 2, 1))).first()
         if left:
-            proven = proven.unionByName(prove(pairs, vertices, shingle, threshold))
+            found = prove(pairs, vertices, shingle, threshold)
+            proven = proven.unionByName(found)
             seen = seen.unionByName(pairs.select("a", "b", F.col("crowd").alias("met"))).groupBy("a", "b").agg(F.max("met").alias("met"))
+            edges = materialise(edges.unionByName(contracted(found.where("linked").select("a", "b"), label)), "near-links")
         if not centres:  # every bucket was small: all its pairs have met
             break
+        label = group_labels(edges)
         # all members that were ever compared with the centres of this level
         crowded = proven.where(F.col("crowd") > 2).join(pairs.where(F.col("crowd") > 2).select("b").distinct(), "b", "left_semi")
-        small *= 8
-    label = components(proven.where("linked").select("a", "b"))
+    label = components(edges)
 
     first = copies.join(label, "vid").groupBy("comp").agg(F.min("least").alias("first"))
     leads = copies.join(label.join(first, "comp").select("vid", "first"), "vid", "left").select("h1", "h2", F.coalesce("first", "least").alias("first"))
