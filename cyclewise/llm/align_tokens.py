@@ -47,6 +47,7 @@ from pyspark.sql import types as T
 
 from ..session import materialise
 from .common import bounded_batches, byte_slices
+from .sentencepiece_codec import library_segments
 
 #: distinct id pairs up to which their counts are broadcast (some 100 MB)
 BROADCAST = 1_000_000
@@ -182,7 +183,6 @@ class Pieces(Vocabulary):
             raise ValueError("pieces cross word or line boundaries; segments would not be independent")
         entries = {i: bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces) if not lib.is_control(i)}
         super().__init__(entries, len(pieces))
-        self.newline = lib.encode("\n")[-1]
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*").findall
         self.memo: dict[str, bytes] = {}
 
@@ -196,17 +196,7 @@ class Pieces(Vocabulary):
         new = [k for k in wanted if k not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, list(wanted)
-        nl = np.int32(self.newline).tobytes()
-        for at in range(0, len(new), 50):
-            part = new[at : at + 50]
-            # each segment on a line of its own; a key's own newline is the line break
-            lines = "".join("\n" + (k[1:] if k[:1] == "\n" else " " + k.replace(SPACE, " ")) for k in part)
-            ids = np.array(self.library.encode(lines), np.int32)
-            breaks = np.append(np.flatnonzero(ids == self.newline), len(ids))
-            if len(breaks) != len(part) + 1:
-                raise ValueError("the library does not keep line breaks apart")
-            for k, i, j in zip(part, breaks[:-1].tolist(), breaks[1:].tolist(), strict=True):
-                self.memo[k] = (nl if k[:1] == "\n" else b"") + ids[i + 1 : j].tobytes()
+        self.memo.update(library_segments(self.library, new))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         each = [self.keys(t) if t else [] for t in texts]

@@ -66,10 +66,9 @@ class BpeCodec:
                 self.score[p] = -lib.get_score(i)
         if len(self.bytes) != 256:
             raise ValueError("the vocabulary has no byte pieces")
-        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            raise ValueError("pieces cross word boundaries; segments would not be independent")
-        newline = "" if any("\n" in p for p in self.ids) else "\n"
-        self.cut = re.compile(f"{SPACE}+[^{SPACE}{newline}]*|[^{SPACE}{newline}]+" + ("|\n" if newline else "")).findall
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
+            raise ValueError("pieces cross word or line boundaries; segments would not be independent")
+        self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*").findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         # every way to make a piece of two pieces, for the agendas in arrays
@@ -80,8 +79,8 @@ class BpeCodec:
             for k in range(1, len(p))
             if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None
         )
-        self.pair_key, self.pair_id, self.pair_rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.pair_rank = np.append(self.pair_rank, NONE).astype(np.int32)
+        key, made, rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.table_pairs(key, made.astype(np.int32), rank.astype(np.int32))
         self.closed = all(c in self.ids for p in self.ids for c in p)
         self.of_char = np.arange(-2, -2 - sys.maxunicode - 1, -1, np.int32)  # an unknown character is -2 less its code point
         for p, i in self.ids.items():
@@ -91,11 +90,46 @@ class BpeCodec:
         self.shown = pa.array([chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else "" if self.library.is_control(i) else p.replace(SPACE, " ") for i, p in enumerate(self.piece)])
         self.high = np.array([self.byte_of.get(i, 0) > 127 or self.library.is_unknown(i) for i in range(len(self.piece))])
 
+    def table_pairs(self, key: np.ndarray, made: np.ndarray, rank: np.ndarray) -> None:
+        """A hash table of pairs in arrays: open addressing, so that one gather
+        finds most pairs, and empty places end a search."""
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(key))))) + 3)
+        size = 1 << self.bits
+        self.pair_key, self.pair_id, self.pair_rank = np.full(size, -1, np.int64), np.full(size, -1, np.int32), np.full(size, NONE, np.int32)
+        left, at = np.arange(len(key)), self.place(key)
+        self.tries = 0
+        while len(left):
+            self.tries += 1
+            # of keys at one free place the first takes it
+            free = np.flatnonzero(self.pair_key[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            for table, of in ((self.pair_key, key), (self.pair_id, made), (self.pair_rank, rank)):
+                table[at[won]] = of[left[won]]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, at = left[stay], (at[stay] + 1) & (size - 1)
+        self.empty = int(np.flatnonzero(self.pair_key < 0)[0])
+
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Place of the pairs in the table, -1 if they make no piece."""
+        """Place of the pairs in the table; an empty one if they make no piece."""
         key = a.astype(np.int64) * len(self.piece) + b
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        return np.where((self.pair_key[at] == key) & (a >= 0) & (b >= 0), at, -1)
+        key[(a < 0) | (b < 0)] = -2
+        at = self.place(key)
+        got = self.pair_key[at]
+        miss = np.flatnonzero(((got != key) & (got >= 0)).ravel())
+        for _ in range(self.tries):
+            if not len(miss):
+                break
+            at.flat[miss] = to = (at.flat[miss] + 1) & (len(self.pair_key) - 1)
+            got = self.pair_key[to]
+            miss = miss[(got != key.flat[miss]) & (got >= 0)]
+        # whoever is not found after all tries is at a place of another pair
+        at.flat[miss] = self.empty
+        return at
 
     def encode_many(self, segments: list[str]) -> list[bytes]:
         """Ids of segments of up to LANE characters: one agenda a row, all rows
@@ -197,23 +231,34 @@ class BpeCodec:
         text = "".join([*out, run.decode("utf-8", "replace")]).replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
-    def segments(self, text: str) -> list[str]:
-        return self.cut(SPACE + text.replace(" ", SPACE)) if text else []
+    def keys(self, text: str) -> list[str]:
+        """A text's segments by their keys: a key stands for itself if it begins
+        with a newline, else for ``▁`` and itself."""
+        if "  " in text or SPACE in text or text[:1] == " ":
+            return [s if s[0] == "\n" else s[1:] for s in self.cut(SPACE + text.replace(" ", SPACE))]
+        return text.replace("\n", " \n").split(" ") if text else []
 
     def learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids (int32, as bytes) of all wanted segments, from the memo or encoded. The memo has
-        two halves; a segment that is used moves to the younger one, and the
-        older one goes when the younger is full."""
+        """Ids (int32, as bytes) of all wanted segments, from the memo or encoded
+        and held against the library. The memo has two halves; a segment that is
+        used moves to the younger one, and the older one goes when the younger
+        is full."""
         old, young = self.old, self.young
         got = {s: e for s in wanted if (e := young.get(s) or old.get(s)) is not None}
         new = [s for s in wanted if s not in got]
-        short = sorted((s for s in new if len(s) <= LANE), key=len) if self.closed else []
+        whole = {k: k if k[:1] == "\n" else SPACE + k for k in new}
+        short = sorted((k for k in new if len(k) < LANE), key=len) if self.closed else []
         for at in range(0, len(short), ROWS):
             part = short[at : at + ROWS]
-            got.update(zip(part, self.encode_many(part), strict=True))
-        for s in new if len(short) < len(new) else ():
-            if s not in got:
-                got[s] = np.array(self.encode_segment(s), np.int32).tobytes()
+            got.update(zip(part, self.encode_many([whole[k] for k in part]), strict=True))
+        for k in new if len(short) < len(new) else ():
+            if k not in got:
+                got[k] = np.array(self.encode_segment(whole[k]), np.int32).tobytes()
+        lines: list[list[int]] = []
+        for k, ids in library_segments(self.library, new, lines):
+            if ids != got[k]:
+                raise ValueError(f"agenda and library encode otherwise: {whole[k][:2000]!r}")
+        self.check_decoded(pa.array(lines, pa.list_(pa.int32())))
         if len(young) > MEMO:
             self.old, self.young = young, {}
         self.young.update(got)
@@ -223,30 +268,56 @@ class BpeCodec:
         self.old, self.young = {}, {}
 
     def encode(self, texts: list[str]) -> pa.ListArray:
-        cut = [self.segments(t) for t in texts]
+        cut = [self.keys(t) for t in texts]
         ids_of = self.learn(set(chain.from_iterable(cut))).__getitem__
         flat = [b"".join(map(ids_of, segs)) for segs in cut]
         ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat], dtype=np.int64)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
 
-    def check(self, texts: list[str], ids: pa.ListArray, decoded: pa.Array) -> None:
-        expect = self.library.encode(texts, num_threads=1)
-        for t, a, b in zip(texts, expect, ids.to_pylist(), strict=True):
+    def check(self, texts: list[str], ids: pa.ListArray) -> None:
+        """Whole texts against the library."""
+        for t, a, b in zip(texts, self.library.encode(texts, num_threads=1), ids.to_pylist(), strict=True):
             if a != b:
                 raise ValueError(f"agenda and library encode otherwise: {t[:2000]!r}")
-        for a, b in zip(self.library.decode(expect), decoded.to_pylist(), strict=True):
-            if a != b:
-                raise ValueError(f"library decodes to {a[:2000]!r}, not {b[:2000]!r}")
+        self.check_decoded(ids)
+
+    def check_decoded(self, ids: pa.ListArray) -> None:
+        if len(ids):
+            for a, b in zip(self.library.decode(ids.to_pylist()), self.decode(ids).to_pylist(), strict=True):
+                if a != b:
+                    raise ValueError(f"library decodes to {a[:2000]!r}, not {b[:2000]!r}")
+
+
+def library_segments(library, keys: list[str], whole: list | None = None, together: int = 50) -> Iterator[tuple[str, bytes]]:
+    """Each key with the library's ids of its segment (int32, as bytes), for a
+    vocabulary without pieces across words or lines: segments stand on lines of
+    one text, and a key's own newline is the line break before it. The ids of
+    these texts are added to ``whole``."""
+    newline = library.encode("\n")[-1]
+    own = np.int32(newline).tobytes()
+    for at in range(0, len(keys), together):
+        part = keys[at : at + together]
+        lines = "".join("\n" + (k[1:] if k[:1] == "\n" else " " + k.replace(SPACE, " ")) for k in part)
+        each = library.encode(lines)
+        if whole is not None:
+            whole.append(each)
+        ids = np.array(each, np.int32)
+        raw, breaks = ids.tobytes(), np.append(np.flatnonzero(ids == newline), len(ids)).tolist()
+        if len(breaks) != len(part) + 1:
+            raise ValueError("the library does not keep line breaks apart")
+        for k, i, j in zip(part, breaks, breaks[1:], strict=False):
+            yield k, (own if k[:1] == "\n" else b"") + raw[4 * i + 4 : 4 * j]
 
 
 _CODEC: dict[int, BpeCodec] = {}
 
 
-def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 400, check_every: int = 1) -> DataFrame:
+def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch_rows: int = 400, check_every: int = 32) -> DataFrame:
     """One row per row of ``df``: the id column, ``ids`` (array<int>) and
     ``decoded`` (string). ``model_path`` is read on the driver and its bytes
-    (under 1 MB) are broadcast. Every ``check_every``-th batch of
-    ``batch_rows`` texts is checked against the library: all by default."""
+    (under 1 MB) are broadcast. All segments are checked against the
+    library, whole texts in every ``check_every``-th batch of ``batch_rows`` texts
+    as well."""
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -259,7 +330,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
             ids = codec.encode(texts)
             decoded = codec.decode(ids)
             if k % check_every == 0:
-                codec.check(texts, ids, decoded)
+                codec.check(texts, ids)
             yield pa.RecordBatch.from_arrays([b.column(0), ids, decoded], [id_col, "ids", "decoded"])
         codec.forget()  # a worker serves other stages after this task
 

@@ -167,17 +167,27 @@ def test_pages_repeat_across_groups(spark):
     assert all(r.text.startswith("unique story") and (r.n_repeated > 0) == (r.page_id < 16) for r in whole)
 
 
-def test_tokens_are_all_checked(frame, monkeypatch):
+def test_all_segments_are_checked(frame, monkeypatch):
     import public_tokenizers
 
+    from cyclewise.llm import sentencepiece_codec as S
+
     docs = frame([(1, "x")])
     monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
-    checked = []
-    monkeypatch.setattr(BpeCodec, "check", lambda self, texts, ids, decoded: checked.extend(texts))
-    texts = [f"text number {i}" for i in range(1000)]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    checked, whole = [], []
+    each, check = S.library_segments, BpeCodec.check
+    monkeypatch.setattr(S, "library_segments", lambda lib, keys, *more: (checked.extend(keys), each(lib, keys, *more))[1])
+    monkeypatch.setattr(BpeCodec, "check", lambda self, texts, ids: (whole.extend(texts), check(self, texts, ids))[1])
+    texts = [f"text number {i}\nand  line {i}" for i in range(1000)]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts})
-    out = list(encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))(iter([batch])))
-    assert checked == texts and sum(b.num_rows for b in out) == 1000
+    out = list(encode_decode(docs, path, check_every=2)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 1000 and whole == texts[:400] + texts[800:]
+    assert sorted(checked) == sorted({"text", "number", "and", "▁line", "\nand"} - {"and"} | {str(i) for i in range(1000)}) and len(checked) == 1004
+    # a difference anywhere raises
+    monkeypatch.setattr(BpeCodec, "encode_many", lambda self, segments: [np.int32([5]).tobytes()] * len(segments))
+    with pytest.raises(ValueError, match="otherwise"):
+        list(encode_decode(docs, path, check_every=10**9)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["new words"]})])))
 
 
 def test_tokens_equal_library(spark, frame):
@@ -198,5 +208,5 @@ def test_tokens_equal_library(spark, frame):
     # the two forms of the agenda agree
     with open(path, "rb") as f:
         codec = BpeCodec(f.read())
-    words = sorted({s for t in texts for s in codec.segments(t or "") if len(s) <= 40}, key=len)
+    words = sorted({s for t in texts for k in codec.keys(t or "") for s in [k if k[:1] == "\n" else "▁" + k] if len(s) <= 40}, key=len)
     assert [np.frombuffer(x, np.int32).tolist() for x in codec.encode_many(words)] == [codec.encode_segment(w) for w in words]
