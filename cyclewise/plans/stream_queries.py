@@ -1,9 +1,9 @@
 """Registered queries: the live path on Structured Streaming (T1–T9, S10,
-S11). Each query lands the reading table (derived from ``events``) as
-time-ordered files, runs the stream with ``availableNow`` to the end and
-returns what the sinks hold. Where the result does not depend on how the
-input was cut into micro-batches, it must equal the batch query, so the
-batch oracle SQL is reused."""
+S11). Each query streams the files of the reading table (derived from
+``events`` and written in parallel, several files a micro-batch, in no order of
+time) with ``availableNow`` to the end and returns what the sinks hold. The
+result does not depend on how the input was cut into micro-batches, so it must
+equal the batch query, and the batch oracle SQL is reused."""
 
 from __future__ import annotations
 
@@ -14,12 +14,15 @@ from ..operators import quality as qa
 from ..operators.stats import feature_stats
 from ..session import table_version
 from ..sources.tables import event_readings, with_timestamp
+from ..streaming import sequence as sq
 from ..streaming import stream as sm
 from .common import with_readings
 from .feature_queries import ROLL_SPEC, SENSORS, _rolling_sql
 from .fleet_queries import ALERT_SPEC, ALERTS_SQL, PREDS_SQL, Z_SQL
-from .quality_queries import RAW_SQL
-from .registry import register
+from .quality_queries import RAW_SQL, validated
+from .registry import REGISTRY, register
+
+COUNTERS = ("total_validated", "validation_errors", "corrections_made")
 
 
 def _readings(spark, sf_dir):
@@ -28,11 +31,28 @@ def _readings(spark, sf_dir):
                     *SENSORS, "setting_1", "RUL")
 
 
-def _source(spark, sf_dir, df=None, slices: int = 4):
-    df = df if df is not None else _readings(spark, sf_dir)
-    path = sm.shared_dir(spark, "source")
-    schema = sm.stage_source(df, path, slices=slices, order="event_time")
-    return sm.reading_stream(spark, path, schema, max_files=1), df
+_SOURCES: dict = {}
+
+
+def _source(spark, sf_dir, df=None):
+    """A stream of the reading table's files (written once per session and
+    input), or of another derived table's, and the table."""
+    if df is not None:
+        return sm.stream_table(df, sm.shared_dir(spark, "source")), df
+    key = (spark.sparkContext.applicationId, *table_version(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+    if key not in _SOURCES:
+        path = sm.shared_dir(spark, "source")
+        _readings(spark, sf_dir).write.parquet(path)
+        _SOURCES[key] = path
+    batch = spark.read.parquet(_SOURCES[key])
+    return sm.reading_stream(spark, _SOURCES[key], batch.schema, max_files=3), batch
+
+
+def _lateness(batch) -> str:
+    """Files of an archive come in no order of time, so that a reading may be
+    late by all the time the table spans."""
+    lo, hi = batch.agg(F.unix_seconds(F.min("event_time")), F.unix_seconds(F.max("event_time"))).first()
+    return f"{(hi or 0) - (lo or 0) + 1} seconds"
 
 
 _TOPIC_RUNS: dict = {}
@@ -98,10 +118,10 @@ def stream_alert_buffer(spark, sf_dir):
 
 def _upsert_run(spark, agg_stream, keys, name):
     root = sm.shared_dir(spark, name)
-    q = (agg_stream.writeStream.outputMode("update").foreachBatch(sm.upsert_log(f"{root}/log"))
+    q = (agg_stream.writeStream.outputMode("update").foreachBatch(sm.upsert_log(root, keys, every=2))
          .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
     sm.run_available(q)
-    return sm.read_upserts(spark, f"{root}/log", keys)
+    return sm.read_upserts(spark, root, keys)
 
 
 @register("stream_topic_counters", "topic:s published:l last_activity:d size:l", with_readings(
@@ -136,14 +156,20 @@ WHERE (nxt IS NOT NULL AND epoch_us(nxt) / 1e6 - epoch_us(ts) / 1e6 > 60)
    OR (nxt IS NULL AND epoch_ms(t_end) > epoch_ms(ts) + 60000)"""), "T6 R9")
 def stream_staleness(spark, sf_dir):
     """Staleness events — one per silence of more than 60 s of event
-    time, from gaps between readings or from event-time timers."""
-    stream, _ = _source(spark, sf_dir)
+    time, from gaps between readings, event-time timers and, for engines that
+    are silent when the table ends, the stream's state."""
+    stream, batch = _source(spark, sf_dir)
     root = sm.shared_dir(spark, "stale")
-    q = (sm.staleness_events(stream, watermark="0 seconds").writeStream.outputMode("append").format("parquet")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(availableNow=True).start())
-    sm.run_available(q)
-    return spark.read.schema(sm.STALE_SCHEMA).parquet(f"{root}/out")
+    _to_end(sq.staleness_events(stream, watermark=_lateness(batch)), root)
+    now = batch.agg(F.max("timestamp")).first()[0]
+    told = spark.read.schema(sq.STALE_SCHEMA).parquet(f"{root}/out")
+    return told.unionByName(sq.open_silences(spark, f"{root}/_checkpoint", now)) if now is not None else told
+
+
+def _to_end(out, root):
+    """Run an append-mode stream into ``root/out`` until its input ends."""
+    sm.run_available(out.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+                     .option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
 
 
 def _validated_readings(spark, sf_dir):
@@ -184,12 +210,9 @@ def stream_error_guard(spark, sf_dir):
     df = _validated_readings(spark, sf_dir)
     stream, _ = _source(spark, sf_dir, df)
     root = sm.shared_dir(spark, "guard")
-    q = (sm.error_run_guard(stream).writeStream.outputMode("append").format("parquet")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(availableNow=True).start())
-    sm.run_available(q)
-    out = spark.read.schema(sm.guard_schema(df)).parquet(f"{root}/out")
-    return out.select("event_id", "engine_id", "cycle", "is_valid", "delivered")
+    out = sq.error_run_guard(stream, watermark=_lateness(df))
+    _to_end(out, root)
+    return spark.read.schema(out.schema).parquet(f"{root}/out").select("event_id", "engine_id", "cycle", "is_valid", "delivered")
 
 
 @register("stream_health_windows", "window_start:d total:l errors:l issue:s", with_readings(
@@ -203,7 +226,7 @@ def stream_health_windows(spark, sf_dir):
     """Health issues (error rate > 5 %) per day of event time."""
     df = _validated_readings(spark, sf_dir)
     stream, _ = _source(spark, sf_dir, df)
-    out = _upsert_run(spark, sm.health_windows(stream), ["window_start"], "health")
+    out = _upsert_run(spark, sm.health_windows(stream, watermark=_lateness(df)), ["window_start"], "health")
     return out.withColumn("window_start", F.unix_micros("window_start") / 1e6)
 
 
@@ -228,11 +251,20 @@ def stream_degradation(spark, sf_dir):
 
 
 def _rolling_run(spark, sf_dir):
-    stream, _ = _source(spark, sf_dir)
+    stream, batch = _source(spark, sf_dir)
     root = sm.shared_dir(spark, "rolling")
-    q = (sm.rolling_stream(stream, SENSORS).writeStream.outputMode("append").format("parquet")
-         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint")
-         .trigger(availableNow=True).start())
+    out = sq.rolling_stream(stream, SENSORS, watermark=_lateness(batch))
+    _to_end(out, root)
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@register("stream_validation_counters", "total_validated:l validation_errors:l corrections_made:l", REGISTRY["validation_counters"].sql, "Q7 A16")
+def stream_validation_counters(spark, sf_dir):
+    """Q7 on a stream: counters observed on the way to the sink and taken from
+    the query's progress (equal to the batch counters)."""
+    stream, _ = _source(spark, sf_dir, validated(spark, sf_dir).select("event_id", "is_valid", "n_corrections"))
+    root = sm.shared_dir(spark, "observed")
+    q = (sm.observed(stream).writeStream.format("noop").option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
     sm.run_available(q)
-    return spark.read.schema(sm.rolling_schema(SENSORS)).parquet(f"{root}/out")
-
+    t = sm.Progress().update(q).totals
+    return spark.createDataFrame([tuple(int(t.get(c, 0)) for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))

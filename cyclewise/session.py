@@ -42,8 +42,7 @@ def get_session(master: str | None = None, app: str = "cyclewise", conf: dict |
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
+    return apply_runtime_conf(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -67,6 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 # else built (the driver's, a notebook's).
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",  # TIMESTAMP_NTZ → epoch seconds must not shift
+    # list state, timers and the state reader of the stream operators need it
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

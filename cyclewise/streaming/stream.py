@@ -10,38 +10,29 @@
 * T3: each topic also keeps a bounded buffer of its latest N messages,
   rewritten per batch from (buffer ∪ batch) — never more than N + batch rows.
 * T4 / T5 / T8: state-store aggregations in update mode; changed keys are
-  appended to an upsert log (key, values, batch_id) and readers take the
-  newest row per key — no rewrite of the whole table per batch.
-* T6 / T7 / T9: per-engine state with ``applyInPandasWithState`` (bounded:
-  one timer, one counter, or the last 19 rows + first values per engine).
+  appended to an upsert log and readers take the newest row per key — no rewrite
+  of the whole table per batch, and the log is compacted every few batches.
+* T6 / T7 / T9: see :mod:`.sequence`. Q7 / A16: counters observed on the way.
 
 Checkpoints and sink tables live under the session's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import sys
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import rules as ru
-from ..operators.features import ROLLING_STATS, ROLLING_WINDOWS
 from ..schema import CYCLE, ENGINE
 from ..session import ensure_checkpoint_dir
 
 TOPICS = ("sensor_data", "anomaly_alerts", "rul_predictions", "system_events")
 TOPIC_BOUND = 1000
-IDLE_SECONDS = 60
-MAX_CONSECUTIVE_ERRORS = 5
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -58,19 +49,12 @@ def reading_stream(spark: SparkSession, path: str, schema: T.StructType, max_fil
             .option("latestFirst", "false").parquet(path))
 
 
-def stage_source(df: DataFrame, path: str, slices: int = 4, order: str = "ts") -> T.StructType:
-    """Test / replay helper: land ``df`` in ``path`` as ``slices`` time-ordered
-    files, written one after another so a file source reads them in time
-    order (the replay the reference does by sleeping). Returns the schema."""
-    bounds = df.agg(F.min(F.unix_micros(F.col(order).cast("timestamp"))).alias("lo"),
-                    F.max(F.unix_micros(F.col(order).cast("timestamp"))).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = max(1, (hi - lo) // slices + 1)
-    sliced = df.withColumn("_slice", F.floor((F.unix_micros(F.col(order).cast("timestamp")) - lo) / step))
-    for i in range(slices):
-        (sliced.where(F.col("_slice") == i).drop("_slice").coalesce(1)
-         .write.mode("append").parquet(path))
-    return df.schema
+def stream_table(df: DataFrame, path: str, max_files: int = 3) -> DataFrame:
+    """S10 over a table that is derived first: written once as Parquet files,
+    in parallel and in no order, and read as a stream of ``max_files`` files a
+    micro-batch. Rows without an event time come along."""
+    df.write.mode("error").parquet(path)
+    return reading_stream(df.sparkSession, path, df.schema, max_files)
 
 
 def run_available(query) -> None:
@@ -158,23 +142,72 @@ def live_outputs(stats: DataFrame, sensors: Sequence[str]) -> dict[str, Callable
 
 # ---------------------------------------------------------------- upsert log
 
-
-def upsert_log(root: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink for update-mode aggregates: changed keys of batch
-    n go to ``root/batch_id=n`` (overwrite → idempotent)."""
+#: batches between two compactions of an upsert log
+COMPACT_EVERY = 10
+
+
+def _numbers(spark: SparkSession, root: str, prefix: str) -> list[int]:
+    """The n of complete folders ``root/<prefix>=n`` (with a _SUCCESS mark), in
+    order, on whatever store ``root`` is."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    found = [int(n[len(prefix) + 1 :]) for n in names if n.startswith(f"{prefix}=")]
+    return sorted(n for n in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{prefix}={n}/_SUCCESS")))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _newest(spark: SparkSession, root: str, keys: Sequence[str], upto: int | None = None) -> DataFrame | None:
+    """Newest row per key of the newest base and the log after it, both no
+    later than batch ``upto``."""
+    bases = [n for n in _numbers(spark, f"{root}/base", "upto") if upto is None or n < upto]
+    after = bases[-1] if bases else -1
+    logs = [n for n in _numbers(spark, f"{root}/log", "batch") if n > after and (upto is None or n <= upto)]
+    parts = [spark.read.parquet(f"{root}/base/upto={after}")] if bases else []
+    if logs:
+        parts.append(spark.read.parquet(*[f"{root}/log/batch={n}" for n in logs]))
+    if not parts:
+        return None
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    values = [c for c in both.columns if c not in set(keys)]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
+
+
+def upsert_log(root: str, keys: Sequence[str], every: int = COMPACT_EVERY) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink for update-mode aggregates. Changed keys of batch n
+    go to ``log/batch=n``; after each ``every`` batches the newest row per key of
+    the last base and the log since goes to ``base/upto=n``, and what the base
+    before that one covers is removed. Two generations stay, so a batch that is
+    killed and runs again finds its input, writes the same (overwrite), and at
+    most ``2 * every`` batches and two bases are ever kept. A folder counts
+    once it is complete."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{root}/log/batch={batch_id}")
+        if (batch_id + 1) % every == 0:
+            _newest(spark, root, keys, batch_id).write.mode("overwrite").parquet(f"{root}/base/upto={batch_id}")
+            bases = [n for n in _numbers(spark, f"{root}/base", "upto") if n < batch_id]
+            if bases:
+                for n in _numbers(spark, f"{root}/log", "batch"):
+                    if n <= bases[-1]:
+                        _remove(spark, f"{root}/log/batch={n}")
+                for n in bases[:-1]:
+                    _remove(spark, f"{root}/base/upto={n}")
 
     return write
 
 
 def read_upserts(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
-    """Newest value per key from an upsert log (one partial aggregate)."""
-    log = spark.read.parquet(root)
-    vals = [c for c in log.columns if c not in set(keys) | {"batch_id"}]
-    agg = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v"))
-    return agg.select(*keys, "_v.*")
+    """Newest value per key (one partial aggregate)."""
+    return _newest(spark, root, keys).drop("_batch")
 
 
 def topic_counters(published: DataFrame) -> DataFrame:
@@ -197,167 +230,44 @@ def health_windows(validated: DataFrame, ts: str = "event_time", width: str = "1
                       ru.error_rate_issue(F.col("errors"), F.col("total")).alias("issue"))
 
 
-# ---------------------------------------------------------------- T6: staleness timers
-
-STALE_SCHEMA = T.StructType([T.StructField(ENGINE, T.LongType()), T.StructField("last_seen", T.DoubleType()),
-                             T.StructField("issue", T.StringType())])
-STALE_STATE = T.StructType([T.StructField("last_seen", T.DoubleType())])
-
-
-def staleness_events(readings: DataFrame, ts: str = "event_time", limit_s: int = IDLE_SECONDS,
-                     *, watermark: str) -> DataFrame:
-    """One event per silence — an engine with no reading for more than
-    ``limit_s`` seconds of event time. A silence is seen either as a gap
-    between two readings of the engine (sorted inside the batch, or against
-    the last reading kept in state) or, when no later reading comes, by the
-    event-time timer re-armed at every reading; so the events do not depend
-    on how the input is cut into micro-batches. State: one double per engine."""
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        issue = f"No streaming activity in last {limit_s} seconds"
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({ENGINE: [key[0]], "last_seen": [last], "issue": [issue]})
-            return
-        last = state.get[0] if state.exists else None
-        silent = []
-        times = np.sort(np.concatenate([pdf["timestamp"].to_numpy(dtype=float) for pdf in pdfs]))
-        for t in times:
-            if last is not None and t - last > limit_s:
-                silent.append(last)
-            last = t if last is None else max(last, t)
-        state.update((float(last),))
-        state.setTimeoutTimestamp(int(np.floor(last * 1000)) + limit_s * 1000)
-        yield pd.DataFrame({ENGINE: pd.Series([key[0]] * len(silent), dtype="int64"),
-                            "last_seen": pd.Series(silent, dtype="float64"),
-                            "issue": pd.Series([issue] * len(silent), dtype="object")})
-
-    return (readings.withWatermark(ts, watermark).groupBy(ENGINE)
-            .applyInPandasWithState(fn, STALE_SCHEMA, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
-
-
-# ---------------------------------------------------------------- T7: error-run guard
-
-GUARD_STATE = T.StructType([T.StructField("run", T.LongType()), T.StructField("dropped", T.BooleanType())])
-
-
-def guard_schema(df: DataFrame) -> T.StructType:
-    return T.StructType(list(df.schema.fields) + [T.StructField("delivered", T.BooleanType())])
-
-
-def error_run_guard(readings: DataFrame, max_errors: int = MAX_CONSECUTIVE_ERRORS, flag: str = "is_valid") -> DataFrame:
-    """Stop an engine after more than ``max_errors`` consecutive invalid
-    readings (a valid reading resets the count). Every reading comes out with
-    ``delivered`` = valid and the engine still live. State: run length and
-    a dropped flag per engine; readings are ordered by cycle inside a batch."""
-    out_schema = guard_schema(readings)
-    cols = readings.columns
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, dropped = state.get if state.exists else (0, False)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(CYCLE, kind="stable")
-        delivered = np.zeros(len(pdf), dtype=bool)
-        for i, ok in enumerate(pdf[flag].to_numpy()):
-            if dropped:
+# ---------------------------------------------------------------- Q7, A16 on a stream
+
+
+def observed(validated: DataFrame, name: str = "validation") -> DataFrame:
+    """Q7: the validation counters observed on the way (``Dataset.observe``), so
+    that a stream's progress carries them without a second pass."""
+    return validated.observe(
+        name,
+        F.count(F.lit(1)).alias("total_validated"),
+        F.count_if(~F.col("is_valid")).alias("validation_errors"),
+        F.coalesce(F.sum("n_corrections"), F.lit(0)).alias("corrections_made"),
+    )
+
+
+class Progress:
+    """Running totals of a query's progress reports (Q7, A16): observed counters,
+    input rows and the time its batches took. ``update`` takes in the reports
+    that the query still keeps and counts each batch once, so call it at least
+    every ``spark.sql.streaming.numRecentProgressUpdates`` batches."""
+
+    def __init__(self, name: str = "validation"):
+        self.name, self.batch = name, -1
+        self.totals: dict[str, int] = {}
+        self.rows, self.millis = 0, 0
+
+    def update(self, query) -> Progress:
+        for p in query.recentProgress:
+            if p.batchId <= self.batch:
                 continue
-            if ok:
-                run = 0
-                delivered[i] = True
-            else:
-                run += 1
-                if run > max_errors:
-                    dropped = True
-        state.update((int(run), bool(dropped)))
-        pdf = pdf[cols].copy()
-        pdf["delivered"] = delivered
-        yield pdf
-
-    return readings.groupBy(ENGINE).applyInPandasWithState(fn, out_schema, GUARD_STATE, "append",
-                                                           GroupStateTimeout.NoTimeout)
-
-
-# ---------------------------------------------------------------- T9: rolling features
-
-
-def rolling_schema(sensors: Sequence[str], windows=ROLLING_WINDOWS, stats=ROLLING_STATS) -> T.StructType:
-    fields = [T.StructField(ENGINE, T.LongType()), T.StructField(CYCLE, T.LongType())]
-    fields += [T.StructField(f"{s}_rolling_{st}_{n}", T.DoubleType()) for n in windows for s in sensors for st in stats]
-    fields += [T.StructField(f"{s}_trend", T.DoubleType()) for s in sensors]
-    fields += [T.StructField(f"{s}_diff", T.DoubleType()) for s in sensors]
-    return T.StructType(fields)
-
-
-def rolling_state_schema(sensors: Sequence[str]) -> T.StructType:
-    fields = [T.StructField("cycles", T.ArrayType(T.LongType()))]
-    fields += [T.StructField(f"tail_{s}", T.ArrayType(T.DoubleType())) for s in sensors]
-    fields += [T.StructField(f"first_{s}", T.DoubleType()) for s in sensors]
-    return T.StructType(fields)
-
-
-def _window_stats(values: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Trailing-window mean / sample std / max / min with min_periods 1
-    (NaN = missing, skipped); std of fewer than two values is 0."""
-    m = len(values)
-    pad = np.concatenate([np.full(n - 1, np.nan), values])
-    win = np.lib.stride_tricks.sliding_window_view(pad, n)[:m]
-    valid = ~np.isnan(win)
-    cnt = valid.sum(axis=1)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        total = np.where(valid, win, 0.0).sum(axis=1)
-        mean = np.where(cnt > 0, total / np.maximum(cnt, 1), np.nan)
-        dev = np.where(valid, win - mean[:, None], 0.0)
-        var = (dev * dev).sum(axis=1) / np.maximum(cnt - 1, 1)
-        std = np.where(cnt > 1, np.sqrt(var), 0.0)
-        mx = np.where(cnt > 0, np.nanmax(np.where(valid, win, -np.inf), axis=1), np.nan)
-        mn = np.where(cnt > 0, np.nanmin(np.where(valid, win, np.inf), axis=1), np.nan)
-    fill = lambda a: np.where(np.isnan(a), 0.0, a)  # noqa: E731  (reference fills NaN with 0)
-    return {"mean": fill(mean), "std": std, "max": fill(mx), "min": fill(mn)}
-
-
-def rolling_stream(readings: DataFrame, sensors: Sequence[str], windows=ROLLING_WINDOWS) -> DataFrame:
-    """W1–W4, W7 and W8 on a stream. Per engine the state keeps the last
-    ``max(windows) - 1`` readings and the first value of each sensor, so each
-    new reading is computed exactly as the batch windows would."""
-    sensors = list(sensors)
-    keep = max(windows) - 1
-    out_schema = rolling_schema(sensors, windows)
-    state_schema = rolling_state_schema(sensors)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(pdfs), ignore_index=True).sort_values(CYCLE, kind="stable")
-        if state.exists:
-            st = state.get
-            cycles = list(st[0])
-            tails = {s: list(st[1 + i]) for i, s in enumerate(sensors)}
-            firsts = {s: st[1 + len(sensors) + i] for i, s in enumerate(sensors)}
-        else:
-            cycles, tails = [], {s: [] for s in sensors}
-            firsts = {s: (None if pd.isna(new[s].iloc[0]) else float(new[s].iloc[0])) for s in sensors}
-            firsts = {s: (np.nan if v is None else v) for s, v in firsts.items()}
-        h = len(cycles)
-        out = {ENGINE: np.full(len(new), key[0], dtype="int64"), CYCLE: new[CYCLE].to_numpy(dtype="int64")}
-        full = {s: np.concatenate([np.array(tails[s], dtype=float), new[s].to_numpy(dtype=float)]) for s in sensors}
-        for n in windows:
-            for s in sensors:
-                res = _window_stats(full[s], n)
-                for stat in ROLLING_STATS:
-                    out[f"{s}_rolling_{stat}_{n}"] = res[stat][h:]
-        for s in sensors:
-            out[f"{s}_trend"] = full[s][h:] - (firsts[s] if firsts[s] is not None else np.nan)
-        for s in sensors:
-            prev = np.concatenate([[np.nan], full[s][:-1]])[h:]
-            d = full[s][h:] - prev
-            out[f"{s}_diff"] = np.where(np.isnan(d), 0.0, d)
-        all_cycles = cycles + new[CYCLE].astype("int64").tolist()
-        state.update(tuple([all_cycles[-keep:]] + [full[s][-keep:].tolist() for s in sensors]
-                           + [firsts[s] for s in sensors]))
-        yield pd.DataFrame(out)[[f.name for f in out_schema.fields]]
-
-    return readings.groupBy(ENGINE).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                           GroupStateTimeout.NoTimeout)
-
-
-# Stateful functions run in Python workers; ship this module's code with them
-# so executors do not need the package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+            self.batch = p.batchId
+            self.rows += p.numInputRows
+            self.millis += p.batchDuration
+            row = p.observedMetrics.get(self.name)
+            if row is not None:
+                for k, v in row.asDict().items():
+                    self.totals[k] = self.totals.get(k, 0) + (v or 0)
+        return self
+
+    def rate(self) -> float:
+        """Input rows a second of processing."""
+        return 1000 * self.rows / self.millis if self.millis else 0.0
