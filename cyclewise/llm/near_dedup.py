@@ -26,9 +26,9 @@ reach.
    that members of different components share count; a member with fewer of them
    than it needs is done with c, and of the others only a prefix in order of
    rarity is kept, as in a prefix-filtered join. (centre, extra) is the bucket
-   of the next level. Where a bucket of m members holds at most ``SMALL`` * m pairs
+   of the next level. Where a bucket of m members holds at most ``MEET`` * m pairs
    of different components, these meet; other buckets get their smallest set as
-   centre again, which then leaves. So every bucket costs at most ``SMALL`` pairs a
+   centre again, which then leaves. So a bucket costs a bounded number of pairs a
    member whatever its size, and a group of g near copies about g comparisons a
    band, not g * g. Levels go on until no pair is left.
 7. *Components* by repeated minimum labels over the links. Links of later levels
@@ -49,6 +49,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,9 @@ BANDS, ROWS = 40, 6
 BASE, RATE = 1.1, 20.0
 #: factor (as a logarithm) by which a similarity must be unlikelier to be ruled out
 MARGIN = 16.0
-#: pairs a member up to which the components of a bucket meet at later levels
-SMALL = 8
+#: pairs a member up to which the components of a bucket meet at the second,
+#: third and every later level, as fewer members are left
+MEET = (2, 16, 128)
 MEMO = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
@@ -228,7 +230,7 @@ def centre_pairs(members: DataFrame, keys: list[str], least: int = 2) -> DataFra
     return pairs.groupBy("a", F.col("centre").alias("b")).agg(F.max("crowd").alias("crowd"))
 
 
-def next_pairs(crowded: DataFrame, label: DataFrame) -> DataFrame:
+def next_pairs(crowded: DataFrame, label: DataFrame, meet_most: int) -> DataFrame:
     """Pairs that a level leaves open, as (a, b, crowd), from the members that
     were compared with its centres."""
     crowded = crowded.join(label.toDF("a", "comp"), "a", "left").select(F.col("a").alias("vid"), "n", "b", F.coalesce("comp", "a").alias("comp"), "need", "extras")
@@ -241,7 +243,7 @@ def next_pairs(crowded: DataFrame, label: DataFrame) -> DataFrame:
     members = materialise(members.where(F.col("rank") <= F.col("have") - F.col("need") + 1).select("vid", "n", "comp", "b", "extra", "size"), "near-members")
     per = members.groupBy("b", "extra", "comp").agg(F.count("*").alias("k"))
     bucket = per.groupBy("b", "extra").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "comp"))["comp"].alias("major"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    placed = members.drop("size").join(bucket.select("b", "extra", "major", (F.col("all") * F.col("all") - F.col("same") <= 2 * SMALL * F.col("all")).alias("few")), ["b", "extra"])
+    placed = members.drop("size").join(bucket.select("b", "extra", "major", (F.col("all") * F.col("all") - F.col("same") <= 2 * meet_most * F.col("all")).alias("few")), ["b", "extra"])
     # one side without the bucket's largest component, so that its members don't even meet
     one, two = (placed.where(c).select("b", "extra", F.col("vid").alias(v), F.col("comp").alias(w)) for c, v, w in (("few AND comp != major", "x", "cx"), ("few", "y", "cy")))
     meet = one.join(two, ["b", "extra"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).cast("long").alias("crowd"))
@@ -313,15 +315,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     crowded = proven.where(F.col("crowd") > 2)
     edges = proven.where("linked").select("a", "b")
     label = group_labels(edges)
-    while True:
+    for level in count():
         # a pair met in a bucket of two has no extras yet
-        fresh = next_pairs(crowded, label).join(seen, ["a", "b"], "left").where(F.col("met").isNull() | ((F.col("met") == 2) & (F.col("crowd") > 2)))
+        fresh = next_pairs(crowded, label, MEET[min(level, len(MEET) - 1)]).join(seen, ["a", "b"], "left").where(F.col("met").isNull() | ((F.col("met") == 2) & (F.col("crowd") > 2)))
         pairs = materialise(fresh.select("a", "b", "crowd"), "near-pairs")
         left, centres = pairs.agg(F.count("*"), F.count(F.when(F.col("crowd") > 2, 1))).first()
         if left:
             found = prove(pairs, vertices, shingle, threshold)
             proven = proven.unionByName(found)
-            seen = seen.unionByName(pairs.select("a", "b", F.col("crowd").alias("met"))).groupBy("a", "b").agg(F.max("met").alias("met"))
+            seen = materialise(seen.unionByName(pairs.select("a", "b", F.col("crowd").alias("met"))).groupBy("a", "b").agg(F.max("met").alias("met")), "near-seen")
             edges = materialise(edges.unionByName(contracted(found.where("linked").select("a", "b"), label)), "near-links")
         if not centres:  # every bucket was small: all its pairs have met
             break
