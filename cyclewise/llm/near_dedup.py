@@ -26,7 +26,8 @@ reach.
    that members of different components share count; a member with fewer of them
    than it needs is done with c, and of the others only a prefix in order of
    rarity is kept, as in a prefix-filtered join. (centre, extra) is the bucket
-   of the next level. Where a bucket of m members holds at most ``MEET`` * m pairs
+   of the next level; of a centre's buckets with the same members (known by
+   count and a 128-bit hash) one is enough. Where a bucket of m members holds at most ``MEET`` * m pairs
    of different components, these meet; other buckets get their smallest set as
    centre again, which then leaves. So a bucket costs a bounded number of pairs a
    member whatever its size, and a group of g near copies about g comparisons a
@@ -241,8 +242,11 @@ def next_pairs(crowded: DataFrame, label: DataFrame, meet_most: int) -> DataFram
     own = Window.partitionBy("b", "vid")
     members = each.join(shared, ["b", "extra"]).withColumn("have", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("size", "extra")))
     members = materialise(members.where(F.col("rank") <= F.col("have") - F.col("need") + 1).select("vid", "n", "comp", "b", "extra", "size"), "near-members")
-    per = members.groupBy("b", "extra", "comp").agg(F.count("*").alias("k"))
-    bucket = per.groupBy("b", "extra").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "comp"))["comp"].alias("major"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    one, two = F.bit_xor(F.xxhash64("vid")), F.bit_xor(F.xxhash64(F.lit("k"), "vid"))
+    per = members.groupBy("b", "extra", "comp").agg(F.count("*").alias("k"), one.alias("x"), two.alias("y"))
+    bucket = per.groupBy("b", "extra").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "comp"))["comp"].alias("major"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("low < high")
+    # shingles of one passage have the same members: one of them stands for all
+    bucket = bucket.groupBy("b", "all", "x", "y").agg(F.min(F.struct("extra", "same", "major")).alias("s")).select("b", "all", "s.*")
     placed = members.drop("size").join(bucket.select("b", "extra", "major", (F.col("all") * F.col("all") - F.col("same") <= 2 * meet_most * F.col("all")).alias("few")), ["b", "extra"])
     # one side without the bucket's largest component, so that its members don't even meet
     one, two = (placed.where(c).select("b", "extra", F.col("vid").alias(v), F.col("comp").alias(w)) for c, v, w in (("few AND comp != major", "x", "cx"), ("few", "y", "cy")))
