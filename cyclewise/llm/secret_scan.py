@@ -83,7 +83,7 @@ def _role(kind: Column) -> Column:
 
 def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400) -> DataFrame:
     """One row per row of ``df``: the id column and ``spans``, an array of
-    (kind, start, end): base kinds by start, then linked weak ones."""
+    (kind, start, end): base kinds and linked weak ones by start, then kind."""
     found = materialise(parts(df, id_col, text_col), "secret-parts")
     # only documents with a weak candidate have anything to link
     each = (
@@ -108,4 +108,4 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope
     def sort(c: Column) -> Column:
         return F.transform(F.array_sort(F.transform(c, by_start)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    return out.select(id_col, F.concat(sort(F.col("_base")), sort(F.coalesce("_linked", F.array().cast(SPAN)))).alias("spans"))
+    return out.select(id_col, sort(F.concat("_base", F.coalesce("_linked", F.array().cast(SPAN)))).alias("spans"))

@@ -78,7 +78,14 @@ def test_secrets_match_brute_force(frame):
     assert len(rows) == len(texts)
     for r in rows:
         got = [tuple(s) for s in r.spans]
-        assert got == base_secrets(texts[r.doc_id]) + linked(texts[r.doc_id])
+        kinds = [*S.BASE, *S.WEAK]
+        assert got == sorted(base_secrets(texts[r.doc_id]) + linked(texts[r.doc_id]), key=lambda s: (s[1], kinds.index(s[0])))
+
+
+def test_secrets_interleave_by_start(frame):
+    text = "client_id=abcdefgh then token=abcdef12 host: a.example.com "
+    (row,) = S.secrets(frame([(1, text)])).collect()
+    assert [tuple(s) for s in row.spans] == [("weak_id", 0, 18), ("assign", 24, 38), ("weak_endpoint", 39, 58)]
 
 
 def test_secrets_edges(frame):
