@@ -13,7 +13,10 @@ reach.
 2. *Copies* (equal word sequences) become one vertex, known by a 128-bit hash.
 3. *Bands.* Vertices that agree in all registers of a band share a bucket. A
    bucket is not expanded into pairs: each member meets only the bucket's
-   smallest set, its centre.
+   smallest set, its centre, and its hub, the member with most company over all
+   its buckets. An original is closer to its copies than they are to each other,
+   so it shares most buckets and becomes their hub; most of a group of copies is
+   thus one component at once, and what is left for the later levels is small.
 4. *Likelihood.* For a bucket of two, the similarity is estimated jointly from
    the numbers of larger, smaller and equal registers and the set sizes; a
    pair for which ``threshold`` is less likely than the best estimate by a
@@ -221,14 +224,28 @@ def prove(pairs: DataFrame, vertices: DataFrame, shingle: int, threshold: float)
 
 
 def centre_pairs(members: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
-    """(a, b, crowd): each member of a bucket with the bucket's smallest set;
-    the same pair from several buckets is one."""
-    centres = members.groupBy(*keys).agg(F.count("*").alias("crowd"), F.min(F.struct("n", "vid")).alias("c")).where(F.col("crowd") > 1)
+    """(a, b, crowd): each member of a bucket with the bucket's centre, its
+    smallest set, and as a pair of its own (crowd 2) with the bucket's hub, the
+    member that has most company over all its buckets. The same pair from
+    several buckets is one. Among the smallest the one with most company is
+    centre."""
+    crowds = members.groupBy(*keys).agg(F.count("*").alias("crowd")).where("crowd > 1")
+    placed = materialise(members.select("vid", "n", *keys).join(crowds, keys), "near-placed")
+    company = placed.where("crowd > 2").groupBy("vid").agg(F.sum("crowd").alias("company"))
+    placed = placed.join(company, "vid", "left").withColumn("company", F.coalesce("company", F.lit(0)))
+    best = [F.min(F.struct("n", -F.col("company"), "vid"))["vid"].alias("centre"), F.max(F.struct("company", "vid"))["vid"].alias("hub")]
+    placed = placed.join(placed.groupBy(*keys).agg(*best), keys)
     # at a later level a bucket keeps its extras even when a pair is left of it
-    crowd = F.greatest("crowd", F.lit(least)).alias("crowd")
-    centres = centres.select(*keys, F.col("c.vid").alias("centre"), crowd)
-    pairs = members.select(*keys, F.col("vid").alias("a")).join(centres, keys).where(F.col("a") != F.col("centre"))
-    return pairs.groupBy("a", F.col("centre").alias("b")).agg(F.max("crowd").alias("crowd"))
+    to_centre = placed.select(F.col("vid").alias("a"), F.col("centre").alias("b"), F.greatest("crowd", F.lit(least)).alias("crowd"))
+    to_hub = placed.where("crowd > 2").select(F.col("vid").alias("a"), F.col("hub").alias("b"), F.lit(2).cast("long").alias("crowd"))
+    return to_centre.unionByName(to_hub).where("a != b").groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+
+
+def meeting(placed: DataFrame) -> DataFrame:
+    """Pairs of members of different components in the buckets that have few."""
+    # one side without the bucket's largest component, so that its members don't even meet
+    one, two = (placed.where(c).select("b", "extra", F.col("vid").alias(v), F.col("comp").alias(w)) for c, v, w in (("few AND comp != major", "x", "cx"), ("few", "y", "cy")))
+    return one.join(two, ["b", "extra"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).cast("long").alias("crowd"))
 
 
 def next_pairs(crowded: DataFrame, label: DataFrame, meet_most: int) -> DataFrame:
@@ -248,11 +265,8 @@ def next_pairs(crowded: DataFrame, label: DataFrame, meet_most: int) -> DataFram
     # shingles of one passage have the same members: one of them stands for all
     bucket = bucket.groupBy("b", "all", "x", "y").agg(F.min(F.struct("extra", "same", "major")).alias("s")).select("b", "all", "s.*")
     placed = members.drop("size").join(bucket.select("b", "extra", "major", (F.col("all") * F.col("all") - F.col("same") <= 2 * meet_most * F.col("all")).alias("few")), ["b", "extra"])
-    # one side without the bucket's largest component, so that its members don't even meet
-    one, two = (placed.where(c).select("b", "extra", F.col("vid").alias(v), F.col("comp").alias(w)) for c, v, w in (("few AND comp != major", "x", "cx"), ("few", "y", "cy")))
-    meet = one.join(two, ["b", "extra"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).cast("long").alias("crowd"))
     many = centre_pairs(placed.where("NOT few"), ["b", "extra"], least=3)
-    return meet.unionByName(many).groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    return meeting(placed).unionByName(many).groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
 
 
 def _neighbours(edges: DataFrame) -> DataFrame:
