@@ -112,7 +112,7 @@ def find(text: str, anchors) -> list[tuple[str, int, int]]:
                     add("phone", at, phone_end)
         elif kind == "login":
             start = at
-            while start > 0 and at - start < 20 and text[start - 1] in SCHEME:
+            while start > 0 and text[start - 1] in SCHEME:
                 start -= 1
             if start < at and (m := _userinfo(text, at + 3)):
                 add("login", start, m.end())

@@ -45,6 +45,11 @@ def test_personal_added_kinds():
     assert not P.find("IBAN GB83 WEST 1234 5698 7654 32, SSN 000-45-6789", P.automaton())
 
 
+def test_long_scheme_is_whole():
+    url = "s" * 200 + "://me:pw@h.org"
+    assert ("login", 3, 3 + len(url)) in P.find("at " + url, P.automaton())
+
+
 def test_personal_edges(frame):
     rows = P.personal_data(frame(EDGES)).collect()
     assert len(rows) == len(EDGES)
@@ -88,6 +93,15 @@ def test_secrets_interleave_by_start(frame):
     assert [tuple(s) for s in row.spans] == [("weak_id", 0, 18), ("assign", 24, 38), ("weak_endpoint", 39, 58)]
 
 
+def test_long_identifiers_and_endpoints_are_whole(frame):
+    parts = ["client_id=" + "x" * 300, "token=abcdef12", "host: " + "y" * 80 + ".z" * 5000 + ":123456"]
+    texts = [" ".join(parts), parts[0], parts[2]]
+    rows = S.secrets(frame(list(enumerate(texts)))).collect()
+    spans = {r.doc_id: [tuple(s) for s in r.spans] for r in rows}
+    a, b = len(parts[0]), len(parts[0]) + 1 + len(parts[1])
+    assert spans == {0: [("weak_id", 0, a), ("assign", a + 1, b), ("weak_endpoint", b + 1, len(texts[0]))], 1: [], 2: []}
+
+
 def test_secrets_edges(frame):
     rows = S.secrets(frame([(None, None), (1, "token = abcdefgh"), (1, "token = abcdefgh"), (1, "client_id=abcdefgh")])).collect()
     assert sorted(len(r.spans) for r in rows) == [0, 0, 1, 1]  # a weak part alone is not reported
