@@ -39,9 +39,9 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 #: runs of one character class are maximal, so the length can stand in the pattern
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-WEAK_ID = r"(?i:client|account|access|tenant|user)[_-]?(?i:id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{6,64}"
+WEAK_ID = r"(?i:client|account|access|tenant|user)[_-]?(?i:id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{6,}"
 WEAK_KEY = r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[0-9])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+_=-])"
-WEAK_ENDPOINT = r"(?i:endpoint|host|base_?url|server)[\"']?\x20*[:=]\x20*[\"']?(?:https?://)?[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?::[0-9]{1,5})?"
+WEAK_ENDPOINT = r"(?i:endpoint|host|base_?url|server)[\"']?\x20*[:=]\x20*[\"']?(?:https?://)?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?::[0-9]+)?"
 #: what a text must hold for a pattern to be worth the scan
 ROLES = {"assign": "secret", "hex": "secret", "weak_key": "secret", "access": "identifier", "weak_id": "identifier", "weak_endpoint": "endpoint"}
 NEEDS = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
