@@ -20,8 +20,10 @@ one interval are always in reach; of a neighbour the last (or first) start
 decides. So a document with any number of parts costs three small rows per
 part, and no pairs are made.
 
-Everything is built-in expressions. Texts are scanned once; the parts, a small
-table, are written before they are joined, under a row number of that table, so
+Everything is built-in expressions. Texts are read once; each of the six
+patterns tests a text, and goes over it twice or three times more if it holds a
+match. Positions are blocked running sums of lengths, so a text may hold any
+number of matches. The parts, a small table, are written before they are joined, under a row number of that table, so
 repeated rows and null ids stay apart. Null text counts as empty and has no
 spans. Only the id column is carried along, so extra columns cannot clash.
 """
@@ -42,39 +44,65 @@ HEX = r"[0-9a-f]{24,}+"
 WEAK_ID = r"(?i:client|account|access|tenant|user)[_-]?(?i:id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_-]{6,}"
 WEAK_KEY = r"(?<![A-Za-z0-9/+_=-])(?=[A-Za-z0-9/+]{0,39}[a-z])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[0-9])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+_=-])"
 WEAK_ENDPOINT = r"(?i:endpoint|host|base_?url|server)[\"']?\x20*[:=]\x20*[\"']?(?:https?://)?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?::[0-9]+)?"
-#: what a text must hold for a pattern to be worth the scan
 ROLES = {"assign": "secret", "hex": "secret", "weak_key": "secret", "access": "identifier", "weak_id": "identifier", "weak_endpoint": "endpoint"}
 NEEDS = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
 
+LEAST_VALUE = 6
+#: matches whose positions are added up at once
+BLOCK = 64
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
-def match_spans(text: Column, kind: str, pattern: str, value_group: int = 0, min_value: int = 0) -> Column:
-    """Spans of all matches. The pieces between matches and the matches
-    themselves alternate, so their lengths add up to the positions."""
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lengths = F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).cast("long").alias("gap"), F.char_length(m).cast("long").alias("size")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+def lengths(text: Column, pattern: str) -> Column:
+    """(gap, size) of each match: its length, and that of the text before it
+    back to the match before. Empty without a match."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).cast("long").alias("gap"), F.char_length(m).cast("long").alias("size")))
+    # what follows the last match has no size
+    return F.when(text.rlike(pattern), F.filter(both, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<gap:bigint,size:bigint>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s, e = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["size"]
-        span = F.array(F.struct(F.lit(kind).alias("kind"), s.alias("start"), e.alias("end")))
-        return F.struct(F.coalesce(e, acc["at"]).alias("at"), F.when(x["size"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], span)).alias("out"))
 
-    spans = F.aggregate(lengths, start, step, lambda acc: acc["out"])
-    if value_group:
-        sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), F.char_length)
-        both = F.filter(F.zip_with(spans, sizes, lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda x: x["n"] >= min_value)
-        spans = F.transform(both, lambda x: x["s"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+def running(values: Column) -> Column:
+    """0 and the running sums of an array of longs. Each step of ``aggregate``
+    copies what it has, so this is for short arrays."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def with_spans(df: DataFrame, text: Column, patterns: dict[str, str]) -> DataFrame:
+    """``df`` with the spans of all matches of each kind as ``_<kind>``.
+    Positions are running sums of the lengths, taken in blocks of ``BLOCK``
+    matches and then over the blocks, so that many matches cost little more
+    than few. One step each, so that no step is evaluated twice."""
+
+    def block(k: str) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(f"_l_{k}") - 1, F.lit(0)) / BLOCK).cast("int"))
+        each = F.transform(starts, lambda i: F.slice(f"_l_{k}", i * BLOCK + 1, BLOCK))
+        return F.transform(each, lambda b: F.struct(b.alias("b"), running(F.transform(b, lambda x: x["gap"] + x["size"])).alias("ends")))
+
+    def spans(k: str) -> Column:
+        before = running(F.transform(f"_b_{k}", lambda b: F.element_at(b["ends"], -1)))
+
+        def of_block(b: Column, at: Column) -> Column:
+            ends = F.slice(b["ends"], 2, BLOCK)
+            return F.zip_with(b["b"], ends, lambda x, e: F.struct(F.lit(k).alias("kind"), (at + e - x["size"]).alias("start"), (at + e).alias("end")))
+
+        # one more sum than blocks: what lies before a block that is not there
+        return F.flatten(F.filter(F.zip_with(f"_b_{k}", before, lambda b, at: F.when(b.isNotNull(), of_block(b, at))), lambda s: s.isNotNull())).cast(SPAN)
+
+    df = df.withColumns({f"_l_{k}": lengths(text, p) for k, p in patterns.items()})
+    df = df.withColumns({f"_b_{k}": block(k) for k in patterns})
+    return df.withColumns({f"_{k}": spans(k) for k in patterns})
 
 
 def parts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    weak = [match_spans(text, "weak_id", WEAK_ID), match_spans(text, "weak_key", WEAK_KEY), match_spans(text, "weak_endpoint", WEAK_ENDPOINT)]
-    base = [match_spans(text, "assign", ASSIGN, 1, 6), match_spans(text, "access", ACCESS), match_spans(text, "hex", HEX)]
-    return df.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.concat(*base).alias("_base"), F.concat(*weak).alias("_weak"))
+    df = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = F.col("_text")
+    df = with_spans(df, text, {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "weak_id": WEAK_ID, "weak_key": WEAK_KEY, "weak_endpoint": WEAK_ENDPOINT})
+    # a name with a short value is no secret
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), F.char_length)
+    long = F.filter(F.zip_with("_assign", sizes, lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda x: x["n"] >= LEAST_VALUE)
+    assign = F.when(F.size("_assign") > 0, F.transform(long, lambda x: x["s"])).otherwise(F.col("_assign"))
+    return df.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.concat(assign, "_access", "_hex").alias("_base"), F.concat(*(f"_{k}" for k in WEAK)).alias("_weak"))
 
 
 def _role(kind: Column) -> Column:

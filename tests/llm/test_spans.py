@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from cyclewise.llm import personal_data as P
 from cyclewise.llm import secret_scan as S
@@ -102,6 +103,22 @@ def test_long_identifiers_and_endpoints_are_whole(frame):
     assert spans == {0: [("weak_id", 0, a), ("assign", a + 1, b), ("weak_endpoint", b + 1, len(texts[0]))], 1: [], 2: []}
 
 
+def test_secrets_in_blocks(frame):
+    """Any number of matches, also beside the edges of a block."""
+    for n in (S.BLOCK - 1, S.BLOCK, S.BLOCK + 1, 2 * S.BLOCK + 1):
+        text = "😀 token=abcdef12 token=abc " * n
+        (row,) = S.secrets(frame([(1, text)])).collect()
+        assert [tuple(s) for s in row.spans] == base_secrets(text)
+
+
+def test_secrets_of_very_many_matches(frame):
+    text = "token=abcdef12 é " * 100_000
+    before = time.time()
+    (row,) = S.secrets(frame([(1, text)])).collect()
+    assert [tuple(s) for s in row.spans] == base_secrets(text)
+    assert time.time() - before < 60
+
+
 def test_secrets_edges(frame):
     rows = S.secrets(frame([(None, None), (1, "token = abcdefgh"), (1, "token = abcdefgh"), (1, "client_id=abcdefgh")])).collect()
     assert sorted(len(r.spans) for r in rows) == [0, 0, 1, 1]  # a weak part alone is not reported
