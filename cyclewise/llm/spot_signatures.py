@@ -65,17 +65,30 @@ def any_of(words: tuple | list) -> str:
 
 
 def signatures(df: DataFrame, text_col: str, out: str, anchors: tuple | list = ANCHORS, chain: int = CHAIN) -> DataFrame:
-    """``df`` with the sorted, distinct signature hashes of a text as ``out``."""
-    a = any_of(anchors) + "(?![^ ])"
-    link = rf"(?: {a})*+ [^ ]++"
-    pattern = F.lit(rf"(?<![^ ])(?=({a}(?:{link}){{{chain}}})){a}")
-    # the anchor stays, common words inside the chain go
-    plain_chains = F.split(F.regexp_replace(F.array_join("_found", "\n"), rf"(?<= ){a} ", ""), "\n")
-    spots = F.transform(plain_chains, lambda s: F.hash(s))
+    """``df`` with the sorted, distinct signature hashes of a text as ``out``.
+
+    A text is cut once into units, a content word with the run of common words
+    before it; the runs are never looked through again, so the work is in
+    proportion to the text however many common words follow each other."""
+    # common words that end a text belong to no content word: a last word of no text closes them
+    units = F.regexp_extract_all(F.concat("_words", F.lit(" \n")), F.lit(rf"(?:{any_of(anchors)} )*+[^ ]++"), F.lit(0))
+    last = F.transform("_units", lambda u: F.nullif(F.substring_index(u, " ", -1), F.lit("\n")))
+    follow = F.col("_content")
+    for i in range(1, chain):
+        # a null from beyond the end makes the whole chain null
+        follow = F.zip_with(follow, F.slice("_content", i + 1, F.greatest(F.size("_content"), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
+
+    def of_unit(u: Column, c: Column) -> Column:
+        run = F.split(u, " ")
+        spots = F.transform(F.array_distinct(F.slice(run, 1, F.size(run) - 1)), lambda w: F.hash(F.concat(w, F.lit(" "), c)))
+        return F.when(c.isNotNull() & F.contains(u, F.lit(" ")), spots).otherwise(F.array().cast("array<int>"))
+
     plain = F.transform(F.filter(F.split("_words", " "), lambda w: w != ""), lambda w: F.hash(w))
     # one step each, so that no step is evaluated twice
-    df = df.withColumn("_words", normalised(F.col(text_col))).withColumn("_found", F.regexp_extract_all("_words", pattern, F.lit(1)))
-    return df.withColumn(out, F.array_sort(F.array_distinct(F.when(F.size("_found") > 0, spots).otherwise(plain)))).drop("_words", "_found")
+    df = df.withColumn("_words", normalised(F.col(text_col))).withColumn("_units", units).withColumn("_content", last)
+    df = df.withColumn("_spots", F.array_distinct(F.flatten(F.zip_with("_units", follow, of_unit))))
+    found = F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(F.array_distinct(plain))
+    return df.withColumn(out, F.array_sort(found)).drop("_words", "_units", "_content", "_spots")
 
 
 def fingerprint(sigs: Column) -> Column:

@@ -1,6 +1,7 @@
 """Near duplicates, decontamination, fingerprints, shards."""
 
 import random
+import time
 from itertools import pairwise
 
 import numpy as np
@@ -129,6 +130,18 @@ def brute_signatures(text):
     return out or set(w)
 
 
+def test_signatures_of_long_runs(spark):
+    n = 200_000
+    before = time.time()
+    rows = spark.createDataFrame([(0, "the " * n + "one two"), (1, "one " + "the of " * n), (2, "of the " * n + "one " + "to " * n + "two")], "doc_id long, text string")
+    found = {r.doc_id: r for r in G.signatures(rows, "text", "sigs").selectExpr("doc_id", "sigs", "hash('the one two') a", "hash('of one two') b").collect()}
+    assert found[0].sigs == [found[0].a]
+    # a lone content word makes no chain: the distinct words stand for the text
+    assert len(found[1].sigs) == 3
+    assert sorted(found[2].sigs) == sorted([found[2].a, found[2].b])
+    assert time.time() - before < 60
+
+
 def test_signatures_and_next(frame, spark):
     texts = ["The cat of the big house, is on a red mat and the dog", "no anchors here at all", "", None, "the", "der Hund ist im Haus und die Katze", "the cat of the big house is on a mat", "x", "the the the a", "l'été est là dans la rue"]
     rows = [(i * 3 % 11, t) for i, t in enumerate(texts)] + [(None, "the last of them all"), (3, "same id the other text here"), (4, "dup the big cat")] * 2
