@@ -32,11 +32,13 @@ def oldest(df: DataFrame, n: int, order: Sequence[str] = ("timestamp",)) -> Data
     return df.orderBy(*[F.col(c).asc() for c in order]).limit(n)
 
 
-def engine_status_v1(readings: DataFrame, rul: str = "RUL", s1: str = "sensor_1") -> DataFrame:
-    """A2: total cycles, max / min RUL, mean sensor_1 per engine."""
+def engine_status_v1(readings: DataFrame, s1: str = "sensor_1") -> DataFrame:
+    """A2: total cycles, max / min RUL, mean sensor_1 per engine. RUL counts
+    down to 0 at the engine's last cycle, so its range is known from the first
+    and last cycle and no reading needs its own."""
     return readings.groupBy(ENGINE).agg(
-        F.count(F.lit(1)).alias("total_cycles"), F.max(rul).alias("max_rul"), F.min(rul).alias("min_rul"),
-        F.avg(s1).alias("avg_sensor_1"),
+        F.count(F.lit(1)).alias("total_cycles"), (F.max(CYCLE) - F.min(CYCLE)).alias("max_rul"),
+        F.when(F.max(CYCLE).isNotNull(), 0).alias("min_rul"), F.avg(s1).alias("avg_sensor_1"),
     )
 
 

@@ -165,7 +165,7 @@ def oldest_predictions(spark, sf_dir):
     "FROM z GROUP BY engine_id", Z_SQL), "A2")
 def engine_status(spark, sf_dir):
     """A2: per-engine totals, RUL range and mean sensor_1."""
-    return fl.engine_status_v1(scored(spark, sf_dir))
+    return fl.engine_status_v1(normalised(spark, sf_dir))
 
 
 PROGRESS_SQL = f"""prog AS (SELECT engine_id, count(*) FILTER (WHERE ts < TIMESTAMP '{AS_OF}') AS current_index FROM readings
@@ -247,10 +247,12 @@ def fleet_summary_v2(spark, sf_dir):
   UNION ALL SELECT 'rul_predictions', timestamp FROM preds) t GROUP BY topic""", ALERTS_SQL, PREDS_SQL), "A15 T4")
 def topic_stats(spark, sf_dir):
     """Messages published, last activity and bounded size per topic."""
-    s = scored(spark, sf_dir)
+    # one estimate a reading: what it says is not needed to count it, nor the RUL it comes from
+    s = normalised(spark, sf_dir)
+    estimates = ru.predictions(s.withColumn("RUL", F.lit(None).cast("long")), base="RUL", sensors=SENSORS)
     topics = (s.select(F.lit("sensor_data").alias("topic"), "timestamp")
               .unionByName(alert_table(spark, sf_dir).select(F.lit("anomaly_alerts").alias("topic"), "timestamp"))
-              .unionByName(prediction_table(spark, sf_dir).select(F.lit("rul_predictions").alias("topic"), "timestamp")))
+              .unionByName(estimates.select(F.lit("rul_predictions").alias("topic"), "timestamp")))
     return fl.topic_stats(topics)
 
 

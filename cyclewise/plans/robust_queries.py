@@ -37,6 +37,20 @@ def engine_features_faulty(spark, sf_dir):
     return fe.add_engine_features(r.select("engine_id", "cycle", *SENSORS, "setting_1"))
 
 
+@register("filled_over_chunks", "event_id:l sensor_1:d sensor_2:d", with_readings(f"""
+SELECT event_id, coalesce(last_value(s1 IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS sensor_1,
+       coalesce(last_value(s2 IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS sensor_2
+FROM (SELECT engine_id, event_id, cycle, CASE WHEN event_id % 9 = 0 THEN sensor_1 END AS s1,
+             CASE WHEN event_id % 40 = 0 THEN sensor_2 END AS s2 FROM readings) f"""), "P6")
+def filled_over_chunks(spark, sf_dir):
+    """P6 where engines span many chunks and blocks of chunks: gaps longer than
+    either, so that values are carried over both."""
+    r = event_readings(spark, sf_dir).select("engine_id", "cycle", "event_id", "sensor_1", "sensor_2")
+    eid = F.col("event_id")
+    r = r.withColumns({"sensor_1": F.when(eid % 9 == 0, F.col("sensor_1")), "sensor_2": F.when(eid % 40 == 0, F.col("sensor_2"))})
+    return fe.forward_fill(r, ["sensor_1", "sensor_2"], chunk_rows=4, carry_block=3)
+
+
 @register("unknown_engine_readings", "event_id:l engine_id:l cycle:l RUL:l rate:d", f"""
 WITH {READINGS_SQL.strip().replace("CAST(user_id AS BIGINT) AS engine_id", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(user_id AS BIGINT) END AS engine_id").replace("PARTITION BY user_id", "PARTITION BY CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END")}
 SELECT event_id, engine_id, cycle, max(cycle) OVER ({WE}) - cycle AS RUL,

@@ -44,8 +44,8 @@ def rul_truth_roundtrip(spark, sf_dir):
     truth = r.groupBy("engine_id").agg(
         (F.count(F.lit(1)) - F.count_if(F.col("ts") < F.lit(AS_OF).cast("timestamp_ntz"))).alias("rul"))
     path = shared_dir(spark, "rul-truth")
-    # one line per engine, in engine order: a single ordered file
-    truth.repartition(1).sortWithinPartitions("engine_id").select(
+    # one line per engine, in engine order within and across the files
+    truth.repartitionByRange("engine_id").sortWithinPartitions("engine_id").select(
         F.col("rul").cast("string").alias("value")).write.mode("overwrite").text(path)
     return rd.read_rul_truth(spark, path, value="rul")
 

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..operators.ordering import running_sum
 from ..schema import ENGINE, RAW_COLUMNS
+from ..session import materialise
 
 
 def read_sensor_log(spark: SparkSession, path: str, columns: Sequence[str] = RAW_COLUMNS,
@@ -27,16 +28,20 @@ def read_sensor_log(spark: SparkSession, path: str, columns: Sequence[str] = RAW
 
 
 def read_rul_truth(spark: SparkSession, path: str, key: str = ENGINE, value: str = "rul") -> DataFrame:
-    """One number per line; the 1-based line number is the engine.
-
-    Line numbers need the count of lines in earlier splits, which
-    ``zipWithIndex`` computes distributed (one counting pass, then the
-    numbering); the file holds one line per engine."""
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    indexed = lines.rdd.zipWithIndex().map(lambda p: (p[1] + 1, p[0][0]))
-    df = spark.createDataFrame(indexed, T.StructType([T.StructField(key, T.LongType()),
-                                                      T.StructField("_text", T.StringType())]))
-    return df.select(key, F.trim("_text").try_cast("double").alias(value))
+    """One number per line; the 1-based line number is the engine. Blank
+    lines have no number; several files follow each other by name.
+
+    A line's place is its file, the block of the file that it was read in, and
+    its place in the block; running counts over the blocks, a table of one row
+    a block, make that the line number."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where(F.length(F.trim("value")) > 0).withColumn("id", F.monotonically_increasing_id())
+    # ids are read off once: the lines of a block have successive ones
+    lines = materialise(lines, "lines")
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("all", F.lit(0))
+    upto = running_sum(blocks, "all", ["file", "block"], "n", out="upto").select("file", "block", "first", (F.col("upto") - F.col("n")).alias("before"))
+    number = F.col("before") + F.col("id") - F.col("first") + 1
+    return lines.join(upto, ["file", "block"]).select(number.cast("long").alias(key), F.trim("value").try_cast("double").alias(value))
 
 
 def read_processed_csv(spark: SparkSession, path: str, numeric: bool = True) -> DataFrame:

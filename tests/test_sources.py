@@ -27,6 +27,26 @@ def test_rul_truth_line_numbers(spark):
     assert got == {1: 112.0, 2: 98.0, 3: 69.0}
 
 
+def test_rul_truth_over_files_and_blocks(spark):
+    """Numbers go on from file to file and over the blocks that a file is read in."""
+    lines = [str(i * 3 % 1009) for i in range(5000)]
+    path = shared_dir(spark, "lines")
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i long, value string")
+    # a blank line has no number
+    df = df.repartitionByRange(4, "i").sortWithinPartitions("i").selectExpr("if(i % 100 = 50, concat(value, '\\n  '), value) value")
+    df.write.text(path)
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "2k")
+    try:
+        got = {r.engine_id: r.rul for r in rd.read_rul_truth(spark, path).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {i + 1: float(x) for i, x in enumerate(lines)}
+    empty = shared_dir(spark, "lines")
+    df.limit(0).write.text(empty)
+    assert rd.read_rul_truth(spark, empty).count() == 0
+
+
 def test_processed_csv_short_and_long_rows(spark):
     path = _write_lines(spark, ["a,b,c", "1,2,3", "4,5", "6,7,8,9"])
     rows = rd.read_processed_csv(spark, path).orderBy("a").collect()
