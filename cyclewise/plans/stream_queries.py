@@ -36,16 +36,16 @@ _SOURCES: dict = {}
 
 def _source(spark, sf_dir, df=None):
     """A stream of the reading table's files (written once per session and
-    input), or of another derived table's, and the table."""
+    input), or of another derived table's, and the written table."""
     if df is not None:
-        return sm.stream_table(df, sm.shared_dir(spark, "source")), df
+        return sm.stream_table(df, sm.shared_dir(spark, "source"))
     key = (spark.sparkContext.applicationId, *table_version(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
     if key not in _SOURCES:
         path = sm.shared_dir(spark, "source")
         _readings(spark, sf_dir).write.parquet(path)
         _SOURCES[key] = path
     batch = spark.read.parquet(_SOURCES[key])
-    return sm.reading_stream(spark, _SOURCES[key], batch.schema, max_files=3), batch
+    return sm.archive_stream(batch, _SOURCES[key]), batch
 
 
 def _lateness(batch) -> str:
@@ -207,10 +207,9 @@ cut AS (SELECT engine_id, min(cycle) AS drop_cycle FROM rl WHERE run > 5 GROUP B
 FROM rl LEFT JOIN cut ON rl.engine_id = cut.engine_id""", RAW_SQL, VALID_SQL, GUARD_SQL), "T7 Q7")
 def stream_error_guard(spark, sf_dir):
     """Engines stop after more than five consecutive invalid readings."""
-    df = _validated_readings(spark, sf_dir)
-    stream, _ = _source(spark, sf_dir, df)
+    stream, batch = _source(spark, sf_dir, _validated_readings(spark, sf_dir))
     root = sm.shared_dir(spark, "guard")
-    out = sq.error_run_guard(stream, watermark=_lateness(df))
+    out = sq.error_run_guard(stream, watermark=_lateness(batch))
     _to_end(out, root)
     return spark.read.schema(out.schema).parquet(f"{root}/out").select("event_id", "engine_id", "cycle", "is_valid", "delivered")
 
@@ -224,9 +223,8 @@ def stream_error_guard(spark, sf_dir):
 FROM vt GROUP BY 1""", RAW_SQL, VALID_SQL), "T8 R8")
 def stream_health_windows(spark, sf_dir):
     """Health issues (error rate > 5 %) per day of event time."""
-    df = _validated_readings(spark, sf_dir)
-    stream, _ = _source(spark, sf_dir, df)
-    out = _upsert_run(spark, sm.health_windows(stream, watermark=_lateness(df)), ["window_start"], "health")
+    stream, batch = _source(spark, sf_dir, _validated_readings(spark, sf_dir))
+    out = _upsert_run(spark, sm.health_windows(stream, watermark=_lateness(batch)), ["window_start"], "health")
     return out.withColumn("window_start", F.unix_micros("window_start") / 1e6)
 
 

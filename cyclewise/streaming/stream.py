@@ -49,12 +49,27 @@ def reading_stream(spark: SparkSession, path: str, schema: T.StructType, max_fil
             .option("latestFirst", "false").parquet(path))
 
 
-def stream_table(df: DataFrame, path: str, max_files: int = 3) -> DataFrame:
+#: micro-batches (about) in which an archive of files is read
+ARCHIVE_BATCHES = 4
+
+
+def archive_stream(batch: DataFrame, path: str, max_files: int = 3, batches: int = ARCHIVE_BATCHES) -> DataFrame:
+    """S10 over a table that is there: the files of ``batch`` under ``path``,
+    ``max_files`` a micro-batch, more where that makes more than ``batches``. A
+    micro-batch costs a task, a state commit and a report to the driver for each
+    state partition, and what waits in the state is read again, so their number
+    must not grow with the table."""
+    files = len(batch.inputFiles())
+    return reading_stream(batch.sparkSession, path, batch.schema, max(max_files, -(-files // batches)))
+
+
+def stream_table(df: DataFrame, path: str, max_files: int = 3) -> tuple[DataFrame, DataFrame]:
     """S10 over a table that is derived first: written once as Parquet files,
-    in parallel and in no order, and read as a stream of ``max_files`` files a
-    micro-batch. Rows without an event time come along."""
+    in parallel and in no order, and read as a stream of :func:`archive_stream`;
+    the stream, and the written table. Rows without an event time come along."""
     df.write.mode("error").parquet(path)
-    return reading_stream(df.sparkSession, path, df.schema, max_files)
+    batch = df.sparkSession.read.schema(df.schema).parquet(path)
+    return archive_stream(batch, path, max_files), batch
 
 
 def run_available(query) -> None:

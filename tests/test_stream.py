@@ -168,3 +168,14 @@ def test_staleness(spark):
     out, ck = _run(spark, sq.staleness_events(_shuffled(spark, df), watermark=LATE), "stale")
     told = out.unionByName(sq.open_silences(spark, ck, 1510.0))
     assert sorted((r.engine_id, r.last_seen) for r in told.collect()) == want
+
+
+def test_archive_batches_do_not_grow_with_the_files(spark):
+    """Forty files are four micro-batches, not fourteen."""
+    df = spark.range(0, 400, 1, 40)
+    stream, written = sm.stream_table(df, sm.shared_dir(spark, "many"))
+    assert len(written.inputFiles()) == 40
+    q = stream.writeStream.format("noop").option("checkpointLocation", sm.shared_dir(spark, "ck")).trigger(availableNow=True).start()
+    sm.run_available(q)
+    rows = [p.numInputRows for p in q.recentProgress if p.numInputRows]
+    assert sum(rows) == 400 and len(rows) <= sm.ARCHIVE_BATCHES
