@@ -9,9 +9,12 @@ results do not depend on how the input is cut into files, tasks and
 micro-batches as long as no reading is later than the watermark allows (those
 Spark drops), and equal the batch operators.
 
-Chunks of an engine's rows are worked on as they come; no engine's batch is held
-as a whole, only its early readings. State per engine: the next cycle, a carry
-of fixed size (a step's own), the early readings. Where ``expire`` is given, an
+Chunks of an engine's rows are worked on as they come, as arrays; no engine's
+batch is held as a whole, only its early readings. State per engine: the next
+cycle, a carry of fixed size (a step's own), the early readings. Most engines
+have few readings a micro-batch, so what counts is the cost of an engine: rows
+wait and leave in runs, one state entry and one output row for many readings,
+which Spark takes apart again. Where ``expire`` is given, an
 engine without any reading for so long loses its state by a timer; readings that
 come later still wait for a cycle that is gone and leave with the watermark.
 
@@ -43,23 +46,25 @@ MILLIS = "event_ms"
 #: rows that are released at once from the waiting ones
 CHUNK = 10_000
 
-Step = Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]
+#: rows as one array per column
+Rows = dict[str, np.ndarray]
+Step = Callable[[tuple | None, Rows], tuple[tuple, Rows]]
 
 
 class InSequence(StatefulProcessor):
-    """Applies ``step(carry, rows)`` to each engine's readings in cycle order."""
+    """Applies ``step(carry, rows)`` to each engine's readings in cycle order.
+    What a step gives (columns ``out``) leaves as one row, see :func:`packed`."""
 
-    def __init__(self, row_schema: T.StructType, carry_schema: T.StructType, step: Step, expire_ms: int = 0,
-                 silence: Callable[[tuple], tuple[tuple, pd.DataFrame] | None] | None = None, silence_ms: int = 0):
-        self.row_schema, self.carry_schema, self.step = row_schema, carry_schema, step
-        self.names = [f.name for f in row_schema.fields]
+    def __init__(self, row_schema: T.StructType, carry_schema: T.StructType, step: Step, out: T.StructType, expire_ms: int = 0,
+                 silence: Callable[[tuple], tuple[tuple, Rows] | None] | None = None, silence_ms: int = 0):
+        self.row_schema, self.carry_schema, self.step, self.out = row_schema, carry_schema, step, out
         self.expire_ms, self.silence, self.silence_ms = expire_ms, silence, silence_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next long, newest long")
+        self.place = handle.getValueState("place", "next long, newest long, waiting boolean")
         self.carry = handle.getValueState("carry", self.carry_schema)
-        self.early = handle.getListState("early", self.row_schema)
+        self.early = handle.getListState("early", T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in self.row_schema.fields]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         yield from self._advance(key, rows, timerValues.getCurrentWatermarkInMs())
@@ -71,54 +76,54 @@ class InSequence(StatefulProcessor):
         pass
 
     def _advance(self, key, chunks: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
-        at, newest = self.place.get() if self.place.exists() else (1, 0)
-        carry = tuple(self.carry.get()) if self.carry.exists() else None
+        at, newest, stored = self.place.get() or (1, 0, False)
+        carry = self.carry.get()
 
-        def release(ready: pd.DataFrame):
+        def release(ready: Rows):
             nonlocal carry, at
-            for k in range(0, len(ready), CHUNK):
-                part = ready.iloc[k : k + CHUNK]
-                carry, out = self.step(carry, part.reset_index(drop=True))
-                at = int(part[CYCLE].iloc[-1]) + 1
-                if len(out):
-                    yield pd.concat([pd.Series(np.full(len(out), key[0]), name=ENGINE), out.reset_index(drop=True)], axis=1)
-
-        waited = False
+            for k in range(0, len(ready[CYCLE]), CHUNK):
+                part = {c: v[k : k + CHUNK] for c, v in ready.items()}
+                carry, out = self.step(carry, part)
+                at = int(part[CYCLE][-1]) + 1
+                yield from packed(key[0], out, self.out)
+
+        fresh: list[Rows] = []
         for chunk in chunks:
-            newest = max(newest, int(chunk[MILLIS].max()))
-            chunk = chunk[self.names].sort_values(CYCLE, kind="stable")
-            chunk = chunk[chunk[CYCLE] >= at].drop_duplicates(CYCLE)
-            n, rest = run_of(chunk, at)
-            yield from release(chunk.iloc[:n])
-            if len(rest):
-                self.early.appendList(plain(rest))
-                waited = True
-        if self.early.exists():
-            waiting = pd.DataFrame(list(self.early.get()), columns=self.names).sort_values(CYCLE, kind="stable").drop_duplicates(CYCLE)
-            left = waiting[waiting[CYCLE] >= at]
+            rows = {f.name: column(chunk[f.name].to_numpy(), f.dataType) for f in self.row_schema.fields}
+            newest = max(newest, int(rows[MILLIS].max()))
+            ready, rest = run_of(in_order(rows, at), at)
+            yield from release(ready)
+            if len(rest[CYCLE]):
+                fresh.append(rest)
+        waiting = bool(stored or fresh)
+        if waiting:
+            parts = [{f.name: column(v, f.dataType) for f, v in zip(self.row_schema.fields, run, strict=True)} for run in (self.early.get() if stored else ())]
+            every = in_order({f.name: np.concatenate([p[f.name] for p in (*parts, *fresh)]) for f in self.row_schema.fields})
+            left = {c: v[every[CYCLE] >= at] for c, v in every.items()}
             # what the watermark has passed cannot be preceded any more, nor what leads up to it
-            passed = np.flatnonzero((left[MILLIS] <= watermark).to_numpy())
+            passed = np.flatnonzero(left[MILLIS] <= watermark)
             sure = int(passed[-1]) + 1 if len(passed) else 0
-            yield from release(left.iloc[:sure])
-            left = left.iloc[sure:]
-            n, rest = run_of(left, at)
-            yield from release(left.iloc[:n])
-            left = rest
-            if len(left) < len(waiting):
-                self.early.put(plain(left)) if len(left) else self.early.clear()
-            if len(left) and (waited or sure):
+            yield from release({c: v[:sure] for c, v in left.items()})
+            ready, left = run_of({c: v[sure:] for c, v in left.items()}, at)
+            yield from release(ready)
+            waiting = len(left[CYCLE]) > 0
+            if len(left[CYCLE]) < len(every[CYCLE]):
+                self.early.put([plain(left)]) if waiting else self.early.clear() if stored else None
+            elif fresh:
+                self.early.appendList([plain(rows) for rows in fresh])
+            if waiting and (fresh or sure):
                 self.handle.registerTimer(int(left[MILLIS].min()) + 1)
-        if carry is not None and self.silence and watermark >= newest + self.silence_ms and not self.early.exists():
+        if carry is not None and self.silence and watermark >= newest + self.silence_ms and not waiting:
             told = self.silence(carry)
             if told:
                 carry, out = told
-                yield pd.concat([pd.Series([key[0]] * len(out), name=ENGINE), out], axis=1)
-        if self.expire_ms and watermark >= newest + self.expire_ms and not self.early.exists():
+                yield from packed(key[0], out, self.out)
+        if self.expire_ms and watermark >= newest + self.expire_ms and not waiting:
             for state in (self.place, self.carry):
                 if state.exists():
                     state.clear()
             return
-        self.place.update((at, newest))
+        self.place.update((at, newest, waiting))
         if carry is not None:
             self.carry.update(carry)
         for wait in (self.silence_ms if self.silence else 0, self.expire_ms):
@@ -126,17 +131,76 @@ class InSequence(StatefulProcessor):
                 self.handle.registerTimer(newest + wait)
 
 
-def run_of(rows: pd.DataFrame, at: int) -> tuple[int, pd.DataFrame]:
-    """How many rows (sorted, distinct, none before ``at``) follow each other
+def column(values, kind: T.DataType) -> np.ndarray:
+    """Values of a data frame or of the state as an array: NaN for missing
+    doubles, None for other missing values."""
+    if isinstance(kind, T.DoubleType):
+        return np.asarray(values, float)
+    if isinstance(values, np.ndarray) and values.dtype.kind in "ib":
+        return values
+    if isinstance(kind, T.IntegralType):
+        # integers beside missing ones come as floating-point numbers
+        values = [None if v is None or v != v else int(v) for v in values]
+        return np.array(values, object if None in values else "int64")
+    out = np.empty(len(values), object)
+    out[:] = [None if v is None or v != v else v for v in values]
+    return out
+
+
+def in_order(rows: Rows, at: int | None = None) -> Rows:
+    """By cycle, each once, the first that came; none before ``at``."""
+    order = np.argsort(rows[CYCLE], kind="stable")
+    cycles = rows[CYCLE][order]
+    keep = np.concatenate([[True], cycles[1:] != cycles[:-1]])
+    order = order[keep if at is None else keep & (cycles >= at)]
+    return {c: v[order] for c, v in rows.items()}
+
+
+def run_of(rows: Rows, at: int) -> tuple[Rows, Rows]:
+    """The rows (sorted, distinct, none before ``at``) that follow each other
     from ``at`` on, and the others that are still to come."""
-    same = rows[CYCLE].to_numpy() == at + np.arange(len(rows))
-    n = len(rows) if same.all() else int(np.argmin(same))
-    return n, rows.iloc[n:]
+    same = rows[CYCLE] == at + np.arange(len(rows[CYCLE]))
+    n = len(same) if same.all() else int(np.argmin(same))
+    return {c: v[:n] for c, v in rows.items()}, {c: v[n:] for c, v in rows.items()}
+
+
+def plain(rows: Rows) -> tuple:
+    """Rows as one state entry: a list per column."""
+    return tuple(v.tolist() for v in rows.values())
+
+
+def _kinds(out: T.StructType) -> dict[T.DataType, list[str]]:
+    kinds: dict[T.DataType, list[str]] = {}
+    for f in out.fields:
+        kinds.setdefault(f.dataType, []).append(f.name)
+    return kinds
 
 
-def plain(rows: pd.DataFrame) -> list[tuple]:
-    """Rows as Python values, None for missing ones."""
-    return list(map(tuple, rows.astype(object).where(rows.notna(), None).to_numpy().tolist()))
+def packed_schema(engine: T.StructField, out: T.StructType) -> T.StructType:
+    arrays = [T.StructField(f"values_{k}", T.ArrayType(kind)) for k, kind in enumerate(_kinds(out))]
+    return T.StructType([engine, T.StructField("n", T.IntegerType()), *arrays])
+
+
+def packed(engine, rows: Rows, out: T.StructType) -> Iterator[pd.DataFrame]:
+    """``rows`` (none: nothing) as a data frame of one row, for which a worker
+    pays by column and not by reading: the columns of a type follow each other
+    in one array."""
+    n = len(rows[out.fields[0].name])
+    if n:
+        arrays = [np.concatenate([rows[c] for c in names]) for names in _kinds(out).values()]
+        yield pd.DataFrame({ENGINE: [engine], "n": [n], **{f"values_{k}": [v] for k, v in enumerate(arrays)}})
+
+
+def unpacked(df: DataFrame, out: T.StructType) -> DataFrame:
+    """The rows that :func:`packed` has put together."""
+    each = df.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    found = {}
+    for k, (kind, names) in enumerate(_kinds(out).items()):
+        for j, c in enumerate(names):
+            v = F.get(f"values_{k}", F.lit(j) * F.col("n") + F.col("i"))
+            # a missing double is a NaN in an array
+            found[c] = F.when(~F.isnan(v), v) if isinstance(kind, T.DoubleType) else v
+    return each.select(ENGINE, *(found[f.name].alias(f.name) for f in out.fields))
 
 
 def in_sequence(readings: DataFrame, columns: Sequence[str], carry: T.StructType, step: Step, out: T.StructType, ts: str, watermark: str, expire: int | None = None, **silence) -> DataFrame:
@@ -145,8 +209,9 @@ def in_sequence(readings: DataFrame, columns: Sequence[str], carry: T.StructType
     named = dict.fromkeys([CYCLE, *columns])
     rows = rows.select(ENGINE, ts, *named, F.coalesce(F.unix_millis(F.col(ts).cast("timestamp")), F.lit(0)).alias(MILLIS))
     schema = T.StructType([rows.schema[c] for c in [*named, MILLIS]])
-    processor = InSequence(schema, carry, step, 1000 * (expire or 0), **silence)
-    return rows.groupBy(ENGINE).transformWithStateInPandas(processor, T.StructType([rows.schema[ENGINE], *out.fields]), "Append", "EventTime")
+    processor = InSequence(schema, carry, step, out, 1000 * (expire or 0), **silence)
+    done = rows.groupBy(ENGINE).transformWithStateInPandas(processor, packed_schema(rows.schema[ENGINE], out), "Append", "EventTime")
+    return unpacked(done, out)
 
 
 # ---------------------------------------------------------------- T6: staleness
@@ -165,16 +230,19 @@ def staleness_events(readings: DataFrame, ts: str = "event_time", limit_s: int =
     silent when a stream stands still. Carry: the time of the last reading."""
 
     def step(carry, rows):
-        t = rows["timestamp"].to_numpy(float)
+        t = rows["timestamp"]
         before = np.concatenate([[np.nan if carry is None or carry[1] else carry[0]], np.maximum.accumulate(t)[:-1]])
         if carry is not None:
             before[1:] = np.maximum(before[1:], carry[0])
         last = float(max(t.max(), t[0] if carry is None else carry[0]))
         silent = before[t - before > limit_s]
-        return (last, False), pd.DataFrame({"last_seen": silent, "issue": _issue(limit_s)})
+        return (last, False), told(silent)
+
+    def told(silent):
+        return {"last_seen": np.asarray(silent, float), "issue": np.full(len(silent), _issue(limit_s), object)}
 
     def silence(carry):
-        return None if carry[1] else ((carry[0], True), pd.DataFrame({"last_seen": [carry[0]], "issue": [_issue(limit_s)]}))
+        return None if carry[1] else ((carry[0], True), told([carry[0]]))
 
     carry = T.StructType([T.StructField("last", T.DoubleType()), T.StructField("told", T.BooleanType())])
     return in_sequence(readings, ["timestamp"], carry, step, T.StructType(STALE_SCHEMA.fields[1:]), ts, watermark, expire, silence=silence, silence_ms=1000 * limit_s + 1)
@@ -207,12 +275,12 @@ def error_run_guard(readings: DataFrame, columns: Sequence[str] = ("event_id", "
 
     def step(carry, rows):
         run, stopped = carry or (0, False)
-        ok = rows[flag].to_numpy(bool)
+        ok = rows[flag].astype(bool)
         place = np.arange(1, len(ok) + 1)
         # invalid readings since the last valid one, which may lie before this chunk
         runs = np.where(ok, 0, place - np.maximum.accumulate(np.where(ok, place, -run)))
         over = np.logical_or.accumulate(runs > max_errors) | stopped
-        return (int(runs[-1]), bool(over[-1])), rows[names].assign(delivered=ok & ~over)
+        return (int(runs[-1]), bool(over[-1])), {**{c: rows[c] for c in names}, "delivered": ok & ~over}
 
     carry = T.StructType([T.StructField("run", T.LongType()), T.StructField("stopped", T.BooleanType())])
     out = guard_schema(T.StructType([readings.schema[c] for c in names]))
@@ -228,18 +296,20 @@ def rolling_schema(sensors: Sequence[str], windows=ROLLING_WINDOWS, stats=ROLLIN
     return T.StructType([T.StructField(ENGINE, T.LongType()), T.StructField(CYCLE, T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names)])
 
 
-def window_stats(values: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Trailing-window mean / sample std / max / min with min_periods 1
-    (NaN = missing, skipped); std of fewer than two values is 0, the others of
-    none are 0."""
-    win = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), values]), n)
+def window_stats(values: np.ndarray, n: int, last: int) -> dict[str, np.ndarray]:
+    """Trailing-window mean / sample std / max / min with min_periods 1 at the
+    ``last`` rows (NaN = missing, skipped), each column by itself; std of fewer
+    than two values is 0, the others of none are 0."""
+    reach = values[-(last + n - 1) :]
+    lead = np.full((last + n - 1 - len(reach), values.shape[1]), np.nan)
+    win = np.lib.stride_tricks.sliding_window_view(np.concatenate([lead, reach]), n, axis=0)
     valid = ~np.isnan(win)
-    cnt = valid.sum(axis=1)
+    cnt = valid.sum(axis=-1)
     some = cnt > 0
-    mean = np.where(valid, win, 0.0).sum(axis=1) / np.maximum(cnt, 1)
-    dev = np.where(valid, win - mean[:, None], 0.0)
-    std = np.where(cnt > 1, np.sqrt((dev * dev).sum(axis=1) / np.maximum(cnt - 1, 1)), 0.0)
-    high, low = np.where(valid, win, -np.inf).max(axis=1), np.where(valid, win, np.inf).min(axis=1)
+    mean = np.where(valid, win, 0.0).sum(axis=-1) / np.maximum(cnt, 1)
+    dev = np.where(valid, win - mean[..., None], 0.0)
+    std = np.where(cnt > 1, np.sqrt((dev * dev).sum(axis=-1) / np.maximum(cnt - 1, 1)), 0.0)
+    high, low = np.where(valid, win, -np.inf).max(axis=-1), np.where(valid, win, np.inf).min(axis=-1)
     return {"mean": np.where(some, mean, 0.0), "std": std, "max": np.where(some, high, 0.0), "min": np.where(some, low, 0.0)}
 
 
@@ -249,25 +319,23 @@ def rolling_stream(readings: DataFrame, sensors: Sequence[str], windows=ROLLING_
     as the batch windows give it."""
     sensors, keep = list(sensors), max(windows) - 1
     out = rolling_schema(sensors, windows)
-    names = [f.name for f in out.fields[1:]]
 
     def step(carry, rows):
-        new = {s: rows[s].to_numpy(float) for s in sensors}
+        new = np.column_stack([rows[s] for s in sensors])
         if carry is None:
-            tails, firsts = [[]] * len(sensors), [float(new[s][0]) for s in sensors]
+            tail, first = new[:0], new[0]
         else:
-            tails, firsts = carry[: len(sensors)], [np.nan if v is None else v for v in carry[len(sensors) :]]
-        got, kept = {CYCLE: rows[CYCLE].to_numpy("int64")}, []
-        for s, tail, first in zip(sensors, tails, firsts, strict=True):
-            full = np.concatenate([np.array(list(tail), float), new[s]])
-            h = len(full) - len(rows)
-            for n in windows:
-                got |= {f"{s}_rolling_{st}_{n}": v[h:] for st, v in window_stats(full, n).items()}
-            got[f"{s}_trend"] = new[s] - first
-            step_ = new[s] - np.concatenate([[np.nan], full])[h:-1]
-            got[f"{s}_diff"] = np.where(np.isnan(step_), 0.0, step_)
-            kept.append([None if np.isnan(v) else float(v) for v in full[-keep:]])
-        return (*kept, *(None if np.isnan(f) else f for f in firsts)), pd.DataFrame(got)[names]
+            tail = np.column_stack([np.array(list(t), float) for t in carry[: len(sensors)]])
+            first = np.array(carry[len(sensors) :], float)
+        full = np.concatenate([tail, new])
+        got = {CYCLE: rows[CYCLE]}
+        for n in windows:
+            for st, v in window_stats(full, n, len(new)).items():
+                got |= {f"{s}_rolling_{st}_{n}": v[:, k] for k, s in enumerate(sensors)}
+        diff = np.diff(full, axis=0, prepend=np.nan)[len(tail) :]
+        diff = np.where(np.isnan(diff), 0.0, diff)
+        got |= {f"{s}_{kind}": v[:, k] for kind, v in (("trend", new - first), ("diff", diff)) for k, s in enumerate(sensors)}
+        return (*full[-keep:].T.tolist(), *first.tolist()), got
 
     carry = T.StructType([*(T.StructField(f"tail_{s}", T.ArrayType(T.DoubleType())) for s in sensors), *(T.StructField(f"first_{s}", T.DoubleType()) for s in sensors)])
     return in_sequence(readings, sensors, carry, step, T.StructType(out.fields[1:]), ts, watermark, expire)

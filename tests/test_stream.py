@@ -179,3 +179,18 @@ def test_archive_batches_do_not_grow_with_the_files(spark):
     sm.run_available(q)
     rows = [p.numInputRows for p in q.recentProgress if p.numInputRows]
     assert sum(rows) == 400 and len(rows) <= sm.ARCHIVE_BATCHES
+
+
+def test_released_rows_travel_as_one(spark):
+    """A run of readings leaves its engine as one row and comes apart again, with
+    what is missing and whole numbers no double can hold."""
+    T = sq.T
+    out = T.StructType([T.StructField("cycle", T.LongType()), T.StructField("a", T.DoubleType()), T.StructField("ok", T.BooleanType()), T.StructField("b", T.DoubleType()), T.StructField("event_id", T.LongType())])
+    rows = {"cycle": [1, 2, 3], "a": [0.5, None, float("inf")], "ok": [True, None, False], "b": [1.0, 2.0, None], "event_id": [2**60 + 1, None, 7]}
+    arrays = {f.name: sq.column(rows[f.name], f.dataType) for f in out.fields}
+    (frame,) = sq.packed(5, arrays, out)
+    assert len(frame) == 1
+    packed = spark.createDataFrame(frame, sq.packed_schema(T.StructField("engine_id", T.LongType()), out))
+    got = sorted(tuple(r) for r in sq.unpacked(packed, out).collect())
+    assert got == [(5, *r) for r in zip(*rows.values(), strict=True)]
+    assert not list(sq.packed(5, {c: v[:0] for c, v in arrays.items()}, out))
