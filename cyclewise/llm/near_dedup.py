@@ -72,6 +72,8 @@ MARGIN = 16.0
 #: pairs a member up to which the components of a bucket meet at the second,
 #: third and every later level, as fewer members are left
 MEET = (2, 16, 128)
+#: buckets of a member that are looked back on for one where a pair has met
+BEFORE = 16
 MEMO = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _S = np.uint64(29)
@@ -242,10 +244,17 @@ def centre_pairs(members: DataFrame, keys: list[str], least: int = 2) -> DataFra
 
 
 def meeting(placed: DataFrame) -> DataFrame:
-    """Pairs of members of different components in the buckets that have few."""
+    """Pairs of members of different components in the buckets that have few.
+    Members that share many shingles share many buckets of a centre; they meet in
+    the first of them (by ``extra``), and in a later one only if no bucket they
+    share is among the last ``BEFORE`` of both."""
+    own = Window.partitionBy("b", "vid").orderBy("extra").rowsBetween(-BEFORE, -1)
+    few = placed.where("few").withColumn("before", F.collect_list("extra").over(own))
     # one side without the bucket's largest component, so that its members don't even meet
-    one, two = (placed.where(c).select("b", "extra", F.col("vid").alias(v), F.col("comp").alias(w)) for c, v, w in (("few AND comp != major", "x", "cx"), ("few", "y", "cy")))
-    return one.join(two, ["b", "extra"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).cast("long").alias("crowd"))
+    one = few.where("comp != major").select("b", "extra", "major", F.col("vid").alias("x"), F.col("comp").alias("cx"), F.col("before").alias("bx"))
+    two = few.select("b", "extra", F.col("vid").alias("y"), F.col("comp").alias("cy"), F.col("before").alias("by"))
+    met = one.join(two, ["b", "extra"]).where("cx != cy AND (cy = major OR x < y) AND NOT arrays_overlap(bx, by)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(2).cast("long").alias("crowd"))
 
 
 def next_pairs(crowded: DataFrame, label: DataFrame, meet_most: int) -> DataFrame:

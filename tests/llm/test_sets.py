@@ -63,6 +63,24 @@ def test_near_duplicates_match_brute_force(frame):
     assert got == brute_components(rows, 85)
 
 
+def test_members_that_share_many_buckets_meet_once(spark):
+    rng = random.Random(5)
+    rows = []
+    for b in range(3):
+        comp = {v: v // 2 for v in range(12 * b, 12 * b + 12)}
+        for extra in range(40):
+            # most buckets hold most members, the last ones any two
+            own = rng.sample(sorted(comp), 2 if extra > 35 else 11)
+            comps = [comp[v] for v in own]
+            rows += [(b, extra, v, comp[v], max(set(comps), key=lambda c: (comps.count(c), c)), extra % 9 != 3) for v in own]
+    got = [tuple(r) for r in N.meeting(spark.createDataFrame(rows, "b long, extra long, vid long, comp long, major long, few boolean")).select("a", "b").collect()]
+    want = set()
+    for b, extra, x, cx, _, few in rows:
+        want |= {(x, y) for c, e, y, cy, _, _ in rows if few and (b, extra) == (c, e) and cx != cy and x < y}
+    assert set(got) == want
+    assert len(got) <= 1.2 * len(want)  # before: once a bucket, some thirty times
+
+
 def test_near_duplicates_edges(frame):
     long = " ".join(f"v{i}" for i in range(30_000))
     rows = N.near_duplicates(frame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, long), (8, long + " tail"), (None, None), (7, "")])).collect()
